@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import media, mixing, secrets
+from quarry.llm import langid, media, mixing, secrets
 from quarry.llm.common import table
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -22,5 +27,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {"op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.ORACLE}
