@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, media, mixing, secrets, tokenfile
+from quarry.llm import bpe, langid, media, mixing, quality, secrets, tokenfile
 from quarry.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -35,5 +40,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.ORACLE}
