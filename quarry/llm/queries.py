@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, media, mixing, quality, secrets, tokenfile
+from quarry.llm import bpe, jaccard, langid, media, mixing, quality, secrets, tokenfile
 from quarry.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -40,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op10_mixing": mixing.ORACLE}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op6_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
