@@ -1,12 +1,54 @@
-"""Corpus pipeline: stages over documents, each written and reread."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
+
+1. language   documents that the identifier rejects go; a null lang is filled in
+2. near-dups  of each component of the 3-word Jaccard join (0.9 or more) the document with the smallest id stays
+3. secrets    reported spans are masked in the text; no document goes
+4. mixing     documents are sampled to source, language and topic targets
+5. tokens     documents are encoded to token ids and decoded again
+
+The first four return the columns of documents. Documents with a null id cannot be told apart, so none of them goes in stage 2; of
+repeated rows of one id one stays there. SQL cannot express the models of stages 1 and 5, so there is no ORACLE_SQL; tests compare
+each stage with a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quarry.llm import bpe, jaccard, langid, mixing, secrets
 from quarry.llm.common import settle, table
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_components(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        left = left.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null").drop("_n")
+    return left
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs).where("kept").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs)
+
+
+STAGES = [("language", language), ("near-duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mixture), ("tokens", tokens)]
 ORACLE_SQL = None
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle, texts
+from quarry.llm.common import settle
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -93,16 +93,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = [{"kind": k, "s": s, "e": e, "scope": scope(s)} for k, s, e in [*spans, *weak]]
             parts.append(rows)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string()), pa.array(lines, pa.string()), pa.array(parts, pa.list_(PART))],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "parts"],
+            [batch.column("doc_id"), batch.column("mark"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string()), pa.array(lines, pa.string()), pa.array(parts, pa.list_(PART))],
+            names=["doc_id", "mark", "n_assign", "n_access", "n_hex", "base_sha256", "base", "parts"],
         )
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: base spans and the weak parts that complement another."""
+def scan_secrets(docs: DataFrame, reach: int = REACH, mark: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: base spans and the weak parts that complement another.
+
+    mark: a long column of docs that is carried along, followed by the base spans alone as column base.
+    """
     found = settle(
-        texts(docs)
-        .mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts array<struct<kind:string,s:long,e:long,scope:long>>")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(mark) if mark else F.lit(0)).cast("long").alias("mark"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(_scan, "doc_id long, mark long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts array<struct<kind:string,s:long,e:long,scope:long>>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     part = found.where(F.size("parts") > 0).select("row", F.inline("parts")).withColumn("cell", F.floor(F.col("s") / reach))
@@ -125,4 +128,52 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     added = linked.groupBy("row").agg(F.collect_list(F.struct("s", rank[F.col("kind")].alias("rank"), F.concat_ws(":", "kind", "s", "e").alias("span"))).alias("more"))
     own = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("long").alias("s"), rank[F.split_part(x, F.lit(":"), F.lit(1))].alias("rank"), x.alias("span")))
     both = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(F.transform(F.array_sort(F.concat(own, "more")), lambda x: x["span"]), ","))
-    return found.join(added, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", both.alias("spans"))
+    return found.join(added, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", both.alias("spans"), *([F.col("mark").alias(mark), "base"] if mark else []))
+
+
+MASK = "[SECRET]"
+BROADCAST_ROWS = 50_000
+
+
+def mask(text: str, spans: list[tuple[int, int]]) -> str:
+    """Each run of overlapping or touching spans becomes MASK."""
+    out, at, end = [], 0, -1
+    for s, e in sorted(spans):
+        if s > end:
+            if end >= 0:
+                at = end
+            out += [text[at:s], MASK]
+            end = e
+        end = max(end, e)
+    return "".join(out) + text[end if end >= 0 else 0 :]
+
+
+def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """All documents with their own columns; every reported span of text is masked, and n_chars, if there, is counted anew.
+
+    Base spans are found again where they are masked; only spans that the linking added travel, by id and a hash of the text.
+    """
+    found = scan_secrets(docs.select("doc_id", "text", F.xxhash64("text").alias("_h")), reach, "_h").where("spans <> base").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("spans").alias("_spans")).distinct()
+    few = settle(found)
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    wide = docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(few["_k"]), "left").drop("_d", "_k")
+    columns = docs.columns
+    at, n_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                if text:
+                    spans = [(s, e) for _, s, e in base_spans(text)]
+                    spans += [tuple(map(int, x.split(":")[1:])) for x in (more or "").split(",") if x]
+                    text = mask(text, spans) if spans else text
+                out.append(text)
+            own = batch.select(columns).set_column(at, "text", pa.array(out, pa.string()))
+            if n_at is not None:
+                counted = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(batch.schema.field("n_chars").type)
+                own = own.set_column(n_at, "n_chars", counted)
+            yield own
+
+    return wide.mapInArrow(rows, docs.schema)
