@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, jaccard, langid, media, mixing, quality, secrets, suffix, tokenfile
+from quarry.llm import bpe, chat, jaccard, langid, media, mixing, quality, secrets, suffix, tokenfile
 from quarry.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_strings(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations")).drop("turns", "rendered")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op4_suffix": op4_suffix, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op4_suffix": op4_suffix, "op5_chat": op5_chat, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op6_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
