@@ -1 +1,172 @@
-"""To come."""
+"""Aggregations, audits and metrics."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from quarry.operators import audit as A
+from quarry.operators import joins as J
+from quarry.plans.relational import RULES_SQL, rules
+from quarry.registry import query
+from quarry.sources.tables import CATALOG_SQL, catalog_view, load
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def a1_table_counts(spark, d):
+    return reduce(lambda a, b: a.union(b), (load(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES))
+
+
+@query("SELECT conv_id, count(*) AS messages, max(turn) AS last FROM conversations GROUP BY conv_id ORDER BY last DESC, conv_id")
+def a2_sessions(spark, d):
+    return load(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last")).orderBy(F.desc("last"), "conv_id")
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 1")
+def a3_count_distinct(spark, d):
+    return load(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("priorities"))
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC")
+def a4_group_counts(spark, d):
+    return load(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@query("SELECT p_brand, p_name FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY 1, 2) WHERE k = 1")
+def a5_mode_first_wins(spark, d):
+    return A.mode_per_group(load(spark, d, "part"), ["p_brand"], "p_name", "p_partkey")
+
+
+@query("SELECT p_brand, string_agg(DISTINCT p_name, ' | ' ORDER BY p_name) AS names, count(*) AS n FROM part GROUP BY 1")
+def a6_joined_names(spark, d):
+    return load(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " | ").alias("names"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_partkey, min(l_orderkey) AS first_drawing FROM lineitem GROUP BY 1")
+def a7_min_per_group(spark, d):
+    return load(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_drawing"))
+
+
+@query("SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w ORDER BY n DESC, w")
+def a8_frequencies(spark, d):
+    return load(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w")
+
+
+@query(f"""WITH {CATALOG_SQL}, o AS (SELECT drawing, position, description, min(code) AS e FROM v GROUP BY ALL)
+  SELECT a.description AS term_1, b.description AS term_2, count(*) AS occurrences, min(a.drawing || '_' || a.position) AS example FROM o a JOIN o b ON a.drawing = b.drawing AND a.position = b.position AND a.description < b.description GROUP BY 1, 2 HAVING count(*) >= 3""")
+def a9_co_occurrence(spark, d):
+    return A.co_occurrences(catalog_view(spark, d), ["drawing", "position"], "description", F.concat_ws("_", F.col("drawing").cast("string"), F.col("position").cast("string")), 3)
+
+
+@query(f"WITH {CATALOG_SQL} SELECT drawing, string_agg(code, ',' ORDER BY position, code) AS codes FROM v WHERE drawing < 2000 GROUP BY drawing")
+def a10_nested_rows(spark, d):
+    rows = catalog_view(spark, d).where("drawing < 2000").groupBy("drawing").agg(F.array_sort(F.collect_list(F.struct("position", "code"))).alias("rows"))
+    return rows.select("drawing", F.array_join(F.transform("rows", lambda r: r["code"].cast("string")), ",").alias("codes"))
+
+
+@query("SELECT signature, count(*) AS drawings, min(k) AS kept FROM (SELECT l_orderkey AS k, string_agg(DISTINCT l_linenumber, ',' ORDER BY l_linenumber) || '/' || count(*) AS signature FROM lineitem GROUP BY 1) GROUP BY 1")
+def a11_merge_by_signature(spark, d):
+    signed = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_linenumber")), ",").alias("s"), F.count(F.lit(1)).alias("n"))
+    return signed.groupBy(F.concat_ws("/", "s", F.col("n").cast("string")).alias("signature")).agg(F.count(F.lit(1)).alias("drawings"), F.min("l_orderkey").alias("kept"))
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_name, p_type, p_size) > 1 AS ambiguous FROM part")
+def a12_ambiguous_titles(spark, d):
+    part = load(spark, d, "part")
+    n = part.groupBy("p_name", "p_type", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    return part.join(n, ["p_name", "p_type", "p_size"]).select("p_partkey", (F.col("n") > 1).alias("ambiguous"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS total, count_if(o_orderstatus = 'F')::BIGINT AS done, CASE WHEN count(o_orderkey) > 0 THEN floor(100 * count_if(o_orderstatus = 'F') / count(o_orderkey))::BIGINT ELSE 0 END AS percent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def a13_completeness(spark, d):
+    done = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    total, ready = F.coalesce("total", F.lit(0)), F.coalesce("done", F.lit(0))
+    return load(spark, d, "customer").join(done, "c_custkey", "left").select("c_custkey", total.alias("total"), ready.alias("done"), F.when(total > 0, F.floor(100 * ready / total)).otherwise(0).cast("long").alias("percent"))
+
+
+OLD_NEW_SQL = "a AS (SELECT p_partkey AS k, p_size AS x FROM part WHERE p_partkey % 10 <> 1), b AS (SELECT p_partkey AS k, p_size + (p_partkey % 7 = 0)::INT AS x FROM part WHERE p_partkey % 10 <> 2)"
+
+
+def old_new(spark, d):
+    part = load(spark, d, "part")
+    return part.where("p_partkey % 10 <> 1").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("x")), part.where("p_partkey % 10 <> 2").select(F.col("p_partkey").alias("k"), (F.col("p_size") + (F.col("p_partkey") % 7 == 0).cast("int")).alias("x"))
+
+
+@query(f"WITH {OLD_NEW_SQL} SELECT k, a.x AS old, b.x AS new FROM a FULL JOIN b USING (k) WHERE a.x IS DISTINCT FROM b.x")
+def a14_snapshot_diff(spark, d):
+    return A.snapshot_diff(*old_new(spark, d), ["k"], "x")
+
+
+@query(f"""WITH {OLD_NEW_SQL}, f AS (SELECT k % 20 AS g, a.k AS ka, b.k AS kb FROM a FULL JOIN b USING (k))
+  SELECT g, count(*) FILTER (ka IS NOT NULL AND kb IS NOT NULL) AS both, count(*) FILTER (kb IS NULL) AS only_left, count(*) FILTER (ka IS NULL) AS only_right,
+  CASE WHEN only_left = 0 AND only_right = 0 THEN 'equal' WHEN only_right = 0 THEN 'missing_right' WHEN only_left = 0 THEN 'missing_left' ELSE 'different' END AS verdict FROM f GROUP BY g""")
+def a15_reconcile(spark, d):
+    a, b = (df.withColumn("g", F.col("k") % 20) for df in old_new(spark, d))
+    return A.reconcile(a, b, ["g"], "k")
+
+
+@query("WITH s AS (SELECT DISTINCT l_returnflag AS section, l_partkey AS item FROM lineitem WHERE l_linenumber = 1), n AS (SELECT item, count(*) AS k FROM s GROUP BY 1) SELECT section, count(*) AS items, count(*) FILTER (k = 1) AS exclusive FROM s JOIN n USING (item) GROUP BY 1")
+def a16_overlap(spark, d):
+    return A.overlap_report(load(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("section"), F.col("l_partkey").alias("item")), "section", "item")
+
+
+@query("SELECT round(avg(n), 6) AS rows_a_drawing, round(avg(n) * (SELECT count(*) FROM orders) * 0.9 / 3600, 6) AS hours FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1)")
+def a17_estimate(spark, d):
+    each = load(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean"))
+    total = load(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"))
+    return each.crossJoin(total).select(F.round("mean", 6).alias("rows_a_drawing"), F.round(F.col("mean") * F.col("total") * F.lit(0.9) / 3600, 6).alias("hours"))
+
+
+RANKED_SQL = "r AS (SELECT l_partkey AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS rank, l_returnflag = 'R' AS good, l_linenumber AS concept FROM lineitem WHERE l_partkey < 300)"
+
+
+def ranked(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return load(spark, d, "lineitem").where("l_partkey < 300").select(F.col("l_partkey").alias("q"), F.row_number().over(w).alias("rank"), (F.col("l_returnflag") == "R").alias("good"), F.col("l_linenumber").alias("concept"))
+
+
+@query(f"WITH {RANKED_SQL}, f AS (SELECT q, min(rank) FILTER (good) AS first FROM r GROUP BY q) SELECT count(*) AS queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_at_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit_at_3 FROM f")
+def a18_hits(spark, d):
+    hits = A.hits_at(ranked(spark, d), "q", F.col("good"), "rank")
+    return hits.select("queries", F.round("hit_at_1", 6).alias("hit_at_1"), F.round("hit_at_3", 6).alias("hit_at_3"))
+
+
+@query(f"WITH {RANKED_SQL} SELECT q, concept, row_number() OVER (PARTITION BY q ORDER BY min(rank), concept)::INT AS concept_rank FROM r GROUP BY q, concept")
+def a19_concept_ranks(spark, d):
+    return A.concept_ranks(ranked(spark, d), "q", "concept", "rank")
+
+
+@query(f"SELECT p_name AS unmatched, NULL::VARCHAR AS unused FROM (SELECT DISTINCT p_name FROM part) WHERE NOT EXISTS (SELECT 1 FROM {RULES_SQL} WHERE regexp_matches(p_name, pattern)) UNION ALL SELECT NULL, concept FROM {RULES_SQL} WHERE concept NOT IN (SELECT c FROM (SELECT (SELECT min_by(concept, priority) FROM {RULES_SQL} WHERE regexp_matches(p_name, pattern)) AS c FROM part) WHERE c IS NOT NULL)")
+def a20_rule_coverage(spark, d):
+    typed = J.first_rule(load(spark, d, "part"), "p_name", rules(spark))
+    unused = rules(spark).select("concept").distinct().join(typed.where("concept IS NOT NULL").select("concept").distinct(), "concept", "left_anti")
+    return typed.where("concept IS NULL").select(F.col("p_name").alias("unmatched"), F.lit(None).cast("string").alias("unused")).union(unused.select(F.lit(None).cast("string"), "concept"))
+
+
+@query("SELECT l_orderkey, round(avg(l_discount), 6) AS confidence, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem GROUP BY 1")
+def a21_confidence_and_box(spark, d):
+    return load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg("l_discount"), 6).alias("confidence"), F.min("l_quantity").alias("x0"), F.max("l_quantity").alias("x1"), F.min("l_extendedprice").alias("y0"), F.max("l_extendedprice").alias("y1"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE value < 5 GROUP BY 1")
+def a22_error_histogram(spark, d):
+    return load(spark, d, "events").where("value < 5").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, list_sort(list_filter(list_distinct(s), lambda x: NOT list_contains(l, x)))::VARCHAR AS missed FROM (SELECT o_orderkey, [o_custkey % 7 + 1, o_orderkey % 7 + 1] AS s FROM orders) JOIN (SELECT l_orderkey, list(l_linenumber) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE len(list_filter(s, lambda x: NOT list_contains(l, x))) > 0")
+def a23_extraction_coverage(spark, d):
+    said = load(spark, d, "orders").select(F.col("o_orderkey"), F.array((F.col("o_custkey") % 7 + 1).cast("int"), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("s"))
+    got = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("l"))
+    missed = F.array_sort(F.array_except("s", "l"))
+    return said.join(got, "o_orderkey").where(F.size(missed) > 0).select("o_orderkey", F.concat(F.lit("["), F.array_join(missed.cast("array<string>"), ", "), F.lit("]")).alias("missed"))
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR), p_partkey) AS n FROM part) WHERE n <= 5 OR p_size = 50")
+def x16_stratified_sample(spark, d):
+    part = load(spark, d, "part")
+    return A.stratified(part, ["p_brand"], F.struct(F.md5(F.col("p_partkey").cast("string")), F.col("p_partkey")), 5, F.col("p_size") == 50).select("p_partkey")

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.functions import serials as S
 from quarry.functions import text as T
 from quarry.operators import joins as J
+from quarry.operators.ordering import global_rank
 from quarry.registry import query
 from quarry.sources.tables import CATALOG_SQL, catalog_view, load
 
@@ -126,7 +126,7 @@ def p15_flag(spark, d):
     return load(spark, d, "orders").where("o_orderpriority <> '' AND o_orderstatus = 'F'").select("o_orderkey")
 
 
-@query("SELECT count(*) AS n, count_if(p_size > 25) AS large, count_if(p_name LIKE 'red%') AS red FROM part")
+@query("SELECT count(*) AS n, count_if(p_size > 25)::BIGINT AS large, count_if(p_name LIKE 'red%')::BIGINT AS red FROM part")
 def p16_conditional_counts(spark, d):
     return load(spark, d, "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.startswith("p_name", F.lit("red"))).alias("red"))
 
@@ -219,7 +219,7 @@ REQUESTS = "SELECT c_custkey AS request, CASE WHEN c_custkey % 10 = 0 THEN '' WH
   c AS (SELECT r.request, r.n, v.variant, v.start FROM r JOIN v ON r.q = '' OR (length(r.q) = length(v.p) AND hamming(r.q, v.p) <= 2)),
   b AS (SELECT request, max(start) FILTER (start <= n) AS best FROM c GROUP BY 1),
   x AS (SELECT c.request, count(DISTINCT variant) AS k, min(variant) AS variant FROM c JOIN b USING (request) WHERE start = best GROUP BY 1)
-  SELECT r.request, CASE WHEN b.request IS NULL THEN 'none_compatible' WHEN best IS NULL THEN 'too_early' WHEN k > 1 THEN 'ambiguous' ELSE 'found' END AS outcome, CASE WHEN k = 1 THEN variant END AS variant, best AS start, coalesce(k, 0) AS n_variants
+  SELECT r.request, CASE WHEN b.request IS NULL THEN 'none_compatible' WHEN best IS NULL THEN 'too_early' WHEN k > 1 THEN 'ambiguous' ELSE 'found' END AS outcome, CASE WHEN k = 1 THEN variant END AS variant, best::BIGINT AS start, coalesce(k, 0) AS n_variants
   FROM r LEFT JOIN b USING (request) LEFT JOIN x USING (request)""".replace("hamming(r.q, v.p)", "hamming(CASE WHEN length(r.q) = length(v.p) THEN r.q ELSE v.p END, v.p)"))
 def j11_resolve_serials(spark, d):
     variants = load(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.concat(F.lit("NN"), F.lpad((F.col("p_partkey") % 40).cast("string"), 4, "0"), (F.col("p_size") * 100 + 10000).cast("string")).alias("starts"))
@@ -328,7 +328,7 @@ def o1_order_limit(spark, d):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus <> 'P')::INT, o_orderkey) AS place FROM orders WHERE o_custkey < 50")
 def o5_started_first(spark, d):
     rows = load(spark, d, "orders").where("o_custkey < 50")
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy((F.col("o_orderstatus") != "P").cast("int"), "o_orderkey")).cast("long").alias("place"))
+    return global_rank(rows, (F.col("o_orderstatus") != "P").cast("int"), F.col("o_orderkey")).select("o_orderkey", "place")
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1")
@@ -339,7 +339,8 @@ def o8_order_by_alias(spark, d):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY last ASC NULLS FIRST, c_custkey) AS place FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1) ON o_custkey = c_custkey")
 def o9_nulls_first(spark, d):
     last = load(spark, d, "orders").where("o_orderkey % 10 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("last"))
-    return load(spark, d, "customer").join(last, "c_custkey", "left").select("c_custkey", F.row_number().over(Window.orderBy(F.asc_nulls_first("last"), "c_custkey")).cast("long").alias("place"))
+    rows = load(spark, d, "customer").join(last, "c_custkey", "left")
+    return global_rank(rows, F.asc_nulls_first("last"), F.col("c_custkey")).select("c_custkey", "place")
 
 
 @query("SELECT code, side FROM (SELECT DISTINCT l_partkey AS code, 'only_left' AS side FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) UNION ALL SELECT DISTINCT l_partkey, 'only_right' FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1))")

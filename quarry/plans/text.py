@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import serials as S
 from quarry.functions import text as T
+from quarry.operators.ordering import global_rank
 from quarry.registry import query
 from quarry.sources.tables import load
 
@@ -259,7 +260,5 @@ def f43_evaluation_words(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 12, CASE WHEN p_size % 2 = 0 THEN 'B' ELSE 'C' END, p_partkey) AS place FROM part")
 def o4_natural_order(spark, d):
-    from pyspark.sql.window import Window
-
     name = F.concat((F.col("p_size") % 12).cast("string"), F.lit("_"), F.when(F.col("p_size") % 2 == 0, "B").otherwise("c"))
-    return load(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(T.natural_key(name), "p_partkey")).cast("long").alias("place"))
+    return global_rank(load(spark, d, "part").select("p_partkey", T.natural_key(name).alias("key")), F.col("key"), F.col("p_partkey")).select("p_partkey", "place")
