@@ -23,10 +23,13 @@ texts' hash decides; an empty table writes no file; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import byte_letters
 from quarry.llm.common import gather, parts, shared_dir, texts, token_offsets
 
 MAGIC = b"QTOKENS1"
@@ -41,8 +45,21 @@ BLOCK = 256
 END_ID = 2
 COUNTS = np.array([0, 60, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
-PIECE = 6 << 20
-MEMO = 400_000
+PIECE = 4 << 20
+MEMO = 600_000
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """The narrowest selector width that holds each id; 64 for the escape."""
+    steps = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.uint8)
+    if len(ids) and ids.max() < 1 << 16:
+        if "widths" not in _tables:
+            _tables["widths"] = steps[np.searchsorted(np.array([1 << int(b) for b in steps[:-2]], np.uint64), np.arange(1 << 16, dtype=np.uint64), "right")]
+        return _tables["widths"][ids]
+    return steps[np.searchsorted(np.array([1 << int(b) for b in steps[:-1]], np.uint64), ids, "right")]
+
+
+_tables: dict[str, np.ndarray] = {}
 
 
 def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +71,7 @@ def pack_words(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     blocks = -(-n // block)
     padded = np.zeros(blocks * block, np.uint64)
     padded[:n] = ids
-    wide = padded >> np.uint64(60) != 0
-    # the highest selector's width that each id needs, as a bit count
-    width = np.zeros(len(padded), np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        width[padded >= np.uint64(1) << np.uint64(b - 1)] = b if b < 60 else 60
-    for b, above in zip((1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30), (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60), strict=True):
-        width[padded >= np.uint64(1) << np.uint64(b)] = above
-    width[padded == 0] = 0
-    width[padded == 1] = 1
-    width[wide] = 64
+    width = widths(padded)
     grid = width.reshape(blocks, block)
     left = np.minimum(block, n - np.arange(blocks) * block)
     # widest id among the c ids from each place (places past the block's end need no bits), for the counts that selectors have
@@ -175,6 +183,23 @@ def parse_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return doc_ids, null.astype(bool), np.diff(ends, prepend=0), unpack_words(np.frombuffer(data, "<u8", words, at + 8 * (blocks + 1)), offsets, n, block)
 
 
+#: ASCII signs: a run of them is one pretoken.
+SIGNS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+class Memo(dict):
+    """Chunk -> number. A chunk that it does not know gets the next number and is put down as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library. White space never lies within one of this vocabulary's pretokens, so texts are cut at ASCII
     white space and each distinct chunk is encoded once; a bounded memo keeps the chunks met so far."""
@@ -186,35 +211,86 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        said = json.loads(self.tokenizer.to_str())
+        self.lower = '"Lowercase"' in json.dumps(said["normalizer"])
+        self.END = said["model"].get("end_of_word_suffix")
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.whole = any(x.lstrip or x.rstrip or " " in x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.code = Memo()
+        self.flat = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def _plain(self, t: str) -> bool:
+        """One pretoken whose normal form is its lower case: letters alone."""
+        if not self.END or not t.isalpha():
+            return False
+        return t.isascii() or ("Σ" not in t and (low := t.lower()).isalpha() and is_normalized("NFC", t) and is_normalized("NFC", low))
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks one by one. For a chunk of letters alone, or of ASCII signs alone, the normaliser and the pretokeniser have nothing to do
+        but the lower case and the letters for bytes, so the library's model takes it as it is."""
+        out: list = [None] * len(chunks)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for k, t in enumerate(chunks):
+            if not self.END:
+                rest.append(k)
+            elif t.isascii() and (t.isalpha() or (t.translate(SIGNS) == "" and "<|" not in t)):
+                out[k] = [x.id for x in tokenize(t.lower())]
+            elif self._plain(t):
+                out[k] = [x.id for x in tokenize(t.lower().encode().decode("latin-1").translate(self.letters))]
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _learn(self) -> None:
+        """Ids of the chunks that the memo has met for the first time. A chunk is cut before closing punctuation that follows a letter or
+        digit: the two are pretokens of their own, and mostly known."""
+        code, fresh = self.code, self.code.fresh
+        base, lone, mixed, first, second = len(self.sizes), [], [], [], []
+        for k, w in enumerate(fresh):  # which grows by the words and endings that are new themselves
+            word = w.rstrip(b".,!?;:") if self.END else w
+            if 0 < len(word) < len(w) and (word[-1:].isalnum() or (word[-1] > 127 and word.decode().lower()[-1].isalnum())):
+                mixed.append(k)
+                first.append(code[word])
+                second.append(code[w[len(word) :]])
+            else:
+                lone.append(k)
+        got = self._ids([fresh[k].decode() for k in lone])
+        size = np.zeros(len(fresh), np.int64)
+        size[lone] = np.fromiter(map(len, got), np.int64, len(got))
+        pool = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))])
+        begin = np.zeros(len(fresh), np.int64)
+        begin[lone] = token_offsets(size[lone])[:-1] + len(self.flat)
+        begins, sizes = np.concatenate([token_offsets(self.sizes)[:-1], begin]), np.concatenate([self.sizes, size])
+        # each fresh chunk is one run of the pool, or two
+        runs = np.stack([np.arange(len(fresh)) + base, np.full(len(fresh), -1)], axis=1)
+        if mixed:
+            runs[mixed] = np.stack([first, second], axis=1)
+        n = np.where(runs >= 0, sizes[runs], 0)
+        self.flat = np.concatenate([self.flat, pool[gather(begins[runs].ravel(), n.ravel())]])
+        self.sizes = np.concatenate([self.sizes, n.sum(axis=1)])
+        fresh.clear()
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the ids per text."""
-        split = [[t] if self.whole else t.split() for t in batch]
+        # the vocabulary is lower-case, so ASCII capitals can go first; not where a special token might arise from them
+        split = [[t] if self.whole else (t.lower() if self.lower and b"<|" not in t else t).split() for t in batch]
         if len(self.code) > MEMO:
             self.reset()
-        code = self.code
-        fresh = [w for w in dict.fromkeys(w for x in split for w in x) if w not in code]
-        if fresh:
-            for w in fresh:
-                code[w] = len(code)
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            self.sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.flat.append(np.fromiter((i for g in got for i in g), np.int32, int(self.sizes[-1].sum())))
-        self.flat, self.sizes = [np.concatenate(self.flat)] if self.flat else [], [np.concatenate(self.sizes)] if self.sizes else []
         per_text = np.fromiter(map(len, split), np.int64, len(split))
-        order = np.fromiter(map(code.__getitem__, (w for x in split for w in x)), np.int64, int(per_text.sum()))
+        order = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(per_text.sum()))
+        if self.code.fresh:
+            self._learn()
         if not len(order):
             return np.zeros(0, np.int32), np.zeros(len(batch), np.int64)
-        at = token_offsets(self.sizes[0])
-        many = self.sizes[0][order]
-        return self.flat[0][gather(at[:-1][order], many)], np.diff(token_offsets(many)[token_offsets(per_text)])
+        at = token_offsets(self.sizes)
+        many = self.sizes[order]
+        return self.flat[gather(at[:-1][order], many)], np.diff(token_offsets(many)[token_offsets(per_text)])
 
 
 _state: dict[str, ChunkEncoder] = {}
