@@ -1 +1,139 @@
-"""To come."""
+"""Extraction from pages, grids, word boxes and running text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.registry import query
+from quarry.sources import documents as D
+from quarry.sources import html as H
+from quarry.sources.tables import load
+
+LINK_SQL = """WITH f AS (SELECT page_id, url AS base, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_extract_all(html, '(?i)<(?:a|area|frame|iframe)\\b[^>]*?\\b(?:href|src)\\s*=\\s*["'']([^"''#]+)', 1) AS hs FROM pages),
+  e AS (SELECT page_id, base, root, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM f),
+  a AS (SELECT page_id, i, CASE WHEN regexp_matches(h, '^[a-z]+:') THEN h WHEN starts_with(h, '/') THEN root || h ELSE root || '/' || h END AS url FROM e)
+  SELECT page_id, url, (row_number() OVER (PARTITION BY page_id ORDER BY min(i)))::INT AS place FROM a WHERE NOT regexp_matches(lower(url), '\\.(pdf|jpg|jpeg|gif|png|zip|exe|doc|xls)(\\?|$)') GROUP BY page_id, url"""
+
+
+@query(LINK_SQL)
+def s7_links(spark, d):
+    return H.links(load(spark, d, "pages")).select("page_id", "url", "place")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<table\\b') THEN 'table' WHEN regexp_matches(html, '(?i)<(ul|ol)\\b') THEN 'list' ELSE 'text' END AS kind, md5(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def s10_page_kind(spark, d):
+    return load(spark, d, "pages").select("page_id", H.page_kind(F.col("html")).alias("kind"), F.md5(H.title(F.col("html"))).alias("title"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def s4_json_props(spark, d):
+    return load(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS label, p_size % 3 <> 0 AS sellable FROM part")
+def s5_json_normaliser(spark, d):
+    flag = F.when(F.col("p_size") % 3 == 0, "N").when(F.col("p_size") % 3 == 1, "Y").otherwise("TRUE")
+    obj = F.to_json(F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(" ").alias("name"), F.col("p_type").alias("title"), flag.alias("sell")))
+    return load(spark, d, "part").select("p_partkey", H.pick(obj, "name", "title").alias("label"), H.truth(F.get_json_object(obj, "$.sell")).alias("sellable"))
+
+
+@query("SELECT p_brand, count(*) AS items, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part WHERE p_size < 20 GROUP BY 1")
+def s4_json_list(spark, d):
+    made = load(spark, d, "part").where("p_size < 20").groupBy("p_brand").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.col("p_name").alias("des"))))).alias("j"))
+    items = made.select("p_brand", F.inline(H.json_items(F.col("j"))))
+    return items.groupBy("p_brand").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.col("id").cast("long"))), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def table_pages(spark, d):
+    """Pages whose body is a table of an order's lines: made from the tables, as the portals write them."""
+    cell = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td><a href='/part/"), F.col("l_partkey").cast("string"), F.lit("'>P"), F.col("l_partkey").cast("string"), F.lit("</a></td><td> "), "p_name", F.lit("<br>"), F.col("p_type"), F.lit(" </td></tr>"))
+    rows = load(spark, d, "lineitem").where("l_orderkey < 1000").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<html><table><tr><th>Pos</th></tr>"), F.array_join(F.array_sort(F.collect_list(cell)), ""), F.lit("</table></html>")).alias("html"))
+
+
+@query("SELECT l_orderkey AS page_id, l_linenumber::VARCHAR AS position, 'P' || l_partkey AS code, p_name || ' ' || p_type AS description, '/part/' || l_partkey AS href FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 1000")
+def s6_table_rows(spark, d):
+    return H.wide_rows(H.table_cells(table_pages(spark, d)), ["position", "code", "description"], 3).select("page_id", "position", "code", "description", "href")
+
+
+@query("SELECT DISTINCT l_orderkey AS page_id, 'P' || l_partkey AS code FROM lineitem WHERE l_orderkey < 1000")
+def s6_keep_first(spark, d):
+    return H.keep_first(H.wide_rows(H.table_cells(table_pages(spark, d)), ["position", "code", "description"], 3), "code").select("page_id", "code")
+
+
+@query("SELECT p_partkey, (p_size + 7)::BIGINT AS total FROM part")
+def s13_page_total(spark, d):
+    return load(spark, d, "part").select("p_partkey", H.page_total(F.concat(F.lit("1 of 3 ... Pagina 2 di "), (F.col("p_size") + 7).cast("string"))).alias("total"))
+
+
+@query("SELECT l_orderkey AS grid, l_linenumber AS row, c AS col, 'q' || (c - c % (1 + l_linenumber % 3)) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 3000), range(0, 6) AS t(c)")
+def s14_fill_merged(spark, d):
+    keys = load(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).distinct()
+    cells = keys.select("grid", "row", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("col"))
+    return D.fill_merged(cells.withColumn("text", F.when(F.col("col") % (1 + F.col("row") % 3) == 0, F.concat(F.lit("q"), F.col("col").cast("string"))))).select("grid", "row", "col", "text")
+
+
+@query("""WITH r AS (SELECT user_id AS grid, event_id AS row, CASE WHEN event_type IN ('view', 'click') THEN 'c' || event_id END AS code, event_type AS description FROM events), i AS (SELECT *, count(code) OVER (PARTITION BY grid ORDER BY row ROWS UNBOUNDED PRECEDING) AS k FROM r)
+  SELECT grid, min(row) AS row, min_by(code, row) AS code, string_agg(description, ' ' ORDER BY row) AS description FROM i WHERE k > 0 GROUP BY grid, k""")
+def s14_continuations(spark, d):
+    e = load(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("grid"), F.col("event_id").alias("row"), F.lit(None).cast("string").alias("position"), F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("code"), F.col("event_type").alias("description"))
+    return D.join_continuations(rows).select("grid", "row", "code", "description")
+
+
+BOX_SQL = "w AS (SELECT p_partkey % 50 AS page, p_name AS word, (p_partkey * 7919 % 997)::DOUBLE AS wx, (p_partkey * 104729 % 499)::DOUBLE AS wy, p_size / 50.0 AS confidence FROM part), a AS (SELECT s_suppkey % 50 AS page, s_suppkey AS position, (s_suppkey * 31 % 499)::DOUBLE AS y FROM supplier)"
+
+
+@query(f"WITH {BOX_SQL} SELECT w.page, a.position, string_agg(word, ' ' ORDER BY wx, word) AS description, round(avg(confidence), 6) AS confidence, min(wx) AS x0, max(wx + 5) AS x1 FROM a JOIN w ON w.page = a.page AND abs(wy - y) <= 20 GROUP BY 1, 2")
+def s16_ocr_rows(spark, d):
+    k = F.col("p_partkey")
+    wx, wy = (k * 7919 % 997).cast("double"), (k * 104729 % 499).cast("double")
+    words = load(spark, d, "part").select((k % 50).alias("page"), F.col("p_name").alias("word"), wx.alias("wx"), wy.alias("wy"), (wx + 5).alias("x1"), (wy + 5).alias("y1"), (F.col("p_size") / F.lit(50.0)).alias("confidence"))
+    anchors = load(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("page"), F.col("s_suppkey").alias("position"), (F.col("s_suppkey") * 31 % 499).cast("double").alias("y"))
+    return D.ocr_rows(anchors, words).select("page", "position", "description", F.round("confidence", 6).alias("confidence"), "x0", "x1")
+
+
+@query()
+def s15_words_left_of(spark, d):
+    k = F.col("p_partkey")
+    words = load(spark, d, "part").select((k % 50).alias("page"), F.col("p_name").alias("word"), (k * 7919 % 997).cast("double").alias("wx"), (k * 104729 % 499).cast("double").alias("wy"))
+    codes = load(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("page"), F.col("s_name").alias("code"), (F.col("s_suppkey") * 77 % 997).cast("double").alias("x"), (F.col("s_suppkey") * 31 % 499).cast("double").alias("y"))
+    return D.words_left_of(codes, words, 10.0)
+
+
+@query()
+def s17_sections(spark, d):
+    lines = load(spark, d, "documents").select(F.col("doc_id").alias("manual"), F.lit(1).cast("long").alias("page"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return D.sections(lines).select("manual", "section", "part", F.md5("body").alias("body"), F.length("title").alias("title_length"))
+
+
+@query("SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
+def f29_url_parts(spark, d):
+    return load(spark, d, "pages").select("url", F.parse_url(F.col("url"), F.lit("HOST")).alias("host"), F.nullif(F.regexp_extract("url", r"[?&]page=([^&#]*)", 1), F.lit("")).alias("page"))
+
+
+@query("SELECT page_id, length(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) > 0 AS has_heading FROM pages")
+def f41_page_predicates(spark, d):
+    return load(spark, d, "pages").select("page_id", (F.length(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)) > 0).alias("has_heading"))
+
+
+@query("SELECT p_brand || '.pdf' AS file, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'one' WHEN p_brand LIKE '%2%' THEN 'two' END AS series FROM (SELECT DISTINCT p_brand FROM part)")
+def f37_series_of_file(spark, d):
+    from quarry.operators import joins as J
+
+    files = load(spark, d, "part").select(F.concat("p_brand", F.lit(".pdf")).alias("file")).distinct()
+    order = spark.createDataFrame([(1, "^Brand#1", "one"), (2, "2", "two")], "priority int, pattern string, concept string")
+    return J.first_rule(files, "file", order).select("file", F.col("concept").alias("series"))
+
+
+@query("SELECT conv_id, bool_or(contains(' ' || lower(text) || ' ', ' the ')) AS declared FROM conversations GROUP BY 1")
+def f35_declared_brand(spark, d):
+    return load(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(F.contains(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(" the "))).alias("declared"))
+
+
+@query("SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS norm, c_custkey % 2 = 0 AS changed FROM customer")
+def f34_normalised_model(spark, d):
+    norm = lambda c: F.regexp_replace(F.lower(T.fold(c)), "[^a-z0-9]", "")
+    other = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.upper("c_name"))
+    return load(spark, d, "customer").select("c_custkey", norm(F.col("c_name")).alias("norm"), (norm(F.col("c_name")) != norm(other)).alias("changed"))
