@@ -394,13 +394,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     spark = docs.sparkSession
     own = texts(docs)
     repeats = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    base = own.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), (F.coalesce(F.xxhash64("text"), F.lit(0)) if repeats else F.lit(0)).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    base = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), (F.coalesce(F.xxhash64("text"), F.lit(0)) if repeats else F.lit(0)).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = ["did", "th"] if repeats else ["did"]
     n = parts(spark)
-    splitters = sampled_splitters(base, 16 * n, length, gram)
+    splitters = sampled_splitters(base, 64 * n, length, gram)
     suffixes = base.select("did", "th", "text").mapInArrow(_extract(splitters, length, gram), ROWS)
     ranged = suffixes.repartition(n, "bucket").sortWithinPartitions("grp", "tag", "did", "th", "pos").select("grp", "tag", "did", "th", "pos")
-    items = ranged.mapInArrow(_first_of_each(length), "did long, th long, grp long, a long, b long").groupBy("did", "th").agg(F.collect_list(F.struct("grp", "a", "b")).alias("items"))
-    fetched = base.join(items, ["did", "th"], "left").where("items is not null").select("did", "th", "text", "items").mapInArrow(_contexts(splitters, length), CONTEXT)
+    items = ranged.mapInArrow(_first_of_each(length), "did long, th long, grp long, a long, b long").groupBy(*keys).agg(F.collect_list(F.struct("grp", "a", "b")).alias("items"))
+    fetched = base.join(items, keys, "left").where("items is not null").select("did", "th", "text", "items").mapInArrow(_contexts(splitters, length), CONTEXT)
     again = fetched.repartition(n, "bucket").sortWithinPartitions("grp", "did", "th", "pos").select("grp", "did", "th", "pos", "body")
-    spans = again.mapInArrow(_sorted_blocks(length, block), "did long, th long, s long, e long").groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return base.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    spans = again.mapInArrow(_sorted_blocks(length, block), "did long, th long, s long, e long").groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    doc_id = F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id")
+    return base.join(spans, keys, "left").select(doc_id, "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
