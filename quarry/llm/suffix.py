@@ -401,7 +401,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     suffixes = base.select("did", "th", "text").mapInArrow(_extract(splitters, length, gram), ROWS)
     ranged = suffixes.repartition(n, "bucket").sortWithinPartitions("grp", "tag", "did", "th", "pos").select("grp", "tag", "did", "th", "pos")
     items = ranged.mapInArrow(_first_of_each(length), "did long, th long, grp long, a long, b long").groupBy(*keys).agg(F.collect_list(F.struct("grp", "a", "b")).alias("items"))
-    fetched = base.join(items, keys, "left").where("items is not null").select("did", "th", "text", "items").mapInArrow(_contexts(splitters, length), CONTEXT)
+    once = base.dropDuplicates(keys) if repeats else base  # rows that repeat a document fetch its bytes once
+    fetched = once.join(items, keys, "left").where("items is not null").select("did", "th", "text", "items").mapInArrow(_contexts(splitters, length), CONTEXT)
     again = fetched.repartition(n, "bucket").sortWithinPartitions("grp", "did", "th", "pos").select("grp", "did", "th", "pos", "body")
     spans = again.mapInArrow(_sorted_blocks(length, block), "did long, th long, s long, e long").groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     doc_id = F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id")
