@@ -69,8 +69,12 @@ def decode_png(media: bytes) -> np.ndarray:
         raise ValueError("not a PNG")
     at, data, head, ended = 8, [], None, False
     while at < len(media):
+        if len(media) < at + 12:
+            raise ValueError("truncated chunk")
         n, kind = struct.unpack(">I4s", media[at : at + 8])
         body = media[at + 8 : at + 8 + n]
+        if len(media) < at + 12 + n:
+            raise ValueError("truncated chunk")
         if struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
@@ -83,7 +87,13 @@ def decode_png(media: bytes) -> np.ndarray:
     if head is None or not ended or head[2:] != (8, 0, 0, 0, 0):
         raise ValueError("unsupported or incomplete image")
     width, height = head[:2]
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)  # zlib tests its Adler-32
+    try:
+        stream = zlib.decompress(b"".join(data))  # tests its Adler-32
+    except zlib.error as e:
+        raise ValueError("damaged zlib stream") from e
+    if len(stream) != height * (width + 1):
+        raise ValueError("wrong number of samples")
+    raw = np.frombuffer(stream, np.uint8).reshape(height, width + 1)
     kinds, out = raw[:, 0], raw[:, 1:].copy()
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown row filter")
