@@ -34,12 +34,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import gather, texts, token_offsets
+from quarry.llm.common import gather, pieces, settle, string_bytes, texts, token_offsets
 
 #: Fixed value: the pretokeniser of byte-level BPE, with white space spelled as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LEXICON_WORDS = 1 << 16
-PIECE = 6 << 20
+PIECE = 2 << 20
 #: White space that cuts joined chunks: it is a pretoken of its own before a blank or any other character.
 MARK = "\u2028"
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -290,19 +290,15 @@ def mapped(packed: Broadcast) -> Lexicon:
     return _state["lexicon"]
 
 
-def _pieces(batch: list[str | None]) -> Iterator[tuple[int, int]]:
-    i = size = 0
-    for j, t in enumerate(batch):
-        size += len(t or "")
-        if size >= PIECE:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(batch):
-        yield i, len(batch)
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs of texts of about PIECE bytes: only one run at a time is made into Python strings."""
+    _, offsets = string_bytes(column)
+    for i, j in pieces(offsets, PIECE):
+        yield i, j, column[i:j].to_pylist()
 
 
 def count_words(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """The `most` frequent pretokens of all texts (ties: the smaller first): word, n."""
+    """The frequent pretokens of all texts, at most `most`, all those above one count: word, n. A word that occurs once is never frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, whole, firsts = vocabulary(path), Counter(), Counter()
@@ -325,12 +321,21 @@ def count_words(docs: DataFrame, path: str, most: int) -> DataFrame:
                 first, *rest = (text.as_py() or "").split(" ")
                 whole.update(rest)
                 firsts[first] += 1
-                if len(whole) > 300_000:
+                if len(whole) > 150_000:
                     yield out()
         yield out()
 
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counted = settle(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the cut is found on a log scale of counts, so that no task sends more than it must
+    level = F.floor(F.log2(F.col("n")) * 64).cast("int")
+    levels = sorted(((r["level"], r["words"]) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    low, total = None, 0
+    for at, n in levels:
+        if total + n > most:
+            break
+        low, total = at, total + n
+    return counted.where(level >= low) if low is not None else counted.limit(0)
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> dict[str, np.ndarray]:
@@ -371,24 +376,26 @@ def encode_words(vocab: Vocabulary, lexicon: Lexicon, words: list[str]) -> tuple
     return out, n
 
 
-def encode(vocab: Vocabulary, lexicon: Lexicon, batch: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
+def encode(vocab: Vocabulary, lexicon: Lexicon, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
     """Runs [i, j) of texts with their ids end to end, tokens per text, and each text's ids as decimals joined by commas."""
-    for i, j in _pieces(batch):
+    for i, j, batch in _pieces(column):
         # A blank between two characters that are not white space is always the start of a pretoken, so texts are cut there and each
         # distinct chunk is split into pretokens once. Texts with other white space next to a blank are split as a whole.
-        special = [a for a in vocab.added if any(a in t for t in batch[i:j] if t)]
-        split = [t.split(" ") if t else [] for t in batch[i:j]]
+        special = [a for a in vocab.added if any(a in t for t in batch if t)]
+        split = [t.split(" ") if t else [] for t in batch]
         firsts = dict.fromkeys(x[0] for x in split if x)
         for k, w in enumerate(firsts):
             firsts[w] = k
         index = dict.fromkeys(chain.from_iterable(split))
         for k, w in enumerate(index, len(firsts)):
             index[w] = k
-        odd = {w for w in index if not w or w.strip() != w or MARK in w or any(a in w for a in special)}
+        odd = {w for w in index if not w or w.strip() != w or MARK in w}
+        if special:
+            odd |= {w for w in index if any(a in w for a in special)}
         tokens, sizes = vocab.split_all([w if w not in odd else "-" for w in firsts] + [" " + w if w not in odd else "-" for w in index])
         codes: list[list[int]] = []
         whole: list[list[str]] = []
-        for x, text in zip(split, batch[i:j], strict=True):
+        for x, text in zip(split, batch, strict=True):
             if x and odd and not odd.isdisjoint(x):
                 codes.append([len(sizes) + len(whole)])
                 whole.append(vocab.words(text))
@@ -427,7 +434,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXI
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lexicon = vocabulary(path), mapped(packed)
         for batch in batches:
-            for i, j, ids, per_text, lines in encode(vocab, lexicon, batch.column("text").to_pylist()):
+            for i, j, ids, per_text, lines in encode(vocab, lexicon, batch.column("text")):
                 raw, n = vocab.decode(ids)
                 ends = token_offsets(n)[token_offsets(per_text)].tolist()
                 whole = raw.tobytes()
@@ -445,7 +452,7 @@ def token_documents(docs: DataFrame, path: str | None = None, words: int = LEXIC
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lexicon = vocabulary(path), mapped(packed)
         for batch in batches:
-            for i, j, ids, per_text, _ in encode(vocab, lexicon, batch.column("text").to_pylist()):
+            for i, j, ids, per_text, _ in encode(vocab, lexicon, batch.column("text")):
                 raw, n = vocab.decode(ids)
                 at = token_offsets(per_text)
                 ends, whole = token_offsets(n)[at].tolist(), raw.tobytes()

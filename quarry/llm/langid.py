@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, settle, texts
+from quarry.llm.common import mix, pieces, settle, string_bytes, texts
 
 ORDER = 4
 PER_LANGUAGE = 1500
-PIECE = 1 << 21
+PIECE = 1 << 20
 _B = np.uint64(0xD6E8FEB86659FD93)
 _lut: dict[str, np.ndarray] = {}
 
@@ -179,9 +179,9 @@ class Identifier:
         place = np.flatnonzero(scored)
         if not len(place):
             return out, letters
-        cache = self.__dict__.setdefault("_cache", (np.zeros(1 << 20, np.uint64), np.zeros((1 << 20, len(self.models)))))
+        cache = self.__dict__.setdefault("_cache", (np.zeros(1 << 18, np.uint64), np.zeros((1 << 18, len(self.models)))))
         key = h[-1][place]
-        slot = (key >> np.uint64(44)).astype(np.int64)
+        slot = (key >> np.uint64(46)).astype(np.int64)
         miss = np.flatnonzero(cache[0][slot] != key)
         got = cache[1][slot]
         if len(miss):
@@ -235,6 +235,12 @@ def _by_piece(texts_: list[str | None]) -> Iterator[tuple[int, int]]:
         yield i, len(texts_)
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    _, offsets = string_bytes(column)
+    for i, j in pieces(offsets, PIECE):
+        yield i, j, column[i:j].to_pylist()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
@@ -318,9 +324,9 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in _by_piece(all_texts):
-                lang, score, ce, rejected = shared.value.predict(all_texts[i:j])
+            ids = batch.column("doc_id")
+            for i, j, some in _pieces(batch.column("text")):
+                lang, score, ce, rejected = shared.value.predict(some)
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(lang, pa.string()), pa.array(score), pa.array(ce), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     found = texts(docs).mapInArrow(rows, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
@@ -334,9 +340,8 @@ def keep_identified(docs: DataFrame, model: Identifier) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts = batch.column("text").to_pylist()
-            for i, j in _by_piece(all_texts):
-                lang, _, _, rejected = shared.value.predict(all_texts[i:j])
+            for i, j, some in _pieces(batch.column("text")):
+                lang, _, _, rejected = shared.value.predict(some)
                 part = batch.slice(i, j - i)
                 if "lang" in columns:
                     at = columns.index("lang")
