@@ -11,8 +11,9 @@ The method adds weak candidates: they say nothing alone and are reported only wh
   opaque    a run of 32 or more base-64 characters with a digit, a capital and a small letter
   endpoint  scheme://host, or a host under a cloud or internal suffix
 Parts become rows (document, scope, start, end). A scope is a run of lines between blank lines; parts of one scope whose intervals
-widened by `reach` characters overlap are linked by a join on (document, scope, cell), where a cell is `reach` characters and each
-part is tried in its own and the two neighbouring cells: the join is an equi-join with a residual, never a product of all parts.
+widened by `reach` characters overlap are linked by a join on (document, scope, cell), where a cell is `reach` characters: a weak part is
+in the cells that it covers, its partners in those that they cover when widened. So however long a part is no link is lost, and the
+join is an equi-join with a residual, never a product of all parts.
 A weak part is reported if it links with a part of another kind, one of the two being an identifier or a strong secret.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each for itself (an internal row number keeps them apart);
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,8 +91,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             if weak:
                 cuts = [m.end() for m in BLANK.finditer(text)]
-                scope = lambda s, cuts=cuts: sum(c <= s for c in cuts)
-                rows = [{"kind": k, "s": s, "e": e, "scope": scope(s)} for k, s, e in [*spans, *weak]]
+                rows = [{"kind": k, "s": s, "e": e, "scope": bisect_right(cuts, s)} for k, s, e in [*spans, *weak]]
             parts.append(rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("mark"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string()), pa.array(lines, pa.string()), pa.array(parts, pa.list_(PART))],
@@ -108,8 +109,9 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, mark: str | None = None) -
         .mapInArrow(_scan, "doc_id long, mark long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, parts array<struct<kind:string,s:long,e:long,scope:long>>")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    part = found.where(F.size("parts") > 0).select("row", F.inline("parts")).withColumn("cell", F.floor(F.col("s") / reach))
-    near = part.select("row", "scope", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("kind").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"))
+    part = found.where(F.size("parts") > 0).select("row", F.inline("parts"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor((b - 1) / reach))).alias("cell")
+    near = part.select("row", "scope", cells(F.col("s") - reach, F.col("e") + reach), F.col("kind").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"))
     strong = F.col("other").isin("assign", "access", "hex")
     pair = (
         ((F.col("kind") == "id") & (F.col("other").isin("opaque", "endpoint") | F.col("other").isin("assign", "hex")))
@@ -119,6 +121,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, mark: str | None = None) -
     apart = (F.col("s") >= F.col("oe")) | (F.col("os") >= F.col("e"))  # a part of the same characters complements nothing
     linked = (
         part.where(F.col("kind").isin("id", "opaque", "endpoint"))
+        .select("*", cells(F.col("s"), F.col("e")))
         .join(near, ["row", "scope", "cell"])
         .where(pair & apart & (F.col("s") < F.col("oe") + reach) & (F.col("os") < F.col("e") + reach))
         .groupBy("row", "kind", "s", "e")
