@@ -39,7 +39,9 @@ from quarry.llm.common import gather, pieces, settle, string_bytes, texts, token
 #: Fixed value: the pretokeniser of byte-level BPE, with white space spelled as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LEXICON_WORDS = 1 << 16
-PIECE = 2 << 20
+PIECE = 1 << 20
+#: Distinct chunks that a task counts before it hands on their pretokens: bounds its memory, not the result.
+CHUNKS = 75_000
 #: White space that cuts joined chunks: it is a pretoken of its own before a blank or any other character.
 MARK = "\u2028"
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -321,7 +323,7 @@ def count_words(docs: DataFrame, path: str, most: int) -> DataFrame:
                 first, *rest = (text.as_py() or "").split(" ")
                 whole.update(rest)
                 firsts[first] += 1
-                if len(whole) > 150_000:
+                if len(whole) > CHUNKS:
                     yield out()
         yield out()
 

@@ -32,7 +32,7 @@ from quarry.llm.common import mix, pieces, settle, string_bytes, texts
 
 ORDER = 4
 PER_LANGUAGE = 1500
-PIECE = 1 << 20
+PIECE = 1 << 18
 _B = np.uint64(0xD6E8FEB86659FD93)
 _lut: dict[str, np.ndarray] = {}
 
