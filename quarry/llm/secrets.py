@@ -8,7 +8,7 @@ A match that is too short is dropped after matching, so the characters it took a
 
 The method adds weak candidates: they say nothing alone and are reported only where complementary parts of one credential meet.
   id        an access identifier (base access, or `user|login|client_id|access_key_id` with a value)
-  opaque    a run of 32 or more base-64 characters with a digit, a capital and a small letter
+  opaque    a run of 32 or more base-64 characters with a digit, a capital and a small letter; it may follow an equals sign directly
   endpoint  scheme://host, or a host under a cloud or internal suffix
 Parts become rows (document, scope, start, end). A scope is a run of lines between blank lines; parts of one scope whose intervals
 widened by `reach` characters overlap are linked by a join on (document, scope, cell), where a cell is `reach` characters: a weak part is
@@ -38,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the maximal runs of 24 or more
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 IDENT = re.compile(r"""(?:user(?:name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|local|corp)\b(?::\d+)?")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 RANK = {"assign": 0, "access": 1, "hex": 2, "id": 3, "opaque": 4, "endpoint": 5}
