@@ -62,3 +62,12 @@ def test_stages_with_awkward_rows(spark):
 def test_empty_table(spark):
     docs = docs_of(spark).limit(0).select("doc_id", "text", "lang", "source", "n_chars")
     assert run_stages(spark, docs)[-1].count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (2, words(1) + " end"), (2, words(2)), (2, words(2)), (3, words(3)), (3, words(3) + " end"), (None, words(1))]
+    docs = docs_of(spark, rows, repeat=False).select("doc_id", "text")
+    got = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, None).collect()]
+    assert sorted(x for x in got if x[0] in (1, 2)) == [(1, words(1)), (2, words(2))]
+    assert len([x for x in got if x[0] == 3]) == 1 and (None, words(1)) in got and len(got) == 4
