@@ -1,10 +1,13 @@
 """op10, mixing sources to target weights: iterative proportional fitting, with DataFrame functions alone.
 
 Documents are counted into cells (source, language, topic) by tokens. The cells are raked: their weights are scaled in turn so that
-each marginal (source, language, topic) takes its target share of all tokens, until no marginal is off by more than `tolerance`. A
+each marginal (source, language, topic) takes its target share of all tokens, for a fixed number of rounds. A
 document is then kept with probability min(1, rate * weight(cell) / tokens(cell) normed to a mean of `rate`), against a uniform number
 that its id alone decides. So a rerun after a lost executor keeps the same documents.
 
+Cells that would need a probability above 1 are cut to 1 there, and their margins fall short. With `within` (the pipeline's stage) the
+cells are raked under that bound until no marginal is off by more than `tolerance`, at a lower rate where the targets need it.
+
 Targets: a map from value to share for each axis; values without one share what is left in proportion to their tokens raised to
 `alpha` (temperature: 1 keeps the corpus' own shares, 0 makes them equal). With no map this is all values.
 
@@ -33,6 +36,8 @@ AXES = ("source", "lang", "topic")
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 RATE = 0.7
 ROUNDS = 12
+TOLERANCE = 0.01
+MOST_ROUNDS = 80
 BROADCAST_CELLS = 100_000
 
 
@@ -73,14 +78,19 @@ def _target(cells: DataFrame, axis: str, shares: dict[str, float] | None, alpha:
     return own.select(axis, share.alias("raw")).select(axis, (F.col("raw") / F.sum("raw").over(everything)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: shares of all tokens after `rounds` rounds of proportional fitting."""
+def _start(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: dict[str, float] | None) -> DataFrame:
+    """Cells with tokens, with weight (their own share of all tokens) and the target share of their value on each axis (to_<axis>)."""
     alpha, targets = {**ALPHA, **(alpha or {})}, targets or {}
     total = Window.partitionBy(F.lit(1))
     now = cells.where(F.col("tokens") > 0).withColumn("weight", F.col("tokens") / F.sum("tokens").over(total))
     for axis in AXES:
         now = now.join(F.broadcast(_target(cells, axis, targets.get(axis), alpha[axis]).withColumnRenamed("share", f"to_{axis}")), axis)
-    now = settle(now)
+    return settle(now)
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: shares of all tokens after `rounds` rounds of proportional fitting."""
+    now = _start(cells, targets, alpha)
     for i in range(rounds):
         for axis in AXES:
             now = now.withColumn("weight", F.col("weight") * F.col(f"to_{axis}") / F.sum("weight").over(Window.partitionBy(axis)))
@@ -89,18 +99,55 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     return now
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = 7, topic: str | None = None) -> DataFrame:
-    """All columns of docs (those named n_tokens, topic, probability, kept or starting with mix_ aside), with topic, n_tokens, probability and kept."""
+def _worst(now: DataFrame, gap: Column) -> float:
+    """The largest gap of any value of any axis; gap is an aggregate over the value's cells that may use `to`."""
+    each = [now.withColumn("to", F.col(f"to_{axis}")).groupBy(axis).agg(gap.alias("gap")).select("gap") for axis in AXES]
+    return each[0].union(each[1]).union(each[2]).agg(F.max("gap")).first()[0] or 0.0
+
+
+def rake_within(cells: DataFrame, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, tolerance: float = TOLERANCE, every: int = 4, most: int = MOST_ROUNDS) -> DataFrame:
+    """cells with weight and rate, so that no cell is asked for more than it has (rate * weight <= its own share) and yet each marginal is
+    within `tolerance` of its target, as a part of the target.
+
+    Each round scales by the bounded weights, so what one cell cannot give the others of its margin do. The rate starts at what every single
+    margin can bear and falls by a twentieth when `every` rounds leave more than 0.7 of the worst gap. Targets that no weights reach end after
+    `most` rounds. One scalar for each `every` rounds comes to the driver.
+    """
+    now = _start(cells, targets, alpha).withColumn("own", F.col("weight"))
+    rate = min(rate, 1 / max(1e-9, _worst(now, F.max("to") / F.sum("own")))) if not now.isEmpty() else rate
+    last = float("inf")
+    for _ in range(0, most, every):
+        bounded = F.least("weight", F.col("own") / F.lit(rate))
+        for _ in range(every):
+            for axis in AXES:
+                now = now.withColumn("weight", F.col("weight") * F.col(f"to_{axis}") / F.sum(bounded).over(Window.partitionBy(axis)))
+        now = settle(now)
+        off = _worst(now, F.abs(F.sum(bounded) / F.max("to") - 1))
+        if off <= tolerance:
+            break
+        if off > 0.7 * last:
+            rate, last = rate * 0.95, float("inf")
+            now = now.withColumn("weight", F.least("weight", F.col("own") / F.lit(rate)))
+        else:
+            last = off
+    return now.withColumns({"weight": F.least("weight", F.col("own") / F.lit(rate)), "rate": F.lit(rate)})
+
+
+def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = 7, topic: str | None = None, within: bool = False) -> DataFrame:
+    """All columns of docs (those named n_tokens, topic, probability, kept or starting with mix_ aside), with topic, n_tokens, probability and kept.
+
+    within: fit under the bound that no probability is above 1 (`rake_within`), at a lower rate if need be, so that nothing is cut.
+    """
     clash = [c for c in docs.columns if c in ("n_tokens", "probability", "kept") or c.startswith("mix_") or (c == "topic" and topic != "topic")]
     text = F.col("text").cast("string")
     named = docs.drop(*clash).withColumns({"topic": F.col(topic) if topic else form_topic(text), "n_tokens": token_count(text)})
     keys = [F.coalesce(F.col(a).cast("string"), F.lit("")).alias(f"mix_{a}") for a in AXES]
     counted = docs.drop(*clash).select(*[F.coalesce((F.col(topic) if topic else form_topic(text)) if a == "topic" else F.col(a), F.lit("")).cast("string").alias(a) for a in AXES], token_count(text).alias("n"))
     cells = settle(counted.groupBy(*AXES).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")))
-    fitted = rake(cells, targets, alpha, rounds)
+    fitted = rake_within(cells, rate, targets, alpha) if within else rake(cells, targets, alpha, rounds).withColumn("rate", F.lit(float(rate)))
     ratio = F.col("weight") / F.col("tokens")
     mean = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    chance = fitted.select(*[F.col(a).alias(f"mix_{a}") for a in AXES], F.least(F.lit(1.0), F.lit(float(rate)) * ratio * mean).alias("mix_p"))
+    chance = fitted.select(*[F.col(a).alias(f"mix_{a}") for a in AXES], F.least(F.lit(1.0), F.col("rate") * ratio * mean).alias("mix_p"))
     if fitted.count() <= BROADCAST_CELLS:
         chance = F.broadcast(chance)
     u = uniform(F.col("doc_id"), seed)

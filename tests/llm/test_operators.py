@@ -516,5 +516,23 @@ def test_mixing_reaches_its_margins(spark):
     assert again.where("kept").count() == mixed.where("kept").count()
 
 
+def test_mixing_within_bounds_reaches_its_margins_at_the_usual_rate(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows = [(i, prose(20 + i % 30, i), r.choices(("en", "de", "es"), (70, 20, 10))[0], "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix_sources(d, within=True).cache()
+    for axis in ("source", "lang"):
+        free = {x[0]: x[1] ** mixing.ALPHA[axis] for x in mixed.groupBy(axis).agg({"n_tokens": "sum"}).collect()}
+        got = {x[0]: x[1] for x in mixed.selectExpr(axis, "n_tokens * probability as t").groupBy(axis).sum("t").collect()}
+        for k in free:
+            assert abs(got[k] / sum(got.values()) / (free[k] / sum(free.values())) - 1) < 0.011
+    assert 0.5 < sum(got.values()) / mixed.agg({"n_tokens": "sum"}).first()[0] <= mixing.RATE * 1.011
+    stage = corpus_pipeline.mixture(spark, d, None)
+    assert {x[0] for x in stage.select("doc_id").collect()} == {x[0] for x in mixed.where("kept").select("doc_id").collect()}
+    assert rows_of(mixing.mix_sources(d.limit(0), within=True)) == []
+
+
 def test_mixing_of_an_empty_table(empty):
     assert rows_of(mixing.mix_sources(empty)) == []
