@@ -42,4 +42,4 @@ def t8_reachable(spark, d):
     part = load(spark, d, "part")
     n = part.agg(F.count(F.lit(1)).alias("n"))
     links = part.where("p_size % 5 <> 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst"))
-    return I.reachable(links, spark.createDataFrame([(1,)], "node long"), 8)
+    return I.reachable(links, spark.createDataFrame([(1,)], "node long"))
