@@ -4,7 +4,7 @@
    lexicon's size, not the result) become the lexicon.
 2. The lexicon is compiled into a minimal acyclic automaton with shared suffixes. Each arc carries the number of words that sort before
    what it leads to, so the sum along a path is the word's rank, and the rank finds the word's token ids in one flat array: the outputs.
-3. The arrays travel as one bounded broadcast; each Python worker writes them once to an unlinked temporary file and memory-maps it.
+3. The arrays are one bounded file, which Spark ships once to each executor; its Python workers memory-map it and share the pages.
 4. Each batch looks its distinct words up, all words at once, one byte a step. Words that the automaton does not hold are merged
    exactly, all at once too: in each round every word merges the occurrences of its lowest-ranked pair, left to right.
 5. Decoding goes from ids back to bytes by the vocabulary's byte strings, then to text with replacement of invalid sequences.
@@ -20,9 +20,8 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
-import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -30,18 +29,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import gather, pieces, settle, string_bytes, texts, token_offsets
+from quarry.llm.common import gather, pieces, settle, shared_dir, string_bytes, texts, token_offsets
 
 #: Fixed value: the pretokeniser of byte-level BPE, with white space spelled as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LEXICON_WORDS = 1 << 16
 PIECE = 1 << 20
-#: Distinct chunks that a task counts before it hands on their pretokens: bounds its memory, not the result.
+#: Distinct chunks, and characters read, after which a task hands on the pretokens counted so far: they bound its memory, not the result.
 CHUNKS = 75_000
+CHARACTERS = 1 << 25
 #: White space that cuts joined chunks: it is a pretoken of its own before a blank or any other character.
 MARK = "\u2028"
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -268,28 +268,30 @@ class Lexicon:
         return out
 
 
-def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def mapped(packed: Broadcast) -> Lexicon:
-    """The lexicon as memory maps of an unlinked file, made once in each Python worker."""
-    if _state.get("lexicon_of") != packed.value[:64] + packed.value[-4096:]:
-        arrays = {}
-        with np.load(io.BytesIO(packed.value)) as found:
-            for name in found.files:
-                x = found[name]
-                if x.size:
-                    with tempfile.TemporaryFile() as f:
-                        f.write(x.tobytes())
-                        f.flush()
-                        x = np.memmap(f, x.dtype, "r", shape=x.shape)
-                arrays[name] = np.asarray(x)
-        _state["lexicon"] = Lexicon(arrays)
-        _state["lexicon_of"] = packed.value[:64] + packed.value[-4096:]
-    return _state["lexicon"]
+class Packed:
+    """Where the executors find the lexicon: one file, which Spark ships once to each of them, and what lies where in it."""
+
+    def __init__(self, spark: SparkSession, arrays: dict[str, np.ndarray]):
+        self.name, self.layout, at = f"lexicon-{uuid.uuid4().hex}", {}, 0
+        out = bytearray()
+        for k, x in arrays.items():
+            self.layout[k] = (x.dtype.str, len(x), at)
+            out += x.tobytes() + bytes(-x.nbytes % 8)
+            at = len(out)
+        jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{self.name}")
+        stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        stream.write(out)
+        stream.close()
+        sc.addFile(path.toString())
+
+    def lexicon(self) -> Lexicon:
+        """The memory-mapped lexicon; all workers of an executor share its pages."""
+        if _state.get("lexicon_of") != self.name:
+            whole = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
+            _state["lexicon"] = Lexicon({k: whole[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in self.layout.items()})
+            _state["lexicon_of"] = self.name
+        return _state["lexicon"]
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -318,13 +320,17 @@ def count_words(docs: DataFrame, path: str, most: int) -> DataFrame:
                 chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
+        read = 0
         for batch in batches:
             for text in batch.column("text"):
-                first, *rest = (text.as_py() or "").split(" ")
+                text = text.as_py() or ""
+                first, *rest = text.split(" ")
                 whole.update(rest)
                 firsts[first] += 1
-                if len(whole) > CHUNKS:
+                read += len(text)
+                if len(whole) + len(firsts) > CHUNKS or read > CHARACTERS:
                     yield out()
+                    read = 0
         yield out()
 
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
@@ -431,10 +437,10 @@ def encode(vocab: Vocabulary, lexicon: Lexicon, column: pa.Array) -> Iterator[tu
 def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     path = path or default_vocabulary()
-    packed = docs.sparkSession.sparkContext.broadcast(pack(build_lexicon(docs, path, words)))
+    packed = Packed(docs.sparkSession, build_lexicon(docs, path, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon = vocabulary(path), mapped(packed)
+        vocab, lexicon = vocabulary(path), packed.lexicon()
         for batch in batches:
             for i, j, ids, per_text, lines in encode(vocab, lexicon, batch.column("text")):
                 raw, n = vocab.decode(ids)
@@ -449,10 +455,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXI
 def token_documents(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
     """The ids themselves, and the decoded text: doc_id, ids (array), decoded."""
     path = path or default_vocabulary()
-    packed = docs.sparkSession.sparkContext.broadcast(pack(build_lexicon(docs, path, words)))
+    packed = Packed(docs.sparkSession, build_lexicon(docs, path, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon = vocabulary(path), mapped(packed)
+        vocab, lexicon = vocabulary(path), packed.lexicon()
         for batch in batches:
             for i, j, ids, per_text, _ in encode(vocab, lexicon, batch.column("text")):
                 raw, n = vocab.decode(ids)

@@ -1,7 +1,7 @@
 """op10, mixing sources to target weights: iterative proportional fitting, with DataFrame functions alone.
 
 Documents are counted into cells (source, language, topic) by tokens. The cells are raked: their weights are scaled in turn so that
-each marginal (source, language, topic) takes its target share of all tokens, for a fixed number of rounds. A
+each marginal (source, language, topic) takes its target share of all tokens, for ROUNDS rounds. A
 document is then kept with probability min(1, rate * weight(cell) / tokens(cell) normed to a mean of `rate`), against a uniform number
 that its id alone decides. So a rerun after a lost executor keeps the same documents.
 
@@ -14,14 +14,15 @@ Targets: a map from value to share for each axis; values without one share what
 The topic of a document, where the table has no such column, is its form: table (bars between cells), shout (capitals and
 exclamation marks), symbols (one in 40 characters of #*$%&|<>), or prose.
 
-Scale: documents are read twice, for the cells and for the sample; only the cells (as many as there are value combinations, a bounded
+Scale: texts are read once if they are not asked for (the query), else twice, for the cells and for the sample; only the cells (as many as there are value combinations, a bounded
 set that does not grow with documents) are shuffled, pre-aggregated on the map side. Each round of fitting is written to the shared
-folder, so the plan stays short. The table of cells goes to the documents by a broadcast below `broadcast_cells` rows, else by a
+folder, so the plan stays short. The table of cells goes to the documents by a broadcast up to BROADCAST_CELLS rows, else by a
 shuffled join.
 
 Edge cases: a null source, language or topic is a value of its own ('' in the cells); null and empty texts have no tokens, are kept
-with their cell's probability, and do not move the weights; cells without tokens are kept at `rate`; repeated rows share a fate (same id); an empty
-table gives an empty table; extra columns are left alone and clashing names are pruned.
+with their cell's probability, and do not move the weights; cells without tokens are kept at `rate`; repeated rows share a fate (same id, and
+so do all rows with a null id); very long texts are counted whole; an empty table gives an empty table; extra columns are left alone; clashing names are
+pruned by `mix_sources` and left alone too by `keep_mixed`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import settle
+from quarry.llm.common import free_names, settle
 
 AXES = ("source", "lang", "topic")
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.9}
@@ -48,7 +49,13 @@ def token_count(text: Column) -> Column:
 
 def form_topic(text: Column) -> Column:
     n = F.length(text)
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))
+
+    def count(chars: str) -> Column:
+        left = text
+        for c in chars:  # a byte search each
+            left = F.replace(left, F.lit(c), F.lit(""))
+        return n - F.length(left)
+
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, "prose")
         .when(count("|") * 25 >= n, "table")
@@ -133,30 +140,50 @@ def rake_within(cells: DataFrame, rate: float = RATE, targets: dict[str, dict[st
     return now.withColumns({"weight": F.least("weight", F.col("own") / F.lit(rate)), "rate": F.lit(rate)})
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = 7, topic: str | None = None, within: bool = False) -> DataFrame:
-    """All columns of docs (those named n_tokens, topic, probability, kept or starting with mix_ aside), with topic, n_tokens, probability and kept.
+def _chances(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: dict[str, float] | None, rate: float, rounds: int, within: bool, names: list[str]) -> DataFrame:
+    """The probability of each cell: its axes and the probability, under the given names."""
+    fitted = rake_within(cells, rate, targets, alpha) if within else rake(cells, targets, alpha, rounds).withColumn("rate", F.lit(float(rate)))
+    ratio = F.col("weight") / F.col("tokens")
+    everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    p = F.least(F.lit(1.0), F.col("rate") * ratio * everything)
+    chance = settle(fitted.select(*[F.col(a).alias(n) for a, n in zip(AXES, names, strict=False)], p.alias(names[-1])))
+    return F.broadcast(chance) if chance.count() <= BROADCAST_CELLS else chance
+
+
+def _axes(topic: str | None) -> dict[str, Column]:
+    """The cell of a document: its source, language and topic as text, '' for null."""
+    of = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic) if topic else form_topic(F.col("text").cast("string"))}
+    return {a: F.coalesce(c.cast("string"), F.lit("")) for a, c in of.items()}
+
+
+def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: int = 7, topic: str | None = None, within: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """All columns of docs (those named n_tokens, topic, probability, kept or starting with mix_ aside), or `columns`, with topic, n_tokens,
+    probability and kept. Where the text is not among `columns` it is read once: what is known of each document is written down.
 
     within: fit under the bound that no probability is above 1 (`rake_within`), at a lower rate if need be, so that nothing is cut.
     """
     clash = [c for c in docs.columns if c in ("n_tokens", "probability", "kept") or c.startswith("mix_") or (c == "topic" and topic != "topic")]
-    text = F.col("text").cast("string")
-    named = docs.drop(*clash).withColumns({"topic": F.col(topic) if topic else form_topic(text), "n_tokens": token_count(text)})
-    keys = [F.coalesce(F.col(a).cast("string"), F.lit("")).alias(f"mix_{a}") for a in AXES]
-    counted = docs.drop(*clash).select(*[F.coalesce((F.col(topic) if topic else form_topic(text)) if a == "topic" else F.col(a), F.lit("")).cast("string").alias(a) for a in AXES], token_count(text).alias("n"))
-    cells = settle(counted.groupBy(*AXES).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")))
-    fitted = rake_within(cells, rate, targets, alpha) if within else rake(cells, targets, alpha, rounds).withColumn("rate", F.lit(float(rate)))
-    ratio = F.col("weight") / F.col("tokens")
-    mean = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    chance = fitted.select(*[F.col(a).alias(f"mix_{a}") for a in AXES], F.least(F.lit(1.0), F.col("rate") * ratio * mean).alias("mix_p"))
-    if fitted.count() <= BROADCAST_CELLS:
-        chance = F.broadcast(chance)
-    u = uniform(F.col("doc_id"), seed)
+    docs, text = docs.drop(*clash), F.col("text").cast("string")
+    names = [*(f"mix_{a}" for a in AXES), "mix_p"]
+    own = docs.withColumns(dict(zip(names, _axes(topic).values(), strict=False)) | {"topic": F.col(topic) if topic else form_topic(text), "n_tokens": token_count(text)})
+    carried = list(dict.fromkeys([*(columns or docs.columns), "topic", "n_tokens"]))
+    own = own.select(*carried, *names[:-1])
+    if "text" not in carried:
+        own = settle(own)
+    cells = settle(own.groupBy(*[F.col(f"mix_{a}").alias(a) for a in AXES]).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     p = F.coalesce(F.col("mix_p"), F.lit(float(rate)))
-    return (
-        named.select("*", *keys)
-        .join(chance, [f"mix_{a}" for a in AXES], "left")
-        .select(*named.columns, p.alias("probability"), (u < p).alias("kept"))
-    )
+    joined = own.join(_chances(cells, targets, alpha, rate, rounds, within, names), names[:-1], "left")
+    return joined.select(*carried, p.alias("probability"), (uniform(F.col("doc_id"), seed) < p).alias("kept"))
+
+
+def keep_mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, seed: int = 7, topic: str | None = None) -> DataFrame:
+    """The sampled documents with their own columns, whatever their names, by probabilities that are nowhere above 1 (`rake_within`)."""
+    counted = docs.select(*[c.alias(a) for a, c in _axes(topic).items()], token_count(F.col("text").cast("string")).alias("n"))
+    cells = settle(counted.groupBy(*AXES).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    names = free_names(docs.columns, *(f"mix_{a}" for a in AXES), "mix_p")
+    wide = docs.withColumns(dict(zip(names, _axes(topic).values(), strict=False)))
+    p = F.coalesce(F.col(names[-1]), F.lit(float(rate)))
+    return wide.join(_chances(cells, targets, alpha, rate, 0, True, names), names[:-1], "left").where(uniform(F.col("doc_id"), seed) < p).select(*docs.columns)
 
 
 ORACLE = """

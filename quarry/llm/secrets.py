@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle
+from quarry.llm.common import free_names, pieces, settle, string_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -45,6 +45,7 @@ RANK = {"assign": 0, "access": 1, "hex": 2, "id": 3, "opaque": 4, "endpoint": 5}
 _RUN = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _LONG = bytes(1 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 0 for b in range(256))
 REACH = 400
+PIECE = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -77,8 +78,16 @@ def _line(spans: list[tuple[str, int, int]]) -> str:
 PART = pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("scope", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about PIECE bytes of text: only so much at a time is made into Python strings."""
     for batch in batches:
+        _, offsets = string_bytes(batch.column("text"))
+        for i, j in pieces(offsets, PIECE):
+            yield batch.slice(i, j - i)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _by_piece(batches):
         counts, digests, lines, parts = [], [], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text) if text else []
@@ -156,21 +165,22 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Base spans are found again where they are masked; only spans that the linking added travel, by id and a hash of the text.
     """
-    found = scan_secrets(docs.select("doc_id", "text", F.xxhash64("text").alias("_h")), reach, "_h").where("spans <> base").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("spans").alias("_spans")).distinct()
-    few = settle(found)
+    own, key, more = free_names(docs.columns, "own_id", "text_hash", "all_spans")
+    found = scan_secrets(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), reach, "text_hash").where("spans <> base")
+    few = settle(found.select(F.col("doc_id").alias(own), F.col("text_hash").alias(key), F.col("spans").alias(more)).distinct())
     if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
-    wide = docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(few["_k"]), "left").drop("_d", "_k")
+    wide = docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few[own]) & F.xxhash64(docs["text"]).eqNullSafe(few[key]), "left").drop(own, key)
     columns = docs.columns
     at, n_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_piece(batches):
             out = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, added in zip(batch.column("text").to_pylist(), batch.column(more).to_pylist(), strict=True):
                 if text:
                     spans = [(s, e) for _, s, e in base_spans(text)]
-                    spans += [tuple(map(int, x.split(":")[1:])) for x in (more or "").split(",") if x]
+                    spans += [tuple(map(int, x.split(":")[1:])) for x in (added or "").split(",") if x]
                     text = mask(text, spans) if spans else text
                 out.append(text)
             own = batch.select(columns).set_column(at, "text", pa.array(out, pa.string()))
