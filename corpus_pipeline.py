@@ -1,24 +1,27 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
 1. language   documents that the identifier rejects go; a null lang is filled in
-2. near-dups  of each component of the 3-word Jaccard join (0.9 or more) the document with the smallest id stays
+2. near-dups  of each component of the Jaccard join (5-word shingles, 0.8 or more) the document with the smallest id stays
 3. secrets    reported spans are masked in the text; no document goes
 4. mixing     documents are sampled to source, language and topic targets
 5. tokens     documents are encoded to token ids and decoded again
 
-The first four return the columns of documents. Documents with a null id cannot be told apart, so none of them goes in stage 2; of
-repeated rows of one id and text one stays there. Rows of one id with different texts are judged each by its own text. SQL cannot express the models of stages 1 and 5, so there is no ORACLE_SQL; tests compare
-each stage with a plain version.
+The first four return the columns of documents, whatever other columns there are and however they are named. Documents with a null id
+cannot be told apart, so none of them goes in stage 2; of repeated rows of one id and text one stays there. Rows of one id with
+different texts are judged each by its own text. SQL cannot express the models of stages 1 and 5, so there is no ORACLE_SQL; tests
+compare each stage with a plain version.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm import bpe, jaccard, langid, mixing, secrets
-from quarry.llm.common import settle, table
+from quarry.llm.common import free_names, settle, table
+
+#: Near-duplicates link from this similarity on, in words of so many a shingle.
+PERCENT, WORDS = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +29,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    found = settle(jaccard.similar_components(marked, mark="_mark").where("doc_id is not null").select("doc_id", "_mark", "first"))
-    gone = found.where("not first").select(F.col("doc_id").alias("_gone"), F.col("_mark").alias("_m")).distinct()
-    left = marked.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_mark") == F.col("_m")), "left_anti")
-    repeated = found.groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.limit(1).count():
-        order = Window.partitionBy("doc_id", "_mark").orderBy(F.xxhash64(*docs.columns))
-        left = left.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null")
+    mark, gone_id, gone_mark = free_names(docs.columns, "mark", "gone_id", "gone_mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    judged = marked.select("doc_id", "text", F.col(mark).alias("text_hash"))
+    found = jaccard.similar_components(judged, PERCENT, WORDS, mark="text_hash").where("doc_id is not null").select("doc_id", "text_hash", "first")
+    found = settle(found.groupBy("doc_id", "text_hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("rows")))
+    keys = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_mark)]
+    same = (F.col("doc_id") == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    left = marked.join(found.where("not first").select(*keys), same, "left_anti")
+    repeated = found.where("first and rows > 1").select(*keys)
+    if not repeated.isEmpty():  # one row of each; the least by a hash of all columns, so that a rerun keeps the same
+        each = left.join(repeated, same, "left_semi").groupBy("doc_id", mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        left = left.join(repeated, same, "left_anti").select(*docs.columns).union(each.select("row.*"))
     return left.select(*docs.columns)
 
 
@@ -42,7 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, within=True).where("kept").select(*docs.columns)
+    return mixing.keep_mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
