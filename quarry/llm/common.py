@@ -34,9 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES, where the session has not set another size: texts are long, and rows alone do not bound a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: what follows neither recomputes it nor needs the executors that made it."""
     spark = df.sparkSession
+    bound_batches(spark)
     at = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
@@ -60,6 +71,7 @@ def parts(spark: SparkSession, times: int = 1) -> int:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long), further columns by name, and text, with every other column pruned."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in more], F.col("text").cast("string").alias("text"))
 
 
