@@ -230,9 +230,16 @@ def unpack_id(c: Column, i: int) -> Column:
     return F.get(F.split(c, ":"), F.lit(i))
 
 
+#: What a user says who goes on to another machine.
+ANOTHER_MACHINE = (
+    "un'altra macchina", "altra macchina", "un altro trattore", "altro trattore", "cambiamo macchina", "nuova macchina", "un'altra domanda su",
+    "passiamo a(?:d)? un'?altra?", "passiamo al(?:la)? (?:macchina|trattore)",
+)
+
+
 def asks_another_machine(c: Column) -> Column:
     """the text speaks of another machine."""
-    return c.rlike(r"(?i)\b(altr[ao]|divers[ao]|nuov[ao])\s+(macchina|trattore|modello|mezzo)\b")
+    return c.rlike(rf"(?i)\b({'|'.join(ANOTHER_MACHINE)})\b")
 
 
 def position_number(c: Column) -> Column:

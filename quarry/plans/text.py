@@ -238,9 +238,20 @@ def f33_pack_id(spark, d):
     return packed.select("*", T.unpack_id(F.col("id"), 1).alias("middle"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(altr[ao]|divers[ao]|nuov[ao])\\s+(macchina|trattore|modello|mezzo)\\b') AS asks FROM conversations")
+SAID = ("Cambiamo macchina?", "un'altra domanda su questo", "passiamo al trattore", "passiamo ad un'altra", "un diverso modello", "un mezzo nuovo", "altro trattore")
+
+
+@query(
+    "SELECT conv_id, turn, regexp_matches(coalesce(text, '') || ' ' || (["
+    + ", ".join("'" + x.replace("'", "''") + "'" for x in SAID)
+    + f"])[(conv_id + turn) % {len(SAID)} + 1], '(?i)\\b("
+    + "|".join(T.ANOTHER_MACHINE).replace("'", "''")
+    + ")\\b') AS asks FROM conversations"
+)
 def f36_another_machine(spark, d):
-    return load(spark, d, "conversations").select("conv_id", "turn", T.asks_another_machine(F.col("text")).alias("asks"))
+    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % len(SAID) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said)
+    return load(spark, d, "conversations").select("conv_id", "turn", T.asks_another_machine(text).alias("asks"))
 
 
 @query("SELECT p_partkey, 'Part ' || p_partkey || ' - ' || p_name || ' (' || p_type || ')' AS rich, p_name AS base FROM part")

@@ -93,3 +93,15 @@ def test_stream_upsert_replays_to_the_same_table(spark, tmp_path):
         I.ingest(I.file_stream(spark, str(tmp_path / "in"), rows.schema, 2), ["k"], "seq", str(tmp_path / "out"), str(tmp_path / f"state{run}"), 4).awaitTermination()
         got = spark.read.parquet(str(tmp_path / "out")).select("k", "seq").collect()
         assert sorted(map(tuple, got)) == [(k, 450 + k) for k in range(50)]
+
+
+def test_more_queries_than_one_block_give_the_same_neighbours(spark, monkeypatch):
+    from quarry.operators import vector
+
+    rows = [(i, [float((i * k) % 7) + 0.1 * k for k in range(1, 6)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    asked = d.selectExpr("id as query", "v as vector")
+    want = sorted(map(tuple, vector.top_k(d, asked, "id", "v", 4).collect()))
+    monkeypatch.setattr(vector, "QUERY_MB", 0.0002)
+    assert len(want) == 240 and sorted(map(tuple, vector.top_k(d, asked, "id", "v", 4).collect())) == want
+    assert vector.top_k(d, asked.limit(0), "id", "v", 4).count() == 0
