@@ -40,20 +40,26 @@ def resolve_serials(requests: DataFrame, variants: DataFrame, most: int = 3) ->
     """J11 and J12 together. requests (request, serial), variants (variant, starts: catalog text) -> one row per request: outcome (found, ambiguous,
     none_compatible, too_early, unreadable), variant, start, n_variants.
 
-    A serial of digits alone fits every variant; else the prefixes must have one length and differ in at most `most` places. Prefixes are
-    matched among the distinct ones (few, whatever the rows), by an equi-join on their length.
+    A serial of digits alone fits every variant; else the prefixes must have one length and differ in at most `most` places. Starts are gathered
+    once for each distinct prefix asked (few, whatever the rows), and the distinct (prefix, number) asked meet them in one as-of: no pairs of
+    requests and variants are made.
     """
-    starts = variants.select("variant", F.inline(S.catalog_starts(F.col("starts")))).withColumnRenamed("prefix", "p").withColumnRenamed("n", "start")
-    asked = requests.select("request", S.split_serial(F.col("serial")).alias("k"), S.digits_only(F.col("serial")).alias("bare")).select("request", F.coalesce("k.prefix", F.lit("")).alias("q"), F.col("k.n").alias("n"), "bare")
-    known, wanted = starts.select("p").distinct(), asked.where("n is not null").select("q", "bare").distinct()
-    fits = wanted.where("not bare").join(known.withColumn("len", F.length("p")), F.length("q") == F.col("len")).where(S.compatible(F.col("q"), F.col("p"), most)).select("q", "bare", "p")
-    fits = fits.union(wanted.where("bare").join(known, F.lit(True)).select("q", "bare", "p"))
-    candidate = asked.join(fits, ["q", "bare"]).join(starts, "p")
-    best = candidate.groupBy("request").agg(F.max(F.when(F.col("start") <= F.col("n"), F.col("start"))).alias("best"))
-    at_best = candidate.join(best, "request").where("start = best").groupBy("request").agg(F.countDistinct("variant").alias("n_variants"), F.min("variant").alias("variant"))
-    out = asked.join(best, "request", "left").join(at_best, "request", "left").join(candidate.select("request").distinct().withColumn("any", F.lit(True)), "request", "left")
-    outcome = F.when(F.col("n").isNull(), "unreadable").when(F.col("any").isNull(), "none_compatible").when(F.col("best").isNull(), "too_early").when(F.col("n_variants") > 1, "ambiguous").otherwise("found")
-    return out.select("request", outcome.alias("outcome"), F.when(F.col("n_variants") == 1, F.col("variant")).alias("variant"), F.col("best").alias("start"), F.coalesce("n_variants", F.lit(0)).cast("long").alias("n_variants"))
+    starts = variants.select("variant", F.inline(S.catalog_starts(F.col("starts")))).select("variant", F.col("prefix").alias("p"), F.col("n").alias("start")).distinct()
+    bare = S.digits_only(F.col("serial"))
+    prefix = F.when(bare, "").otherwise(F.coalesce("k.prefix", F.lit("")))
+    asked = requests.select("request", S.split_serial(F.col("serial")).alias("k"), "serial").select("request", prefix.alias("q"), F.col("k.n").alias("n"), bare.alias("bare"))
+    probes = asked.where("n is not null").select("q", "bare", "n").distinct()
+
+    fits = near_pairs(probes.where("not bare").select("q"), "q", starts, "p", most)
+    some = starts.join(fits, "p").select("q", F.lit(False).alias("bare"), "start", "variant")
+    every = starts.select(F.lit("").alias("q"), F.lit(True).alias("bare"), "start", "variant")
+    merged = some.union(every)
+
+    hits = as_of(probes, merged, ["q", "bare"], "n", "start")
+    out = asked.join(hits, ["q", "bare", "n"], "left").join(merged.select("q", "bare").distinct().withColumn("any", F.lit(True)), ["q", "bare"], "left")
+    found = F.coalesce("n_at_start", F.lit(0))
+    outcome = F.when(F.col("n").isNull(), "unreadable").when(F.col("any").isNull(), "none_compatible").when(F.col("start").isNull(), "too_early").when(found > 1, "ambiguous").otherwise("found")
+    return out.select("request", outcome.alias("outcome"), F.when(found == 1, F.col("variant")).alias("variant"), "start", found.cast("long").alias("n_variants"))
 
 
 def one_digit_neighbours(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,9 +97,17 @@ def all_contexts(types: DataFrame, column: str, contexts: DataFrame) -> DataFram
     return distinct.join(hit.groupBy(column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", "words"))), lambda x: x["words"]), " ").alias("words")), column, "left").fillna("", ["words"])
 
 
-def one_blank_pairs(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """Pairs whose texts a and b have one length and differ in at most one place: an equi-join on the texts with one place blanked."""
-    def blanked(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(name)))).withColumn("_k", F.overlay(name, F.lit("?"), F.col("_i")))
+def near_pairs(left: DataFrame, a: str, right: DataFrame, b: str, most: int = 3) -> DataFrame:
+    """The pairs of distinct texts a of left and b of right that have one length and differ in at most `most` places.
+
+    Cut into most + 1 segments, such texts agree in one of them, so this is an equi-join on (length, number of the segment, segment). A pair that
+    agrees in several is kept at the first. Null texts pair with nothing."""
+    def cut(df: DataFrame, name: str, segments: str) -> DataFrame:
+        edge = lambda i: F.floor(F.length(name) * i / (most + 1)).cast("int")
+        parts = F.array(*[F.substring(F.col(name), edge(i) + 1, edge(i + 1) - edge(i)) for i in range(most + 1)])
+        texts = df.select(name).where(F.col(name).isNotNull()).distinct().select(name, F.length(name).alias("_len"), parts.alias(segments))
+        return texts.select("*", F.posexplode(segments).alias("_i", "_k"))
 
-    return blanked(left, a).join(blanked(right, b), ["_i", "_k"]).drop("_i", "_k").distinct()
+    pairs = cut(left, a, "_sa").join(cut(right, b, "_sb"), ["_len", "_i", "_k"])
+    first = F.array_position(F.zip_with("_sa", "_sb", lambda x, y: x == y), F.lit(True)) == F.col("_i") + 1
+    return pairs.where(first & S.compatible(F.col(a), F.col(b), most)).select(a, b)

@@ -38,9 +38,9 @@ def s5_json_normaliser(spark, d):
     return load(spark, d, "part").select("p_partkey", H.pick(obj, "name", "title").alias("label"), H.truth(F.get_json_object(obj, "$.sell")).alias("sellable"))
 
 
-@query("SELECT p_brand, count(*) AS items, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part WHERE p_size < 20 GROUP BY 1")
+@query("SELECT p_brand, count(*) AS items, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")
 def s4_json_list(spark, d):
-    made = load(spark, d, "part").where("p_size < 20").groupBy("p_brand").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.col("p_name").alias("des"))))).alias("j"))
+    made = load(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.col("p_name").alias("des"))))).alias("j"))
     items = made.select("p_brand", F.inline(H.json_items(F.col("j"))))
     return items.groupBy("p_brand").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.col("id").cast("long"))), lambda x: x.cast("string")), ",").alias("ids"))
 
@@ -48,16 +48,16 @@ def s4_json_list(spark, d):
 def table_pages(spark, d):
     """Pages whose body is a table of an order's lines: made from the tables, as the portals write them."""
     cell = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td><a href='/part/"), F.col("l_partkey").cast("string"), F.lit("'>P"), F.col("l_partkey").cast("string"), F.lit("</a></td><td> "), "p_name", F.lit("<br>"), F.col("p_type"), F.lit(" </td></tr>"))
-    rows = load(spark, d, "lineitem").where("l_orderkey < 1000").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit("<html><table><tr><th>Pos</th></tr>"), F.array_join(F.array_sort(F.collect_list(cell)), ""), F.lit("</table></html>")).alias("html"))
 
 
-@query("SELECT l_orderkey AS page_id, l_linenumber::VARCHAR AS position, 'P' || l_partkey AS code, p_name || ' ' || p_type AS description, '/part/' || l_partkey AS href FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey AS page_id, l_linenumber::VARCHAR AS position, 'P' || l_partkey AS code, p_name || ' ' || p_type AS description, '/part/' || l_partkey AS href FROM lineitem JOIN part ON p_partkey = l_partkey")
 def s6_table_rows(spark, d):
     return H.wide_rows(H.table_cells(table_pages(spark, d)), ["position", "code", "description"], 3).select("page_id", "position", "code", "description", "href")
 
 
-@query("SELECT DISTINCT l_orderkey AS page_id, 'P' || l_partkey AS code FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT DISTINCT l_orderkey AS page_id, 'P' || l_partkey AS code FROM lineitem")
 def s6_keep_first(spark, d):
     return H.keep_first(H.wide_rows(H.table_cells(table_pages(spark, d)), ["position", "code", "description"], 3), "code").select("page_id", "code")
 
@@ -67,9 +67,9 @@ def s13_page_total(spark, d):
     return load(spark, d, "part").select("p_partkey", H.page_total(F.concat(F.lit("1 of 3 ... Pagina 2 di "), (F.col("p_size") + 7).cast("string"))).alias("total"))
 
 
-@query("SELECT l_orderkey AS grid, l_linenumber AS row, c AS col, 'q' || (c - c % (1 + l_linenumber % 3)) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 3000), range(0, 6) AS t(c)")
+@query("SELECT l_orderkey AS grid, l_linenumber AS row, c AS col, 'q' || (c - c % (1 + l_linenumber % 3)) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), range(0, 6) AS t(c)")
 def s14_fill_merged(spark, d):
-    keys = load(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).distinct()
+    keys = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).distinct()
     cells = keys.select("grid", "row", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("col"))
     return D.fill_merged(cells.withColumn("text", F.when(F.col("col") % (1 + F.col("row") % 3) == 0, F.concat(F.lit("q"), F.col("col").cast("string"))))).select("grid", "row", "col", "text")
 
