@@ -12,8 +12,11 @@ each transcript gives role and turn of every line that is not blank; a marker is
 
 one after the other, turns of one role in a row being kept apart where the path begins a new one.
 
-Scale: conversations are cut into parts of TURNS turn numbers, each a transcript of its own (the chain starts anew at a cut, which always lies between
-turns), so no group grows without bound; the shuffle is by (conv_id, part).
+Scale: conversations are cut between turns into parts of TURNS turn numbers, a row each; the shuffle is by (conv_id, part). The chain goes on across cuts:
+where a conversation has several parts, each gives the best score from every first to every last state, one small matrix, and these are
+chained by conversation; each part's path is then taken between the states that the best path of the whole conversation has at its ends. So roles and
+turns don't depend on TURNS (but for paths of equal probability), and `continues` says that a part's first turn is the rest of the one before it. Learning sorts
+the lines of a conversation for one window over neighbours, which spills.
 
 Edge cases: a null text is an empty turn and gives no line; a transcript without lines renders to the empty string with no turns; a null role is not learned from;
 turns that repeat a number follow each other in order of their texts; a null conv_id is one conversation, a null turn comes first; with
@@ -49,21 +52,47 @@ class Model:
     move: np.ndarray  # (states, states)
     emit: list[np.ndarray]  # per feature (states, values)
 
-    def path(self, features: np.ndarray) -> np.ndarray:
-        """The most probable states of lines (n, features). Ties: the first state."""
+    def path(self, features: np.ndarray, first: int | None = None, last: int | None = None) -> np.ndarray:
+        """The most probable states of lines (n, features), from state `first` and to state `last` where they are given. Ties: the first state."""
         score = sum(e[:, features[:, k]] for k, e in enumerate(self.emit)).T
         best = self.start + score[0]
+        if first is not None:
+            best = np.where(np.arange(len(best)) == first, score[0], -np.inf)
         back = np.zeros((len(score), len(best)), np.int64)
         for t in range(1, len(score)):
             via = best[:, None] + self.move
             back[t] = via.argmax(axis=0)
             best = via[back[t], np.arange(len(best))] + score[t]
         out = np.zeros(len(score), np.int64)
-        out[-1] = best.argmax()
+        out[-1] = best.argmax() if last is None else last
         for t in range(len(score) - 1, 0, -1):
             out[t - 1] = back[t, out[t]]
         return out
 
+    def spans(self, features: np.ndarray) -> np.ndarray:
+        """The best score of lines (n, features) from each first state (rows) to each last state, but for what is above the first line."""
+        score = sum(e[:, features[:, k]] for k, e in enumerate(self.emit)).T
+        best = np.full(self.move.shape, -np.inf)
+        np.fill_diagonal(best, score[0] - self.emit[-1][:, features[0, -1]])
+        for row in score[1:]:
+            best = (best[:, :, None] + self.move).max(axis=1) + row
+        return best
+
+    def chain(self, parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        """The first and last state of each part on the best path through all of them, from the parts' spans."""
+        best, back = None, []
+        for spans in parts:
+            enter = self.start if best is None else (best[:, None] + self.move).max(axis=0)
+            via = None if best is None else (best[:, None] + self.move).argmax(axis=0)
+            through = (enter + self.emit[-1][:, 0 if best is None else 1])[:, None] + spans
+            back.append((via, through.argmax(axis=0)))
+            best = through.max(axis=0)
+        out, last = [], None if best is None else int(best.argmax())
+        for via, first in reversed(back):
+            out.append((int(first[last]), last))
+            last = None if via is None else int(via[first[last]])
+        return out[::-1]
+
 
 def held_out(conv_id: Column) -> Column:
     return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -111,8 +140,8 @@ def fit(conversations: DataFrame) -> Model:
     return Model(roles, markers, np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), [np.log(e / e.sum(axis=1, keepdims=True)) for e in emit])
 
 
-def parse(transcript: str, model: Model) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
+def read(transcript: str, model: Model) -> tuple[list[str], np.ndarray]:
+    """The lines that are not blank, without their markers, and their features."""
     rows, features, gap, first = [], [], False, True
     for line in transcript.split("\n"):
         if not line.strip(" \t\r\x0b\f"):
@@ -123,10 +152,16 @@ def parse(transcript: str, model: Model) -> list[tuple[str, str]]:
         features.append((model.markers.index(marker), min(int(np.log2(len(line) + 1)), LENGTHS - 1), int("?" in line), 0 if first else 1 if gap else 2))
         rows.append(line[m.end() :] if m else line)
         gap = first = False
+    return rows, np.array(features)
+
+
+def parse(transcript: str, model: Model, first: int | None = None, last: int | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn; `first` and `last` as in Model.path."""
+    rows, features = read(transcript, model)
     if not rows:
         return []
     out: list[tuple[str, list[str]]] = []
-    for s, line in zip(model.path(np.array(features)).tolist(), rows, strict=True):
+    for s, line in zip(model.path(features, first, last).tolist(), rows, strict=True):
         role = model.roles[s // 2]
         if not out or s % 2 == 0 or out[-1][0] != role:
             out.append((role, []))
@@ -147,23 +182,57 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "part", F.array_join(F.transform("ts", lambda t: t["text"]), "\n\n").alias("transcript"), F.transform(spoken, lambda t: t["role"]).alias("true_roles"))
 
 
+def part_ends(found: DataFrame, model: Model) -> DataFrame:
+    """conv_id, part, first, last, continues: the states at the ends of each part that has lines, on the best path of its whole conversation."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+    key = found.schema["conv_id"].dataType.simpleString()
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("transcript").to_pylist():
+                rows, features = read(text or "", shared.value)
+                out.append(shared.value.spans(features).ravel().tolist() if rows else None)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(out, pa.list_(pa.float64()))], names=["conv_id", "part", "spans"])
+
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        n = len(shared.value.start)
+        ends = shared.value.chain([np.array(x).reshape(n, n) for x in table.column("spans").to_pylist()])
+        goes_on = [i > 0 and a % 2 == 1 and a // 2 == ends[i - 1][1] // 2 for i, (a, _) in enumerate(ends)]
+        columns = [pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32()), pa.array(goes_on, pa.bool_())]
+        return pa.Table.from_arrays([table.column("conv_id"), table.column("part"), *columns], names=["conv_id", "part", "first", "last", "continues"])
+
+    scored = found.mapInArrow(spans, f"conv_id {key}, part long, spans array<double>").where("spans is not null")
+    return scored.groupBy("conv_id").applyInArrow(chain, f"conv_id {key}, part long, first int, last int, continues boolean")
+
+
 def format_transcripts(found: DataFrame, model: Model) -> DataFrame:
-    """From (conv_id, part, transcript, true_roles): n_turns, roles, turns, rendered, rendered_sha256, and whether the roles are those the table has."""
+    """From (conv_id, part, transcript, true_roles): n_turns, roles, turns, rendered, rendered_sha256, whether the roles are those the table has, and
+    whether the first turn continues the last one of the part before. Parts are chained by conversation where one has several."""
+    several = found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select(F.col("conv_id").alias("_conv"))
+    if several.isEmpty():
+        found = found.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int"), "continues": F.lit(False)})
+    else:
+        ends = part_ends(found.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), model).select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "first", "last", "continues")
+        found = found.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left").drop("_conv", "_part")
+        found = found.fillna(False, ["continues"])
     shared = found.sparkSession.sparkContext.broadcast(model)
     turn = pa.struct([("role", pa.string()), ("text", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse(t or "", shared.value) for t in batch.column("transcript").to_pylist()]
+            ends = zip(batch.column("transcript").to_pylist(), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)
+            parsed = [parse(t or "", shared.value, first, last) for t, first, last in ends]
             roles = [",".join(r for r, _ in x) for x in parsed]
             text = [render(x) for x in parsed]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("part"), pa.array([len(x) for x in parsed], pa.int64()), pa.array(roles, pa.string()), pa.array([[{"role": r, "text": t} for r, t in x] for x in parsed], pa.list_(turn)), pa.array(text, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()), pa.array([r == ",".join(t or []) for r, t in zip(roles, batch.column("true_roles").to_pylist(), strict=True)], pa.bool_())],
-                names=["conv_id", "part", "n_turns", "roles", "turns", "rendered", "rendered_sha256", "roles_match"],
+                [batch.column("conv_id"), batch.column("part"), pa.array([len(x) for x in parsed], pa.int64()), pa.array(roles, pa.string()), pa.array([[{"role": r, "text": t} for r, t in x] for x in parsed], pa.list_(turn)), pa.array(text, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()), pa.array([r == ",".join(t or []) for r, t in zip(roles, batch.column("true_roles").to_pylist(), strict=True)], pa.bool_()), batch.column("continues")],
+                names=["conv_id", "part", "n_turns", "roles", "turns", "rendered", "rendered_sha256", "roles_match", "continues"],
             )
 
     key = found.schema["conv_id"].dataType.simpleString()
-    return found.mapInArrow(rows, f"conv_id {key}, part long, n_turns long, roles string, turns array<struct<role:string,text:string>>, rendered string, rendered_sha256 string, roles_match boolean")
+    return found.mapInArrow(rows, f"conv_id {key}, part long, n_turns long, roles string, turns array<struct<role:string,text:string>>, rendered string, rendered_sha256 string, roles_match boolean, continues boolean")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

@@ -262,6 +262,48 @@ def test_viterbi_is_the_best_path(spark):
     assert np.isclose(score(best), score(model.path(lines)))
 
 
+def test_chat_does_not_depend_on_the_size_of_parts(spark, monkeypatch):
+    def whole(turns):
+        monkeypatch.setattr(chat, "TURNS", turns)
+        out = {}
+        for r in sorted(rows_of(chat.format_chats(long_talk)), key=lambda r: (repr(r["conv_id"]), r["part"])):
+            said = [(t["role"], t["text"]) for t in r["turns"]]
+            before = out.setdefault(r["conv_id"], [])
+            if r["continues"]:
+                role, text = said.pop(0)
+                assert role == before[-1][0]
+                before[-1] = (role, before[-1][1] + "\n" + text)
+            before += said
+        return out
+
+    extra = [(500, t, "user" if t % 3 else "assistant", f"line {t}?\nmore" if t % 3 else prose(30, t)) for t in range(90)] + [(500, 40, "user", "   "), (None, 300, "user", "bye?")]
+    long_talk = talk(spark).union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    one = whole(1 << 40)
+    assert len(one) == 64 and len(one[500]) > 1
+    for turns in (1, 2, 7):
+        assert whole(turns) == one
+
+
+def test_chained_parts_are_the_best_path(spark):
+    model = chat.fit(talk(spark))
+    r = np.random.default_rng(1)
+    lines = np.column_stack([r.integers(0, n, 40) for n in (len(model.markers), chat.LENGTHS, chat.FLAGS, chat.ABOVE)])
+    lines[0, 3], lines[[9, 10, 25], 3] = 0, 1
+    want = model.path(lines)
+    cuts = [lines[:9], lines[9:10], lines[10:25], lines[25:]]
+    ends = model.chain([model.spans(x) for x in cuts])
+    assert [s for x, (a, b) in zip(cuts, ends) for s in model.path(x, a, b)] == want.tolist()
+    assert model.chain([]) == []
+
+
+def test_chat_with_columns_of_its_own_names_and_a_very_long_text(spark):
+    rows = [(1, 0, "user", "word? " * 200_000, 1, 2, "x"), (1, 5000, "assistant", "yes\n" * 50_000, 1, 2, "x"), (2, 0, "user", "hi?", 1, 2, "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, first int, transcript string")
+    found = rows_of(chat.format_chats(d))
+    assert sorted((r["conv_id"], r["part"]) for r in found) == [(1, 0), (1, 2), (2, 0)]
+    assert sum(len(r["rendered"]) for r in found) > 1_300_000
+
+
 def test_chat_of_an_empty_table(spark):
     assert rows_of(chat.format_chats(talk(spark).limit(0))) == []
 
