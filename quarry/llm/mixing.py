@@ -2,11 +2,12 @@
 
 Documents are counted into cells (source, language, topic) by tokens. The cells are raked: their weights are scaled in turn so that
 each marginal (source, language, topic) takes its target share of all tokens, for ROUNDS rounds. A
-document is then kept with probability min(1, rate * weight(cell) / tokens(cell) normed to a mean of `rate`), against a uniform number
+document is then kept with probability rate * weight(cell) / own share of all tokens(cell), against a uniform number
 that its id alone decides. So a rerun after a lost executor keeps the same documents.
 
-Cells that would need a probability above 1 are cut to 1 there, and their margins fall short. With `within` (the pipeline's stage) the
-cells are raked under that bound until no marginal is off by more than `tolerance`, at a lower rate where the targets need it.
+The rate is lowered to what the scarcest cell can bear, so that no probability is above 1 and no margin is cut short. With `within` (the
+pipeline's stage) the cells are raked under that bound until no marginal is off by more than `tolerance`, which keeps more tokens: a scarce
+cell's part goes to the others of its margins, and the rate falls only where the targets need it.
 
 Targets: a map from value to share for each axis; values without one share what is left in proportion to their tokens raised to
 `alpha` (temperature: 1 keeps the corpus' own shares, 0 makes them equal). With no map this is all values.
@@ -140,9 +141,16 @@ def rake_within(cells: DataFrame, rate: float = RATE, targets: dict[str, dict[st
     return now.withColumns({"weight": F.least("weight", F.col("own") / F.lit(rate)), "rate": F.lit(rate)})
 
 
+def _borne(raked: DataFrame, rate: float) -> DataFrame:
+    """With rate: the given one, or the least that a cell's own share bears."""
+    everything = Window.partitionBy(F.lit(1))
+    own = F.col("tokens") / F.sum("tokens").over(everything)
+    return raked.withColumn("bears", own / F.col("weight")).withColumn("rate", F.least(F.lit(float(rate)), F.min("bears").over(everything))).drop("bears")
+
+
 def _chances(cells: DataFrame, targets: dict[str, dict[str, float]] | None, alpha: dict[str, float] | None, rate: float, rounds: int, within: bool, names: list[str]) -> DataFrame:
     """The probability of each cell: its axes and the probability, under the given names."""
-    fitted = rake_within(cells, rate, targets, alpha) if within else rake(cells, targets, alpha, rounds).withColumn("rate", F.lit(float(rate)))
+    fitted = rake_within(cells, rate, targets, alpha) if within else _borne(rake(cells, targets, alpha, rounds), rate)
     ratio = F.col("weight") / F.col("tokens")
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     p = F.least(F.lit(1.0), F.col("rate") * ratio * everything)
@@ -211,7 +219,8 @@ r AS (
   SELECT i + 1, source, lang, topic, tokens, ts, tl, tt, w * tt / sum(w) OVER (PARTITION BY topic) FROM (
     SELECT * REPLACE (w * tl / sum(w) OVER (PARTITION BY lang) AS w) FROM (
       SELECT * REPLACE (w * ts / sum(w) OVER (PARTITION BY source) AS w) FROM r WHERE i < 12))),
-p AS (SELECT source, lang, topic, least(1.0, 0.7 * w / tokens * sum(tokens) OVER ()) AS p FROM r WHERE i = 12)
+z AS (SELECT source, lang, topic, tokens, w, sum(tokens) OVER () AS total FROM r WHERE i = 12),
+p AS (SELECT source, lang, topic, least(1.0, least(0.7, (SELECT min(tokens / total / w) FROM z)) * (w / tokens) * total) AS p FROM z)
 SELECT d.doc_id, d.topic, d.n_tokens::BIGINT AS n_tokens, round(coalesce(p, 0.7), 6) AS probability,
   ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < coalesce(p, 0.7) AS kept
 FROM d LEFT JOIN p USING (source, lang, topic)

@@ -576,5 +576,20 @@ def test_mixing_within_bounds_reaches_its_margins_at_the_usual_rate(spark):
     assert rows_of(mixing.mix_sources(d.limit(0), within=True)) == []
 
 
+def test_mixing_at_the_full_rate_meets_its_targets_with_a_hot_source(spark):
+    rows = []
+    for i in range(4000):
+        source, lang = ("hot", "en") if i % 3 == 0 else (f"s{i % 19}", ("de", "fr", "es", "es", "en")[i % 5])
+        rows.append((i, source, lang, " ".join(["word"] * (20 + i % 30))))
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    mixed = mixing.mix_sources(d).cache()
+    assert mixed.agg({"probability": "max"}).first()[0] <= 1
+    for axis in ("source", "lang"):
+        have = {x[0]: x[1] ** mixing.ALPHA[axis] for x in mixed.groupBy(axis).agg({"n_tokens": "sum"}).collect()}
+        got = {x[0]: x[1] for x in mixed.selectExpr(axis, "probability * n_tokens AS t").groupBy(axis).agg({"t": "sum"}).collect()}
+        for value, target in have.items():
+            assert abs(got[value] / sum(got.values()) - target / sum(have.values())) < 0.01 * target / sum(have.values())
+
+
 def test_mixing_of_an_empty_table(empty):
     assert rows_of(mixing.mix_sources(empty)) == []
