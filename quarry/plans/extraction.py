@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
+from quarry.functions import machines as M
 from quarry.registry import query
 from quarry.sources import documents as D
 from quarry.sources import html as H
@@ -127,13 +127,31 @@ def f37_series_of_file(spark, d):
     return J.first_rule(files, "file", order).select("file", F.col("concept").alias("series"))
 
 
-@query("SELECT conv_id, bool_or(contains(' ' || lower(text) || ' ', ' the ')) AS declared FROM conversations GROUP BY 1")
+NORMAL_SQL = "trim(regexp_replace(lower(strip_accents(coalesce({}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+ALIASES = [["alpha", "the"], ["beta", "in the"]]
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, {NORMAL_SQL.format("text")} AS t, {NORMAL_SQL.format("CASE turn % 3 WHEN 0 THEN left(text, 12) WHEN 1 THEN 'no such words' END")} AS q, turn % 2 = 0 AS even FROM conversations)
+  SELECT conv_id, turn, (q <> '' AND contains(t, q)) OR CASE WHEN even THEN regexp_matches(t, '\\b(alpha|the)\\b') ELSE regexp_matches(t, '\\bbeta\\b|in the') END AS declared FROM m""")
 def f35_declared_brand(spark, d):
-    return load(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(F.contains(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(" the "))).alias("declared"))
+    t = F.col("turn")
+    quote = F.when(t % 3 == 0, F.left("text", F.lit(12))).when(t % 3 == 1, "no such words")
+    brand = F.when(t % 2 == 0, "Alpha").otherwise("IN-the")
+    return load(spark, d, "conversations").select("conv_id", "turn", M.declared_brand(quote, brand, F.col("text"), ALIASES).alias("declared"))
+
+
+WORDS_SQL = "list_distinct(list_filter(string_split({}, ' '), lambda x: length(x) >= 2 AND x <> 'brand'))"
+NUMBERS_SQL = "list_filter({}, lambda x: regexp_full_match(x, '[0-9]+'))"
 
 
-@query("SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS norm, c_custkey % 2 = 0 AS changed FROM customer")
+@query(f"""WITH p AS (SELECT p_partkey, {NORMAL_SQL.format("p_brand || ' ' || p_name || '-' || p_size")} AS a, {NORMAL_SQL.format("CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' ' || (p_size + 1) WHEN 2 THEN 'Krypton 115' END")} AS b,
+    CASE p_partkey % 5 WHEN 0 THEN p_partkey + 1 WHEN 1 THEN p_partkey END AS serial FROM part),
+  w AS (SELECT *, {WORDS_SQL.format("a")} AS wa, {WORDS_SQL.format("b")} AS wb FROM p), n AS (SELECT *, {NUMBERS_SQL.format("wa")} AS na, {NUMBERS_SQL.format("wb")} AS nb FROM w)
+  SELECT p_partkey, a AS norm, coalesce(serial <> p_partkey, false) OR (len(wa) > 0 AND len(wb) > 0 AND NOT list_has_any(wa, wb)) OR (len(na) > 0 AND len(nb) > 0 AND NOT list_has_any(na, nb)) AS changed FROM n""")
 def f34_normalised_model(spark, d):
-    norm = lambda c: F.regexp_replace(F.lower(T.fold(c)), "[^a-z0-9]", "")
-    other = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.upper("c_name"))
-    return load(spark, d, "customer").select("c_custkey", norm(F.col("c_name")).alias("norm"), (norm(F.col("c_name")) != norm(other)).alias("changed"))
+    k, name = F.col("p_partkey"), F.col("p_name")
+    active = F.concat("p_brand", F.lit(" "), name, F.lit("-"), F.col("p_size").cast("string"))
+    asked = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.concat(name, F.lit(" "), (F.col("p_size") + 1).cast("string"))).when(k % 4 == 2, "Krypton 115")
+    serial = F.when(k % 5 == 0, F.concat(F.lit("ab-"), (k + 1).cast("string"))).when(k % 5 == 1, F.concat(F.lit("ab "), k.cast("string")))
+    changed = M.machine_changed(serial, asked, F.concat(F.lit("AB"), k.cast("string")), active, ["brand"])
+    return load(spark, d, "part").select("p_partkey", M.normal(active).alias("norm"), changed.alias("changed"))

@@ -61,3 +61,25 @@ def test_first_rule_takes_the_lowest_priority(spark):
     types = spark.createDataFrame([("small ring",), ("ring",), ("none",)], "t string")
     rules = spark.createDataFrame([(2, "ring", "ring"), (1, "small", "small")], "priority int, pattern string, concept string")
     assert dict(tuple(x) for x in J.first_rule(types, "t", rules).collect()) == {"small ring": "small", "ring": "ring", "none": None}
+
+
+def test_another_machine_and_declared_brand(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import machines as M
+
+    rows = [
+        ("AB-12", None, "ab 12", "argon 65", False), ("AB13", None, "AB12", None, True), (None, "Argon 65 F", "X1", "argon 65", False),
+        (None, "krypton 115", None, "Argon 65", True), (None, "argon 70", None, "argon 65", True), (None, "argon", None, "argon 65", False),
+        (None, "Lux", None, "argon 65", False), (None, None, None, None, False), ("", "", "AB12", "argon", False),
+    ]
+    d = spark.createDataFrame(rows, "serial string, model string, was_serial string, was_model string, want boolean")
+    got = d.select("want", M.machine_changed(F.col("serial"), F.col("model"), F.col("was_serial"), F.col("was_model"), ["lux"]).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+    rows = [
+        ("una Lux", "x", "ho una LUX 55", True), (None, "Lux", "ho un lux!", True), (None, "Lux", "deluxe", False), (None, "lux", "la Casa-Nova rossa", True),
+        (None, "x", "lux", False), ("", "lux", "", False), (None, None, None, False),
+    ]
+    d = spark.createDataFrame(rows, "quote string, brand string, message string, want boolean")
+    got = d.select("want", F.coalesce(M.declared_brand(F.col("quote"), F.col("brand"), F.col("message"), [["lux", "casa nova"]]), F.lit(None)).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
