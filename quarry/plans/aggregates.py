@@ -108,9 +108,9 @@ def a15_reconcile(spark, d):
     return A.reconcile(a, b, ["g"], "k")
 
 
-@query("WITH s AS (SELECT DISTINCT l_returnflag AS section, l_partkey AS item FROM lineitem), n AS (SELECT item, count(*) AS k FROM s GROUP BY 1) SELECT section, count(*) AS items, count(*) FILTER (k = 1) AS exclusive FROM s JOIN n USING (item) GROUP BY 1")
+@query("WITH s AS (SELECT DISTINCT l_returnflag AS section, l_partkey || '-' || l_suppkey AS item FROM lineitem), n AS (SELECT item, count(*) AS k FROM s GROUP BY 1) SELECT section, count(*) AS items, count(*) FILTER (k = 1) AS exclusive FROM s JOIN n USING (item) GROUP BY 1")
 def a16_overlap(spark, d):
-    return A.overlap_report(load(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"), F.col("l_partkey").alias("item")), "section", "item")
+    return A.overlap_report(load(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("item")), "section", "item")
 
 
 @query("SELECT round(avg(n), 6) AS rows_a_drawing, round(avg(n) * (SELECT count(*) FROM orders) * 0.9 / 3600, 6) AS hours FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1)")

@@ -342,9 +342,11 @@ def o9_nulls_first(spark, d):
     return global_rank(rows, F.asc_nulls_first("last"), F.col("c_custkey")).select("c_custkey", "place")
 
 
-@query("SELECT code, side FROM (SELECT DISTINCT l_partkey AS code, 'only_left' AS side FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT DISTINCT l_partkey, 'only_right' FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'))")
+@query("""WITH a AS (SELECT DISTINCT l_partkey || '-' || l_suppkey AS code FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey || '-' || l_suppkey AS code FROM lineitem WHERE l_returnflag = 'R')
+  SELECT code, 'only_left' AS side FROM a WHERE code NOT IN (SELECT code FROM r) UNION ALL SELECT code, 'only_right' FROM r WHERE code NOT IN (SELECT code FROM a)""")
 def u1_difference(spark, d):
-    a, b = (load(spark, d, "lineitem").where(f"l_returnflag = '{f}'").select(F.col("l_partkey").alias("code")).distinct() for f in "AR")
+    code = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("code")
+    a, b = (load(spark, d, "lineitem").where(f"l_returnflag = '{f}'").select(code).distinct() for f in "AR")
     return a.exceptAll(b).withColumn("side", F.lit("only_left")).union(b.exceptAll(a).withColumn("side", F.lit("only_right")))
 
 
