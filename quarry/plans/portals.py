@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.registry import query
 from quarry.sources import portals as P
+from quarry.sources.federation import federated
 from quarry.sources.tables import load
 
 # An order may have several lines of one number; its page shows the one with the least part.
@@ -103,3 +104,11 @@ def s11_attachments(spark, d):
     opened = F.when(n % 2 == 0, F.concat(F.lit(" onclick=\"window.open('/w"), k, F.lit("')\""))).otherwise("")
     pages = lines_of_orders(spark, d, "<article class='singledocument'", opened, "><h3>", F.col("p_name"), "</h3><a href='/a", k, "'>open</a><div class='doc_info'>Tipo: PDF <br>Dimensione : ", n, ",5 MB</div><p class='doc_abstract'>", F.col("p_type"), "</p></article>", head="<section class='attachment'>")
     return P.attachments(pages).drop("place")
+
+
+@query("SELECT 'parts' AS brand, p_partkey AS code, p_name AS name, p_size AS size, NULL::VARCHAR AS phone FROM part UNION ALL SELECT 'makers', s_suppkey, s_name, NULL, s_name || '-1' FROM supplier")
+def s19_federated(spark, d):
+    parts = lambda: load(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    makers = lambda: load(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("code"), F.concat("s_name", F.lit("-1")).alias("phone"))
+    broken = lambda: load(spark, d, "part").select("no_such_column")
+    return federated({"parts": parts, "broken": broken, "makers": makers})

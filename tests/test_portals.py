@@ -1,6 +1,9 @@
 """Old drawings line by line: which serial numbers and which texts count."""
 
+import pytest
+
 from quarry.sources import portals as P
+from quarry.sources.federation import federated, open_sources
 
 SCHEMA = "page_id long, html string"
 
@@ -31,3 +34,14 @@ def test_pages_of_an_empty_table(spark):
     pages = spark.createDataFrame([], SCHEMA)
     for read in (P.old_parts, P.old_notes, P.old_validity, P.old_headers, P.releases, P.viewer, P.clickable_positions, P.parts_master, P.attachments):
         assert read(pages).collect() == []
+
+
+def test_sources_that_do_not_open_are_left_out(spark):
+    one = lambda: spark.createDataFrame([(1, "a")], "code long, name string")
+    two = lambda: spark.createDataFrame([("b",)], "name string")
+    missing = lambda: one().select("no_such_column")
+    rows = {(r["brand"], r["code"], r["name"]) for r in federated({"x": one, "y": missing, "z": two}).collect()}
+    assert rows == {("x", 1, "a"), ("z", None, "b")}
+    assert set(open_sources({"y": missing})[1]) == {"y"}
+    with pytest.raises(ValueError):
+        federated({"y": missing})
