@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, jaccard, langid, media, mixing, quality, secrets, suffix, tokenfile
+from quarry.llm import bpe, chat, crosspoly, hardneg, jaccard, langid, media, mixing, quality, secrets, suffix, tokenfile, trie
 from quarry.llm.common import table
 
 
@@ -52,5 +52,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_token_files": op3_token_files, "op4_suffix": op4_suffix, "op5_chat": op5_chat, "op6_jaccard": op6_jaccard, "op7_language": op7_language, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op6_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_bpe": op2_bpe,
+    "op3_token_files": op3_token_files,
+    "op4_suffix": op4_suffix,
+    "op5_chat": op5_chat,
+    "op6_jaccard": op6_jaccard,
+    "op7_language": op7_language,
+    "op8_media": op8_media,
+    "op9_secrets": op9_secrets,
+    "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest": op12_nearest,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+ORACLE_SQL = {"op6_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE, "op11_hard_negatives": hardneg.ORACLE, "op13_prefix_trie": trie.ORACLE}
