@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.registry import query
 from quarry.sources import portals as P
 from quarry.sources.federation import federated
 from quarry.sources.tables import load
 
-# An order may have several lines of one number; its page shows the one with the least part.
-LINES = "FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey"
+# An order may have several lines of one number; on its page they are numbered on.
+NUMBERED = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS l_linenumber, l_partkey, l_suppkey FROM lineitem"
+LINES = f"FROM ({NUMBERED}) JOIN part ON p_partkey = l_partkey"
 DRAWING = "'20' || (1 + l_linenumber // 4)"
 SERIAL = "'A' || (100000 + l_partkey % 900000)"
 
 
 def lines_of_orders(spark, d, *mark, head="", tail=""):
     """One page an order; mark is what each of its lines is on the page."""
-    one = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
-    rows = one.join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    numbered = load(spark, d, "lineitem").select("l_orderkey", place.alias("l_linenumber"), "l_partkey", "l_suppkey")
+    rows = numbered.join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     text = F.concat(*[F.lit(m) if isinstance(m, str) else m.cast("string") for m in mark])
     pages = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("t")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["t"]), "")
@@ -88,13 +91,13 @@ def s12_positions(spark, d):
     return P.clickable_positions(pages)
 
 
-@query("SELECT p_size::BIGINT AS page_id, 'P' || p_partkey AS code, p_brand AS company, p_name AS description, CASE p_partkey % 3 WHEN 0 THEN 'R' || p_partkey END AS replaced_by, p_partkey % 3 = 1 AS dismissed, CASE WHEN p_partkey % 5 > 0 THEN 1234.5::DOUBLE END AS least, p_size::DOUBLE AS weight, 'http://x/' || p_partkey || '.jpg' AS photo FROM part")
+@query("SELECT p_partkey // 40 AS page_id, 'P' || p_partkey AS code, p_brand AS company, p_name AS description, CASE p_partkey % 3 WHEN 0 THEN 'R' || p_partkey END AS replaced_by, p_partkey % 3 = 1 AS dismissed, CASE WHEN p_partkey % 5 > 0 THEN 1234.5::DOUBLE END AS least, p_size::DOUBLE AS weight, 'http://x/' || p_partkey || '.jpg' AS photo FROM part")
 def s12_parts_master(spark, d):
     k = F.col("p_partkey")
     new = F.when(k % 3 == 0, F.concat(F.lit("R"), k.cast("string"))).when(k % 3 == 1, "$Dismissed 2019").otherwise("&nbsp;")
     cells = [F.concat(F.lit("<a href=\"javascript:openImage('it\\'s', '/"), k.cast("string"), F.lit(".jpg')\">f</a>")), F.col("p_brand"), F.concat(F.lit("P"), k.cast("string")), F.col("p_name"), new, F.when(k % 5 > 0, "1.234,50").otherwise("n/a"), F.col("p_size").cast("string"), F.lit("d")]
     row = F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td class='g wGridRow01'>"), c, F.lit("</td>"))], F.lit("</tr><tr><td class='wGridRow01'>short</td></tr>"))
-    pages = load(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("html"))
+    pages = load(spark, d, "part").groupBy(F.floor(k / 40).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("html"))
     return P.parts_master(pages, "http://x").drop("place")
 
 
