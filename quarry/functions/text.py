@@ -54,9 +54,12 @@ def fold_exact(s: pd.Series) -> pd.Series:
 
 def stem(c: Column) -> Column:
     """a final vowel goes from words of 4 letters or more, then an h from what still has 4."""
-    w = F.lower(fold(c))
-    cut = F.when((F.length(w) >= 4) & F.right(w, F.lit(1)).isin(*"aeiou"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    return F.when((F.length(cut) >= 4) & F.endswith(cut, F.lit("h")), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+    return _stem_plain(F.lower(fold(c)))
+
+
+def _stem_plain(w: Column) -> Column:
+    """stem of what is lower case without accents; each step names its input once, so that nested uses don't multiply the plan."""
+    return F.regexp_replace(F.regexp_replace(w, r"(?s)^(.{3,})[aeiou]$", "$1"), r"(?s)^(.{3,})h$", "$1")
 
 
 def _in(c: Column, words: list[str]) -> Column:
@@ -68,7 +71,7 @@ def keywords(c: Column, most: int = 6) -> Column:
     raw = F.split(F.coalesce(c, F.lit("")), r"[^0-9A-Za-zÀ-ÿ./-]+")
     based = F.transform(F.filter(raw, lambda w: w != ""), lambda w: F.lower(fold(w)))
     kept = F.filter(based, lambda w: ~_in(w, STOPWORDS) & (F.length(w) >= 2))
-    return F.slice(F.transform(kept, lambda w: F.when(w.rlike("[0-9]"), w).otherwise(stem(w))), 1, most)
+    return F.slice(F.transform(kept, lambda w: F.when(w.rlike("[0-9]"), w).otherwise(_stem_plain(w))), 1, most)
 
 
 def normalize(c: Column) -> Column:
@@ -84,7 +87,7 @@ def _tokens(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """the distinct stems of significant words."""
-    return F.array_distinct(F.transform(_tokens(c), stem))
+    return F.array_distinct(F.transform(_tokens(c), _stem_plain))
 
 
 def numbers(c: Column) -> Column:
@@ -120,7 +123,7 @@ def unrepeated(c: Column) -> Column:
 
 def head_word(c: Column) -> Column:
     """F16: the stem of the first significant word, null without one."""
-    return stem_or_null(F.get(_tokens(c), F.lit(0)))
+    return _stem_plain(F.get(_tokens(c), F.lit(0)))
 
 
 def stem_or_null(c: Column) -> Column:

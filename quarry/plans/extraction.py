@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import machines as M
 from quarry.registry import query
 from quarry.sources import documents as D
+from quarry.sources import grids as G
 from quarry.sources import html as H
 from quarry.sources.tables import load
 
@@ -94,18 +97,62 @@ def s16_ocr_rows(spark, d):
     return D.ocr_rows(anchors, words).select("page", "position", "description", F.round("confidence", 6).alias("confidence"), "x0", "x1")
 
 
-@query()
-def s15_words_left_of(spark, d):
-    k = F.col("p_partkey")
-    words = load(spark, d, "part").select((k % 50).alias("page"), F.col("p_name").alias("word"), (k * 7919 % 997).cast("double").alias("wx"), (k * 104729 % 499).cast("double").alias("wy"))
-    codes = load(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("page"), F.col("s_name").alias("code"), (F.col("s_suppkey") * 77 % 997).cast("double").alias("x"), (F.col("s_suppkey") * 31 % 499).cast("double").alias("y"))
-    return D.words_left_of(codes, words, 10.0)
+BOXES = """w AS (
+    SELECT k // 40 AS page, x AS x0, y AS y0, x + 4 AS x1, y + 8 AS y1, word FROM (
+      SELECT p_partkey AS k, (p_partkey * 7919 % 997)::DOUBLE AS x, (p_partkey * 104729 % 61)::DOUBLE AS y, CASE WHEN p_partkey % 4 = 0 THEN (1000000 + p_partkey)::VARCHAR ELSE p_name END AS word FROM part
+      UNION ALL SELECT p_partkey, (p_partkey * 31 % 800)::DOUBLE, 10.0 * (p_partkey % 7), 'Item' FROM part WHERE p_partkey % 10 = 3
+      UNION ALL SELECT p_partkey, (p_partkey * 31 % 800)::DOUBLE + 0.001, 10.0 * (p_partkey % 7), 'No.' FROM part WHERE p_partkey % 10 = 3
+      UNION ALL SELECT p_partkey, (p_partkey * 31 % 800)::DOUBLE + 0.002, 10.0 * (p_partkey % 7), p_size::VARCHAR FROM part WHERE p_partkey % 10 = 3)),
+  c AS (SELECT page, x0, y0, word AS code FROM w WHERE regexp_matches(word, '^[0-9]{7}$')),
+  n AS (SELECT c.*, w.x0 AS wx, round(w.y0) AS wy, w.word, regexp_matches(w.word, '^[0-9]{7}$') AS is_code FROM c JOIN w ON w.page = c.page AND abs(w.y0 - c.y0) < 2.5 AND w.x1 <= c.x0 + 1),
+  l AS (SELECT page, x0, y0, code, max((wx, wy, word)) FILTER (is_code) AS last FROM n GROUP BY ALL),
+  s AS (SELECT n.page, n.x0, n.y0, n.code, string_agg(n.word, ' ' ORDER BY n.wx, n.wy, n.word) AS description FROM n JOIN l USING (page, x0, y0, code) WHERE NOT n.is_code AND (l.last IS NULL OR (n.wx, n.wy, n.word) > l.last) GROUP BY ALL),
+  r AS (SELECT page, lag(x0) OVER o AS hx, lag(y0) OVER o AS hy, lower(lag(word) OVER o) AS first, lower(word) AS second, lead(word) OVER o AS position FROM w WINDOW o AS (PARTITION BY page ORDER BY round(y0), x0, word)),
+  h AS (SELECT * FROM r WHERE first = 'item' AND second IN ('no', 'no.') AND regexp_matches(position, '^[0-9]+$'))"""
+
+
+@query(f"""WITH {BOXES} SELECT s.page, s.x0, s.y0, s.code, arg_max(h.position, (hx, hy, h.position)) AS position, any_value(s.description) AS description
+  FROM s LEFT JOIN h ON h.page = s.page AND hy < s.y0 AND hx <= s.x0 + 5 GROUP BY ALL""")
+def s15_codes_on_drawings(spark, d):
+    part, k = load(spark, d, "part"), F.col("p_partkey")
+    box = lambda x, y, word, of=part: of.select(F.floor(k / 40).alias("page"), x.alias("x0"), y.alias("y0"), (x + 4).alias("x1"), (y + 8).alias("y1"), word.alias("word"))
+    words = box((k * 7919 % 997).cast("double"), (k * 104729 % 61).cast("double"), F.when(k % 4 == 0, (1000000 + k).cast("string")).otherwise(F.col("p_name")))
+    for i, word in enumerate((F.lit("Item"), F.lit("No."), F.col("p_size").cast("string"))):
+        words = words.union(box((k * 31 % 800).cast("double") + i / 1000, 10.0 * (k % 7), word, part.where(k % 10 == 3)))
+    return D.codes_on_drawing(words)
 
 
 @query()
 def s17_sections(spark, d):
-    lines = load(spark, d, "documents").select(F.col("doc_id").alias("manual"), F.lit(1).cast("long").alias("page"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return D.sections(lines).select("manual", "section", "part", F.md5("body").alias("body"), F.length("title").alias("title_length"))
+    texts = load(spark, d, "documents").select(F.col("doc_id").alias("manual"), F.lit(1).cast("long").alias("page"), "text")
+    return D.sections(D.manual_lines(texts)).select("manual", "section", "part", "title", "first_page", F.md5("body").alias("body"))
+
+
+# A grid an order: a title, models over the quantities, one line a row, its quantity merged over the next column, and a second text for every third
+GRID_LINES = "FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_partkey, l_quantity::INT AS q FROM lineitem) JOIN part ON p_partkey = l_partkey"
+
+
+def order_grids(spark, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("grid"), place.alias("n"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"))
+    lines = lines.join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    n, code, none = F.col("n"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"), F.lit(None).cast("string")
+    cells = lambda *c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    own = cells(n.cast("string"), code, F.col("p_name"), F.col("q"), none, (n % 5).cast("string"), n.cast("string"), code, F.col("p_type"), F.col("q"), F.concat(F.lit("MB "), 100 + n, F.lit(", "), 200 + n))
+    more = F.when(n % 3 == 0, cells("", "", "more", "", "", "", "", "", "long", "", "")).otherwise(cells(*["x"] * 4, *[""] * 7))
+    rows = lines.select("grid", F.explode(F.array(F.struct((n * 2 + 10).cast("long").alias("row"), own.alias("cells")), F.struct((n * 2 + 11).cast("long").alias("row"), F.when(n % 3 == 0, more).alias("cells")))).alias("r")).select("grid", "r.row", "r.cells").where("cells is not null")
+    heads = [["Table of parts", *[""] * 10], ["", "", "", "KH 130", "HD", "KM 50", *[""] * 5], ["", "", "", "", "125", *[""] * 6], ["Item No", "Part No", "Description", "QTY", "", "", "ITEM NO.", "Sales code", "Item name", "Qty", "Model"]]
+    top = lines.select("grid").distinct().select("grid", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("row"), cells(*h).alias("cells")) for i, h in enumerate(heads)])).alias("r")).select("grid", "r.row", "r.cells")
+    return rows.union(top).select("grid", "row", F.posexplode("cells").alias("col", "text"))
+
+
+@query(f"""SELECT l_orderkey AS grid, 2 AS tab, n::VARCHAR AS position, lpad(l_partkey::VARCHAR, 7, '0') AS code, p_name || CASE WHEN n % 3 = 0 THEN ' more' ELSE '' END AS description,
+    CASE WHEN q = n % 5 THEN q::VARCHAR END AS quantity, 'HD 125=' || q || ',KH 130=' || q || ',KM 50=' || (n % 5) AS models {GRID_LINES}
+  UNION ALL SELECT l_orderkey, 4, n::VARCHAR, lpad(l_partkey::VARCHAR, 7, '0'), p_type || CASE WHEN n % 3 = 0 THEN ' long' ELSE '' END, q::VARCHAR, 'MB ' || (100 + n) || '=' || q || ',MB ' || (200 + n) || '=' || q {GRID_LINES}""")
+def s14_grid_parts(spark, d):
+    parts = G.grid_parts(order_grids(spark, d))
+    said = F.array_sort(F.transform(F.map_entries("models"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return parts.select("grid", F.col("tab").cast("int").alias("tab"), "position", "code", "description", "quantity", F.array_join(said, ",").alias("models"))
 
 
 @query("SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")

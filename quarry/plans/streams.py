@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import shared_dir
 from quarry.registry import query
 from quarry.sources.tables import load
 from quarry.streaming import ingest as I
 
 
 def shared(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{at}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -37,7 +36,7 @@ def t3_rates(spark, d):
     return I.rates(load(spark, d, "events"), "ts", "3600 seconds", "1800 seconds")
 
 
-@query("WITH RECURSIVE l AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 5 <> 0), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN l ON node = src WHERE depth < 8) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("WITH RECURSIVE l AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size % 5 <> 0), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN l ON node = src WHERE depth < (SELECT count(*) FROM part)) SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def t8_reachable(spark, d):
     part = load(spark, d, "part")
     n = part.agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.merge import last_wins
+from quarry.operators.shared import settle
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_batch: int = 100) -> DataFrame:
@@ -58,17 +59,13 @@ def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Node, depth of all nodes that links (src, dst) reach from seeds (node), by breadth-first frontiers until one is empty. Each step is an anti-join; what is
     known is written to the shared folder so that the plan stays short."""
     spark = links.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-    keep = lambda df: df.checkpoint() if shared else df.persist()
     known = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = known
     for step in itertools.count(1):
-        frontier = keep(frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(step)))
+        frontier = settle(frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(step)))
         if frontier.isEmpty():
             break
         known = known.union(frontier)
         if step % 10 == 0:  # else a long chain makes a union of as many tables
-            known = keep(known.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+            known = settle(known.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return known
