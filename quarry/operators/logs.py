@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.ordering import numbered
+
 
 def last_turns(messages: DataFrame, conv: str, turn: str, role: str, keep: int) -> DataFrame:
     """The system messages and the last `keep` others, the cut moved forward to a user's turn."""
@@ -48,3 +50,18 @@ def evict(sessions: DataFrame, key: str, last: Column, now: Column, idle: int, m
     """Sessions that stay: used within `idle` seconds of now, and the `most` newest of those. The limit is a top-k, kept by each task for itself first."""
     live = sessions.withColumn("_last", last).where(now - F.col("_last") <= idle)
     return live.orderBy(F.desc("_last"), key).limit(most).drop("_last")
+
+
+def queue_order(items: DataFrame, outcomes: DataFrame, most: int = 3) -> DataFrame:
+    """Items (queue, item, at) of work queues and the outcomes (item, attempt, ok) of their attempts -> queue, item, attempt, position (from 0, in the order of
+    work), ok, state (done, failed).
+
+    A failed item goes back to its queue's end until it has failed `most` times. As a queue is worked off from the front, all first attempts come before all
+    second ones, and each round keeps the order of the one before: the position is the place by (attempt, at), numbered over ranges, so that
+    a queue of any length is spread. An attempt without an outcome has failed; outcomes after a success, or beyond `most`, are of no attempt.
+    """
+    good = outcomes.where(F.col("ok") & (F.col("attempt") <= most)).groupBy("item").agg(F.min("attempt").alias("_won"))
+    ended = items.select("queue", "item", "at").join(good, "item", "left").withColumn("_last", F.coalesce("_won", F.lit(most)))
+    tries = ended.select("queue", "item", "at", "_won", F.explode(F.sequence(F.lit(1), F.col("_last").cast("int"))).alias("attempt"))
+    placed = numbered(tries, ["queue"], "attempt", "at", "item", name="position")
+    return placed.select("queue", "item", "attempt", "position", F.coalesce(F.col("attempt") == F.col("_won"), F.lit(False)).alias("ok"), F.when(F.col("_won").isNotNull(), "done").otherwise("failed").alias("state"))
