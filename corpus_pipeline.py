@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, jaccard, langid, mixing, secrets
-from quarry.llm.common import free_names, settle, table
+from quarry.llm.common import any_names, free_names, settle, table
 
 #: Near-duplicates link from this similarity on, in words of so many a shingle.
 PERCENT, WORDS = 80, 5
@@ -29,6 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _first_of_each(docs)
+
+
+@any_names
+def _first_of_each(docs: DataFrame) -> DataFrame:
     mark, gone_id, gone_mark = free_names(docs.columns, "mark", "gone_id", "gone_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
     judged = marked.select("doc_id", "text", F.col(mark).alias("text_hash"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,20 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that returns its documents' columns, for columns of any name: those that Spark would read as paths have plain names inside it."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = [c for c in docs.columns if "." in c or "`" in c]
+        if not odd:
+            return stage(docs, *args, **kwargs)
+        plain = dict(zip(odd, free_names([c for c in docs.columns if c not in odd], *(f"column_{i}" for i in range(len(odd)))), strict=True))
+        return stage(docs.toDF(*(plain.get(c, c) for c in docs.columns)), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def parts(spark: SparkSession, times: int = 1) -> int:
     """Shuffle partitions, as the session has them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)

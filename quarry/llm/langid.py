@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, pieces, settle, string_bytes, texts
+from quarry.llm.common import any_names, mix, pieces, settle, string_bytes, texts
 
 ORDER = 4
 PER_LANGUAGE = 1500
@@ -333,6 +333,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+@any_names
 def keep_identified(docs: DataFrame, model: Identifier) -> DataFrame:
     """The documents that are not rejected, with their own columns; lang, if null, is filled with the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

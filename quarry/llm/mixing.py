@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import free_names, settle
+from quarry.llm.common import any_names, free_names, settle
 
 AXES = ("source", "lang", "topic")
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.9}
@@ -184,6 +184,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     return joined.select(*carried, p.alias("probability"), (uniform(F.col("doc_id"), seed) < p).alias("kept"))
 
 
+@any_names
 def keep_mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: dict[str, float] | None = None, rate: float = RATE, seed: int = 7, topic: str | None = None) -> DataFrame:
     """The sampled documents with their own columns, whatever their names, by probabilities that are nowhere above 1 (`rake_within`)."""
     counted = docs.select(*[c.alias(a) for a, c in _axes(topic).items()], token_count(F.col("text").cast("string")).alias("n"))

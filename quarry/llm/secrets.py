@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_names, pieces, settle, string_bytes
+from quarry.llm.common import any_names, free_names, pieces, settle, string_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -160,6 +160,7 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[end if end >= 0 else 0 :]
 
 
+@any_names
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """All documents with their own columns; every reported span of text is masked, and n_chars, if there, is counted anew.
 

@@ -46,7 +46,6 @@ BLOCK = 100_000
 SAMPLE_TEXTS = 2000
 _INDEX_BITS = np.uint64(28)
 _INDEX = np.uint64((1 << 28) - 1)
-NULL_ID = -(2**63)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -394,8 +393,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     spark = docs.sparkSession
     own = texts(docs)
     repeats = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    base = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), (F.coalesce(F.xxhash64("text"), F.lit(0)) if repeats else F.lit(0)).cast("long").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = ["did", "th"] if repeats else ["did"]
+    # a document's second key: not negative, and among documents of one id their texts' hash; a null id has the least id and a negative second key
+    text_hash = F.shiftrightunsigned(F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")), 1) if repeats else F.lit(0).cast("long")
+    second = F.when(F.col("doc_id").isNull(), -1 - text_hash).otherwise(text_hash)
+    base = own.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), second.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = ["did", "th"]
     n = parts(spark)
     splitters = sampled_splitters(base, 64 * n, length, gram)
     suffixes = base.select("did", "th", "text").mapInArrow(_extract(splitters, length, gram), ROWS)
@@ -405,5 +407,5 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     fetched = once.join(items, keys, "left").where("items is not null").select("did", "th", "text", "items").mapInArrow(_contexts(splitters, length), CONTEXT)
     again = fetched.repartition(n, "bucket").sortWithinPartitions("grp", "did", "th", "pos").select("grp", "did", "th", "pos", "body")
     spans = again.mapInArrow(_sorted_blocks(length, block), "did long, th long, s long, e long").groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    doc_id = F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id")
+    doc_id = F.when(F.col("th") >= 0, F.col("did")).alias("doc_id")
     return base.join(spans, keys, "left").select(doc_id, "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")

@@ -226,6 +226,17 @@ def test_repeated_strings_across_pieces_and_batches(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(suffix.repeated_strings(d, block=3))} == want
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_repeated_strings_of_a_null_id_and_the_least_id(spark, repeat):
+    """A null id comes before the least one, and each keeps its own id."""
+    text = prose(20, 3)
+    rows = [(5, text), (-(2**63), text + " end"), (None, "start " + text)] + [(7, text), (7, text + " other")] * repeat
+    found = rows_of(suffix.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    want = removed([(i, t.encode()) for i, t in sorted(rows[:3], key=lambda x: (x[0] is not None, x[0] or 0))])
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found if r["doc_id"] != 7} == want
+    assert want[None][1] == 0 and len(found) == len(rows)
+
+
 def test_repeated_strings_of_an_empty_table(empty):
     assert rows_of(suffix.repeated_strings(empty)) == []
 

@@ -74,7 +74,7 @@ def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
     assert len([x for x in got if x[0] == 3]) == 1 and (None, words(1)) in got and len(got) == 4
 
 
-CLASHING = ("kept", "probability", "topic", "n_tokens", "mix_p", "mix_lang", "_n", "_gone", "_mark", "mark", "gone_id", "_d", "_k", "_spans", "own_id", "text_hash", "all_spans", "_h", "sid", "comp", "first", "rejected")
+CLASHING = ("kept", "probability", "topic", "n_tokens", "mix_p", "mix_lang", "_n", "_gone", "_mark", "mark", "gone_id", "_d", "_k", "_spans", "own_id", "text_hash", "all_spans", "_h", "sid", "comp", "first", "rejected", "meta.url", "a`b", "text.x")
 
 
 def test_columns_of_any_name_come_through(spark):
@@ -84,7 +84,7 @@ def test_columns_of_any_name_come_through(spark):
     for out in run_stages(spark, docs)[1:-1]:
         assert out.dtypes == docs.dtypes and out.count()
         for r in out.collect():
-            assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASHING)
+            assert all(r.asDict()[c] == f"{c}{r['doc_id']}" for c in CLASHING)
 
 
 def test_language_and_mixture_match_plain_versions(spark):
