@@ -60,3 +60,11 @@ def stratified(df: DataFrame, by: list[str], key: Column, each: int, always: Col
     """A16-style sample: the `each` rows of every stratum with the smallest hash of their key, and all rows for which `always` holds. The same rows every time."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(key))
     return df.withColumns({"_n": n, "_always": always}).where((F.col("_n") <= each) | F.col("_always")).drop("_n", "_always")
+
+
+def merge_same_drawings(rows: DataFrame) -> DataFrame:
+    """Rows (drawing, context, code, position, quantity, validity) of drawings -> one row for each set of drawings that have the same context and the same
+    codes, positions and quantities: drawing (the smallest), drawings (how many), context, validities (all of them, in order)."""
+    each = rows.groupBy("drawing").agg(F.first("context", ignorenulls=True).alias("context"), F.min("validity").alias("validity"), F.array_sort(F.collect_list(F.struct("code", "position", "quantity"))).alias("_rows"))
+    same = each.groupBy("context", F.sha2(F.to_json("_rows"), 256).alias("_signature"))
+    return same.agg(F.min("drawing").alias("drawing"), F.count(F.lit(1)).alias("drawings"), F.array_join(F.array_sort(F.collect_set("validity")), ", ").alias("validities")).drop("_signature")

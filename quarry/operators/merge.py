@@ -60,6 +60,12 @@ def not_done(items: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return items.join(ledger.select(key).distinct(), key, "left_anti")
 
 
+def mark_done(ledger: DataFrame, done: DataFrame, at: Column) -> DataFrame:
+    """K8: the ledger (key, done_at) with the keys of done marked: a key that is there already has its time replaced."""
+    marks = done.select("key").distinct().withColumn("done_at", at)
+    return ledger.join(marks.select("key"), "key", "left_anti").select("key", "done_at").unionByName(marks)
+
+
 def to_embed(rows: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:
     """Rows whose text is new or has changed."""
     old = stored.select(key, F.col(text).alias("_old"), F.lit(True).alias("_known"))

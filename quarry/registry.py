@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _name in ("text", "relational", "aggregates", "windows", "search", "retrieval", "maintenance", "extraction", "portals", "pages", "state", "streams"):
+for _name in ("text", "relational", "aggregates", "windows", "search", "retrieval", "maintenance", "extraction", "portals", "pages", "state", "rules", "streams"):
     importlib.import_module(f"quarry.plans.{_name}")

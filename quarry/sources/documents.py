@@ -21,10 +21,10 @@ def synonym_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """S3: document, page, text of files named <document>_<page>.txt; S18: what is not UTF-8 is read as Windows-1252."""
+    """S3: document, page, text of files named <document>_<page>.txt; S18: what is not UTF-8 is read as Latin-1."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     name = F.regexp_extract("path", r"([^/]+)_(\d+)\.txt$", 1)
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "windows-1252"))
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(name.alias("document"), F.regexp_extract("path", r"_(\d+)\.txt$", 1).cast("int").alias("page"), F.regexp_replace(text, "^﻿", "").alias("text")).where("document <> ''")
 
 
@@ -82,6 +82,23 @@ def ocr_rows(anchors: DataFrame, words: DataFrame, reach: float = 20.0) -> DataF
     return pairs.groupBy("page", "position").agg(F.array_join(F.transform(said, lambda s: s["word"]), " ").alias("description"), F.avg("confidence").alias("confidence"), F.min("wx").alias("x0"), F.min("wy").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+# What a drawing's page says besides its title.
+NO_PAGE_TITLE = r"(?i)www\.|\bdoc\b|\brev\b|series|part no|descri|^model name$|item no"
+
+
+def is_code(c: Column) -> Column:
+    """whether a text is a code as the catalogs print them."""
+    return F.coalesce(c.rlike(CODE), F.lit(False))
+
+
+def page_titles(texts: DataFrame) -> DataFrame:
+    """page, title of pages' texts (page, text): the first line of more than six characters, with three letters on end, that is not of the head of every page
+    and not of digits alone; pages without one give no row."""
+    lines = texts.select("page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    good = lines.where((F.length("line") > 6) & F.col("line").rlike("[A-Za-z]{3}") & ~F.col("line").rlike(NO_PAGE_TITLE) & ~F.col("line").rlike(r"^[\d\s]+$"))
+    return good.groupBy("page").agg(F.min_by("line", "at").alias("title"))
+
+
 # Fixed values of the manuals' headings: with a number, or in capitals (two to ten words, 8 to 80 characters, not the maker's name).
 _CAPITAL = "A-ZÀÈÉÌÒÙ"
 NUMBERED = rf"^\s*(\d{{1,2}}(?:\.\d{{1,2}})?)\s*[.)]?\s+([{_CAPITAL}][{_CAPITAL}'’ /\-]{{3,}}[{_CAPITAL}])\s*$"
