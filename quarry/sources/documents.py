@@ -20,12 +20,25 @@ def synonym_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.split(F.col(f"`{second}`"), ";")).alias("i"), F.col(f"`{first}`").alias("precise")).select(F.trim("i").alias("improper"), "precise").where("improper <> ''")
 
 
+# The bytes from 128 to 159 as Windows-1252 has them, by its own rule, and those that it leaves undefined.
+_HIGH = {bytes([b]).decode("latin-1"): bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+_UNDEFINED = "".join(c for c, w in _HIGH.items() if not w)
+
+
+def read_text(content: Column) -> Column:
+    """Bytes as text: UTF-8, else Windows-1252, else (where that leaves a byte undefined) Latin-1; without a byte-order mark."""
+    latin = F.decode(content, "ISO-8859-1")
+    windows = F.translate(latin, "".join(c for c, w in _HIGH.items() if w), "".join(_HIGH.values()))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).when(latin.rlike(f"[{_UNDEFINED}]"), latin).otherwise(windows)
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """S3: document, page, text of files named <document>_<page>.txt; S18: what is not UTF-8 is read as Latin-1."""
+    """S3: document, page, text of files named <document>_<page>.txt, S18 for their encodings; Spark passes over empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     name = F.regexp_extract("path", r"([^/]+)_(\d+)\.txt$", 1)
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select(name.alias("document"), F.regexp_extract("path", r"_(\d+)\.txt$", 1).cast("int").alias("page"), F.regexp_replace(text, "^﻿", "").alias("text")).where("document <> ''")
+    text = read_text(F.col("content"))
+    return files.select(name.alias("document"), F.regexp_extract("path", r"_(\d+)\.txt$", 1).cast("int").alias("page"), text.alias("text")).where("document <> ''")
 
 
 def fill_merged(cells: DataFrame) -> DataFrame:

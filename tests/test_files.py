@@ -16,13 +16,14 @@ def test_synonym_list(spark, tmp_path):
     assert sorted(tuple(r) for r in D.synonym_list(spark, str(tmp_path / "q.csv")).collect()) == [("cartùccia", "filtro"), ("tappo", "filtro")]
 
 
-def test_page_texts_in_two_encodings(spark, tmp_path):
+def test_page_texts_in_three_encodings(spark, tmp_path):
     (tmp_path / "manual_a_001.txt").write_bytes("﻿è utf".encode())
-    (tmp_path / "manual_a_012.txt").write_bytes("è latin".encode("latin-1"))
+    (tmp_path / "manual_a_012.txt").write_bytes("è windows – “dash”".encode("cp1252"))
+    (tmp_path / "manual_a_013.txt").write_bytes("è latin \x81\x96".encode("latin-1"))
     (tmp_path / "other.txt").write_text("no page")
     (tmp_path / "empty_2.txt").write_text("")
     found = D.page_texts(spark, str(tmp_path)).orderBy("document", "page").collect()
-    assert [tuple(r) for r in found] == [("empty", 2, ""), ("manual_a", 1, "è utf"), ("manual_a", 12, "è latin")]
+    assert [tuple(r) for r in found] == [("manual_a", 1, "è utf"), ("manual_a", 12, "è windows – “dash”"), ("manual_a", 13, "è latin \x81\x96")]
 
 
 def test_export_for_spreadsheets(spark, tmp_path):
