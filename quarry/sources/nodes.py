@@ -1,7 +1,7 @@
 """Pages as a table of nodes in document order, and selections over it as joins.
 
 `page_nodes` reads each page once, streaming, and gives a row for the page, and for every element, text and comment: its place (`enter`), the last place inside
-it (`leave`), its ancestors' places (`path`, outermost first) and their marks (`around`: tags, .classes and #ids), tag, classes, attributes and own text. What is inside what is then an equi-join
+it (`leave`), its ancestors' places (`path`, outermost first) and their marks (`around`: tags, .classes and #ids; elements alone have it), tag, classes, attributes and own text. What is inside what is then an equi-join
 of a path with places (an inner node's enter lies between the outer's enter and leave), the nearest enclosing element the one of
 largest enter, and the first inner one that of the least; no selection compares all nodes of a page with all others.
 
@@ -39,38 +39,30 @@ BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 
 
 class _Nodes(HTMLParser):
-    """The nodes of one page as lists [enter, leave, path, around, tag, classes, attrs, text]."""
+    """The nodes of one page as lists [enter, leave, path, around, tag, classes, attrs, text]; siblings share their path and marks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
-        self.open: list[int] = []
-        self.marks: list[list[str]] = []
-        self.enter(self.add(PAGE))
-
-    def add(self, tag: str, attrs: dict | None = None, text: str | None = None) -> int:
-        at = len(self.nodes)
-        attrs = {k: v or "" for k, v in (attrs or {}).items()}
-        around = self.marks[-1] if self.marks else []
-        self.nodes.append([at, at, list(self.open), around, tag, attrs.get("class", "").split(), attrs, text])
-        return at
-
-    def enter(self, at: int) -> None:
-        _, _, _, around, tag, classes, attrs, _ = self.nodes[at]
-        own = {tag, *(f".{c}" for c in classes)} | ({f"#{attrs['id']}"} if attrs.get("id") else set())
-        self.open.append(at)
-        self.marks.append(sorted(own.union(around)))
+        self.open: list[tuple[int, str]] = []  # place and tag of the open elements
+        self.paths: list[list[int]] = [[]]
+        self.marks: list[list[str]] = [[]]
+        self.handle_starttag(PAGE, [])
 
     def close_from(self, depth: int) -> None:
-        for at in self.open[depth:]:
+        for at, _ in self.open[depth:]:
             self.nodes[at][1] = len(self.nodes) - 1
-        del self.open[depth:], self.marks[depth:]
+        del self.open[depth:], self.paths[depth + 1 :], self.marks[depth + 1 :]
 
     def close_among(self, ended: set, within: set) -> None:
         """Closes the outermost open element of `ended` that is inside the innermost of `within`."""
-        tags = [self.nodes[at][4] for at in self.open]
-        limit = max((i for i, t in enumerate(tags) if t in within), default=-1)
-        found = next((i for i in range(limit + 1, len(tags)) if tags[i] in ended), None)
+        found = None
+        for i in range(len(self.open) - 1, -1, -1):
+            tag = self.open[i][1]
+            if tag in within:
+                break
+            if tag in ended:
+                found = i
         if found is not None:
             self.close_from(found)
 
@@ -79,27 +71,37 @@ class _Nodes(HTMLParser):
             self.close_among(*ENDS[tag])
         elif tag in BLOCKS:
             self.close_among({"p"}, {"td", "th", "li", "table", "div", "section", "article"})
-        at = self.add(tag, dict(attrs))
+        at, own = len(self.nodes), [(k, v or "") for k, v in dict(attrs).items()]
+        named = dict(own)
+        classes = named.get("class", "").split()
+        self.nodes.append([at, at, self.paths[-1], self.marks[-1], tag, classes, own, None])
         if tag not in EMPTY:
-            self.enter(at)
+            self.open.append((at, tag))
+            self.paths.append([*self.paths[-1], at])
+            marks = [tag, *("." + c for c in classes), *(["#" + named["id"]] if named.get("id") else [])]
+            self.marks.append([*self.marks[-1], *(m for m in marks if m not in self.marks[-1])])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        tags = [self.nodes[at][4] for at in self.open]
-        inside = max((i for i, t in enumerate(tags) if t == "table"), default=-1) if tag != "table" and tag in ("td", "th", "tr", "p", "li") else -1
-        found = max((i for i, t in enumerate(tags) if t == tag and i > inside), default=None)
-        if found is not None:
-            self.close_from(found)
+        limit = tag in ("td", "th", "tr", "p", "li")  # these end inside their own table only
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][1] == tag:
+                self.close_from(i)
+                return
+            if limit and self.open[i][1] == "table":
+                return
+
+    def _leaf(self, tag: str, text: str) -> None:
+        self.nodes.append([len(self.nodes), len(self.nodes), self.paths[-1], [], tag, [], [], text])
 
     def handle_data(self, data):
-        if data.strip():
-            unseen = self.open and self.nodes[self.open[-1]][4] in UNSEEN
-            self.add(RAW if unseen else TEXT, text=data)
+        if data and not data.isspace():
+            self._leaf(RAW if self.open and self.open[-1][1] in UNSEEN else TEXT, data)
 
     def handle_comment(self, data):
-        self.add(COMMENT, text=data)
+        self._leaf(COMMENT, data)
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                     parser.close()
                     parser.close_from(0)
                     enter, leave, path, around, tag, classes, attrs, text = zip(*parser.nodes, strict=True)
-                    columns = [[page] * len(enter), enter, leave, path, around, tag, classes, [list(a.items()) for a in attrs], text]
+                    columns = [[page] * len(enter), enter, leave, path, around, tag, classes, attrs, text]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(rows, SCHEMA)
