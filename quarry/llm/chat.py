@@ -15,11 +15,11 @@ one after the other, turns of one role in a row being kept apart where the path
 Scale: conversations are cut between turns into parts of TURNS turn numbers, a row each; the shuffle is by (conv_id, part). The chain goes on across cuts:
 where a conversation has several parts, each gives the best score from every first to every last state, one small matrix, and these are
 chained by conversation; each part's path is then taken between the states that the best path of the whole conversation has at its ends. So roles and
-turns don't depend on TURNS (but for paths of equal probability), and `continues` says that a part's first turn is the rest of the one before it. Learning sorts
-the lines of a conversation for one window over neighbours, which spills.
+turns don't depend on TURNS (but for paths of equal probability), and the parts of a conversation, one after the other, are one rendering: `continues` and `goes_on` say that a turn
+is cut, which is rendered open. TURNS = 2048 is a parameter of the table's rows alone. Learning sorts the lines of a conversation for one window over neighbours, which spills.
 
 Edge cases: a null text is an empty turn and gives no line; a transcript without lines renders to the empty string with no turns; a null role is not learned from;
-turns that repeat a number follow each other in order of their texts; a null conv_id is one conversation, a null turn comes first; with
+very long texts are read whole, in the part of their turn; rows of null turns are all of the first part; turns that repeat a number follow each other in order of their texts; a null conv_id is one conversation, a null turn comes first; with
 nothing to learn from, every line is of role `user` unless its marker says otherwise; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -169,8 +169,13 @@ def parse(transcript: str, model: Model, first: int | None = None, last: int | N
     return [(role, "\n".join(lines)) for role, lines in out]
 
 
-def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+def render(turns: list[tuple[str, str]], continues: bool = False, goes_on: bool = False) -> str:
+    """The turns as text. A part whose first turn is the rest of the one before begins with that text alone, and one whose last turn goes on leaves it open, so
+    that the parts of a conversation, one after the other, are its whole rendering."""
+    out = "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    if continues:
+        out = out[len(f"<|{turns[0][0]}|>") :]
+    return out.removesuffix("\n<|end|>\n") if goes_on else out
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
@@ -183,7 +188,8 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def part_ends(found: DataFrame, model: Model) -> DataFrame:
-    """conv_id, part, first, last, continues: the states at the ends of each part that has lines, on the best path of its whole conversation."""
+    """conv_id, part, first, last, continues, goes_on: the states at the ends of each part that has lines, on the best path of its whole conversation, and whether
+    its first turn began in the part before, and its last one ends in the next."""
     shared = found.sparkSession.sparkContext.broadcast(model)
     key = found.schema["conv_id"].dataType.simpleString()
 
@@ -199,40 +205,51 @@ def part_ends(found: DataFrame, model: Model) -> DataFrame:
         table = table.sort_by("part")
         n = len(shared.value.start)
         ends = shared.value.chain([np.array(x).reshape(n, n) for x in table.column("spans").to_pylist()])
-        goes_on = [i > 0 and a % 2 == 1 and a // 2 == ends[i - 1][1] // 2 for i, (a, _) in enumerate(ends)]
-        columns = [pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32()), pa.array(goes_on, pa.bool_())]
-        return pa.Table.from_arrays([table.column("conv_id"), table.column("part"), *columns], names=["conv_id", "part", "first", "last", "continues"])
+        continues = [i > 0 and a % 2 == 1 and a // 2 == ends[i - 1][1] // 2 for i, (a, _) in enumerate(ends)]
+        goes_on = [*continues[1:], False][: len(ends)]
+        columns = [pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32()), pa.array(continues, pa.bool_()), pa.array(goes_on, pa.bool_())]
+        return pa.Table.from_arrays([table.column("conv_id"), table.column("part"), *columns], names=["conv_id", "part", "first", "last", "continues", "goes_on"])
 
     scored = found.mapInArrow(spans, f"conv_id {key}, part long, spans array<double>").where("spans is not null")
-    return scored.groupBy("conv_id").applyInArrow(chain, f"conv_id {key}, part long, first int, last int, continues boolean")
+    return scored.groupBy("conv_id").applyInArrow(chain, f"conv_id {key}, part long, first int, last int, continues boolean, goes_on boolean")
 
 
 def format_transcripts(found: DataFrame, model: Model) -> DataFrame:
-    """From (conv_id, part, transcript, true_roles): n_turns, roles, turns, rendered, rendered_sha256, whether the roles are those the table has, and
-    whether the first turn continues the last one of the part before. Parts are chained by conversation where one has several."""
+    """From (conv_id, part, transcript, true_roles): n_turns (that begin here), roles, turns, rendered, rendered_sha256, whether the roles are those the table has,
+    whether the first turn continues the last one of the part before, and whether the last goes on in the next. Parts are chained by conversation where one has
+    several; a conversation's rendering is that of its parts, one after the other, whatever TURNS is."""
     several = found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select(F.col("conv_id").alias("_conv"))
     if several.isEmpty():
-        found = found.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int"), "continues": F.lit(False)})
+        found = found.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int"), "continues": F.lit(False), "goes_on": F.lit(False)})
     else:
-        ends = part_ends(found.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), model).select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "first", "last", "continues")
+        ends = part_ends(found.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), model).select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "first", "last", "continues", "goes_on")
         found = found.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left").drop("_conv", "_part")
-        found = found.fillna(False, ["continues"])
+        found = found.fillna(False, ["continues", "goes_on"])
     shared = found.sparkSession.sparkContext.broadcast(model)
     turn = pa.struct([("role", pa.string()), ("text", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = zip(batch.column("transcript").to_pylist(), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)
-            parsed = [parse(t or "", shared.value, first, last) for t, first, last in ends]
+            texts, firsts, lasts, ons, opens, true = (batch.column(c).to_pylist() for c in ("transcript", "first", "last", "continues", "goes_on", "true_roles"))
+            parsed = [parse(t or "", shared.value, first, last) for t, first, last in zip(texts, firsts, lasts, strict=True)]
             roles = [",".join(r for r, _ in x) for x in parsed]
-            text = [render(x) for x in parsed]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("part"), pa.array([len(x) for x in parsed], pa.int64()), pa.array(roles, pa.string()), pa.array([[{"role": r, "text": t} for r, t in x] for x in parsed], pa.list_(turn)), pa.array(text, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()), pa.array([r == ",".join(t or []) for r, t in zip(roles, batch.column("true_roles").to_pylist(), strict=True)], pa.bool_()), batch.column("continues")],
-                names=["conv_id", "part", "n_turns", "roles", "turns", "rendered", "rendered_sha256", "roles_match", "continues"],
-            )
+            text = [render(x, *ends) for x, *ends in zip(parsed, ons, opens, strict=True)]
+            columns = {
+                "conv_id": batch.column("conv_id"),
+                "part": batch.column("part"),
+                "n_turns": pa.array([len(x) - on for x, on in zip(parsed, ons, strict=True)], pa.int64()),
+                "roles": pa.array(roles, pa.string()),
+                "turns": pa.array([[{"role": r, "text": t} for r, t in x] for x in parsed], pa.list_(turn)),
+                "rendered": pa.array(text, pa.string()),
+                "rendered_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string()),
+                "roles_match": pa.array([r == ",".join(t or []) for r, t in zip(roles, true, strict=True)], pa.bool_()),
+                "continues": batch.column("continues"),
+                "goes_on": batch.column("goes_on"),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     key = found.schema["conv_id"].dataType.simpleString()
-    return found.mapInArrow(rows, f"conv_id {key}, part long, n_turns long, roles string, turns array<struct<role:string,text:string>>, rendered string, rendered_sha256 string, roles_match boolean, continues boolean")
+    return found.mapInArrow(rows, f"conv_id {key}, part long, n_turns long, roles string, turns array<struct<role:string,text:string>>, rendered string, rendered_sha256 string, roles_match boolean, continues boolean, goes_on boolean")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:

@@ -276,8 +276,11 @@ def test_viterbi_is_the_best_path(spark):
 def test_chat_does_not_depend_on_the_size_of_parts(spark, monkeypatch):
     def whole(turns):
         monkeypatch.setattr(chat, "TURNS", turns)
-        out = {}
+        out, rendered, counted = {}, {}, {}
         for r in sorted(rows_of(chat.format_chats(long_talk)), key=lambda r: (repr(r["conv_id"]), r["part"])):
+            rendered[r["conv_id"]] = rendered.get(r["conv_id"], "") + r["rendered"]
+            counted[r["conv_id"]] = counted.get(r["conv_id"], 0) + r["n_turns"]
+            assert r["rendered_sha256"] == hashlib.sha256(r["rendered"].encode()).hexdigest()
             said = [(t["role"], t["text"]) for t in r["turns"]]
             before = out.setdefault(r["conv_id"], [])
             if r["continues"]:
@@ -285,6 +288,8 @@ def test_chat_does_not_depend_on_the_size_of_parts(spark, monkeypatch):
                 assert role == before[-1][0]
                 before[-1] = (role, before[-1][1] + "\n" + text)
             before += said
+        assert rendered == {c: "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in x) for c, x in out.items()}
+        assert counted == {c: len(x) for c, x in out.items()}
         return out
 
     extra = [(500, t, "user" if t % 3 else "assistant", f"line {t}?\nmore" if t % 3 else prose(30, t)) for t in range(90)] + [(500, 40, "user", "   "), (None, 300, "user", "bye?")]
