@@ -39,9 +39,8 @@ def match_catalogs(requests: DataFrame, catalogs: DataFrame) -> DataFrame:
     return flagged.select("request", "catalog", "score", F.coalesce("corrected", F.lit(False)).alias("corrected"), F.row_number().over(w).alias("place"))
 
 
-def resolve_models(requests: DataFrame, models: DataFrame, least: float = 0.6, most: int = 12) -> DataFrame:
-    """Requests (request, text) against models (model, name, vin) by the first stage that finds any: frame number, equal name, name with
-    digits and letters set apart, similar name. request, stage, model, policy (selected with one, confirm with more)."""
+def _named(requests: DataFrame, models: DataFrame, least: float, most: int) -> DataFrame:
+    """request, stage, model: what the first stage that finds any finds."""
     plain = lambda c: F.trim(F.lower(T.fold(F.col(c))))
     apart = lambda c: F.regexp_replace(T.spaced(F.regexp_replace(plain(c), r"\s+", "")), r"\s+", " ")
     asked = requests.select("request", "text", plain("text").alias("p"), apart("text").alias("s"), S.cleaned(F.col("text")).alias("v"))
@@ -55,7 +54,45 @@ def resolve_models(requests: DataFrame, models: DataFrame, least: float = 0.6, m
     four = lost.join(near, F.col("text") == F.col("query")).join(named.select("model", F.col("name").alias("candidate")), "candidate").select("request", F.lit(4).alias("stage"), "model")
     every = exact.union(four)
     first = every.groupBy("request").agg(F.min("stage").alias("stage"))
-    chosen = every.join(first, ["request", "stage"]).distinct()
+    return every.join(first, ["request", "stage"]).distinct()
+
+
+def _listed(chosen: DataFrame, most: int) -> DataFrame:
+    """chosen with n (models of each request) and only the first `most` of them."""
     n = Window.partitionBy("request")
-    ranked = chosen.withColumns({"n": F.count(F.lit(1)).over(n), "k": F.row_number().over(n.orderBy("model"))}).where(F.col("k") <= most)
-    return ranked.select("request", "stage", "model", F.when(F.col("n") == 1, "selected").otherwise("confirm").alias("policy"))
+    return chosen.withColumns({"n": F.count(F.lit(1)).over(n), "k": F.row_number().over(n.orderBy("model"))}).where(F.col("k") <= most)
+
+
+def resolve_models(requests: DataFrame, models: DataFrame, least: float = 0.6, most: int = 12) -> DataFrame:
+    """Requests (request, text) against models (model, name, vin) by the first stage that finds any: frame number, equal name, name with
+    digits and letters set apart, similar name. request, stage, model, policy (selected with one, confirm with more)."""
+    return _listed(_named(requests, models, least, most), most).select("request", "stage", "model", F.when(F.col("n") == 1, "selected").otherwise("confirm").alias("policy"))
+
+
+def resolve_machines(requests: DataFrame, models: DataFrame, least: float = 0.6, most: int = 12, places: int = 3) -> DataFrame:
+    """X10 whole: requests (request, text, serial, sure) against models (model, name, vin, starts: the serials that a model begins with, as catalogs print them).
+
+    A full frame number, as text or serial, selects its model. Else models are found by name (`resolve_models`' stages), and those found by an equal name meet the
+    serial: of the starts that fit its prefix (one length, at most `places` places apart; digits alone fit all) the last one not above it is the machine's.
+    One model with that start is `found`, several are `ambiguous` and stay; without a start that fits (`none_compatible`), or with later ones only (`too_early`),
+    or with a serial that is none (`unreadable`), all stay. request, stage, model, policy (selected: one model, of a sure brand or by its frame number; similar names must
+    always be confirmed), remark (what the serial said, or null), candidates (how many there are, shown or not).
+    """
+    framed = requests.withColumn("text", F.when(F.coalesce(S.is_full_frame_number(F.col("serial")), F.lit(False)), F.col("serial")).otherwise(F.col("text")))
+    vins = models.select("model", S.cleaned(F.col("vin")).alias("v"))
+    by_vin = framed.select("request", S.cleaned(F.col("text")).alias("v")).where(F.length("v") >= 15).join(vins, "v").select("request", F.lit(1).alias("stage"), "model").distinct()
+    rest = requests.join(by_vin.select("request").distinct(), "request", "left_anti")
+    chosen = by_vin.union(_named(rest.select("request", "text"), models, least, most))
+    asked = rest.where(F.col("serial").isNotNull()).select("request", S.split_serial(F.col("serial")).alias("s"), S.digits_only(F.col("serial")).alias("bare"))
+    asked = asked.select("request", F.when(F.col("bare"), "").otherwise(F.coalesce("s.prefix", F.lit(""))).alias("q"), F.col("s.n").alias("n"), "bare")
+    starts = models.select("model", F.inline(S.catalog_starts(F.col("starts")))).select("model", F.col("prefix").alias("p"), F.col("n").alias("start")).distinct()
+    pairs = chosen.where("stage in (2, 3)").join(asked, "request").join(starts, "model", "left")
+    fits = F.col("p").isNotNull() & (F.col("bare") | S.compatible(F.col("q"), F.col("p"), places))
+    best = pairs.groupBy("request").agg(F.first("n").alias("n"), F.bool_or(fits).alias("any"), F.max(F.when(fits & (F.col("start") <= F.col("n")), F.col("start"))).alias("best"))
+    hits = pairs.join(best.select("request", "best"), "request").where(fits & (F.col("start") == F.col("best"))).groupBy("request").agg(F.collect_set("model").alias("hits"))
+    told = best.join(hits, "request", "left")
+    remark = F.when(F.col("n").isNull(), "unreadable").when(~F.col("any"), "none_compatible").when(F.col("best").isNull(), "too_early").when(F.size("hits") > 1, "ambiguous").otherwise("found")
+    narrowed = chosen.join(told.select("request", "hits", remark.alias("remark")), "request", "left").where(F.col("hits").isNull() | F.array_contains("hits", F.col("model")))
+    listed = _listed(narrowed, most).join(requests.select("request", F.coalesce("sure", F.lit(False)).alias("sure")), "request")
+    selected = (F.col("n") == 1) & ((F.col("stage") == 1) | (F.col("sure") & (F.col("stage") < 4)))
+    return listed.select("request", "stage", "model", F.when(selected, "selected").otherwise("confirm").alias("policy"), "remark", F.col("n").alias("candidates"))

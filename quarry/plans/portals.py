@@ -25,7 +25,9 @@ def lines_of_orders(spark, d, *mark, head="", tail=""):
     text = F.concat(*[F.lit(m) if isinstance(m, str) else m.cast("string") for m in mark])
     pages = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("t")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["t"]), "")
-    return pages.select("page_id", F.concat(F.lit(head), body, F.replace(F.lit(tail), F.lit("{page}"), F.col("page_id").cast("string"))).alias("html"))
+    html = F.concat(F.lit(head), body, F.replace(F.lit(tail), F.lit("{page}"), F.col("page_id").cast("string")))
+    # few bytes a page, and much to read in them: all tasks have some, though they would fit into one
+    return pages.select("page_id", html.alias("html")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def old_pages(spark, d):

@@ -74,8 +74,10 @@ def drawing_blocks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     bodies = N.first(N.chosen(nodes, N.is_tag("body", N.PAGE), "block", body=F.col("tag")).withColumn("order", F.struct(F.col("body") != "body", "block")), ["page_id"], "order", "block").drop("order")
     whole = N.texts(nodes, bodies.join(marked.select("page_id").distinct(), "page_id", "left_anti"), "block")
     blocks = marked.select("page_id", "block", "text").union(whole.select("page_id", "block", "text"))
-    said = N.texts(nodes, N.under(nodes, N.is_tag("h2", "h3", "p", "td"), blocks.select("page_id", "block"), "block", "at"), "at", "said")
-    own = N.first(said.where(F.col("said").rlike(f"^{DRAWING_ID}$")), ["page_id", "block"], "at", "said").drop("at")
+    # an element that says nothing but a number has a text that is one, so only the elements around such texts are read whole
+    numbers = nodes.where(N.is_tag(N.TEXT) & F.col("text").rlike(rf"^\s*{DRAWING_ID}\s*$")).select("page_id", F.explode("path").alias("at")).distinct()
+    maybe = N.under(nodes, N.is_tag("h2", "h3", "p", "td"), blocks.select("page_id", "block"), "block", "at").join(numbers, ["page_id", "at"], "left_semi")
+    own = N.first(N.texts(nodes, maybe, "at", "said").where(F.col("said").rlike(f"^{DRAWING_ID}$")), ["page_id", "block"], "at", "said").drop("at")
     anchors = N.first(N.chosen(nodes, N.is_tag("a") & F.map_contains_key("attrs", "name"), "at", anchor=N.attr("name")), ["page_id"], "at", "anchor").drop("at")
     remarks = pages.select("page_id", F.regexp_extract("html", REMARK_ID, 1).alias("remark"), F.regexp_extract(file_of(F.col("url")), ANY_ID, 1).alias("file"))
     found = blocks.join(own, ["page_id", "block"], "left").join(anchors, "page_id", "left").join(remarks, "page_id", "left")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.operators import merge, search
+from quarry.operators import merge, resolve, search
 from quarry.sources import catalog_pages as C
 from quarry.sources import documents as D
 from quarry.sources import nodes as N
@@ -97,3 +97,20 @@ def test_page_titles(spark):
     table = spark.createDataFrame([(1, "www.x.it page\nHD Series\n 12 34 567\nGear\nGear box front \n x"), (2, None), (3, "short")], "page long, text string")
     assert [tuple(r) for r in D.page_titles(table).collect()] == [(1, "Gear box front")]
     assert [r[0] for r in spark.createDataFrame([("1234567",), ("20001 200 001A",), ("x",), (None,)], "c string").select(D.is_code(F.col("c"))).collect()] == [True, True, False, False]
+
+
+def test_machines_by_frame_number_name_and_serial(spark):
+    models = [(1, "Argon 65", "VINVINVINVIN001", "AB50001 / 60001"), (2, "Argon 65", "VINVINVINVIN002", "AB55001"), (3, "Argon 65", "VINVINVINVIN003", "XYZ00001"), (4, "Krypton", "VINVINVINVIN004", None), (5, "Krypton 5DT", None, "CD1")]
+    asked = [
+        ("vin", "vinvinvinvin-004", None, False), ("vin2", "argon 65", "VINVINVINVIN002", False), ("name", "argon 65", None, True), ("found", "ARGON 65", "AB 57000", True), ("unsure", "argon 65", "ab61000", None),
+        ("early", "argon 65", "AB00005", True), ("apart", "argon 65", "Q99999", True), ("bare", "argon 65", "99", True), ("unread", "argon 65", "x?", True), ("one", "krypton", None, True), ("spaced", "krypton 5 dt", None, True), ("like", "kripton", None, True), ("none", "zzzzzzz", None, True),
+    ]
+    found = resolve.resolve_machines(spark.createDataFrame(asked, "request string, text string, serial string, sure boolean"), spark.createDataFrame(models, "model long, name string, vin string, starts string"))
+    got = {}
+    for r in found.orderBy("request", "model").collect():
+        got.setdefault((r.request, r.stage, r.policy, r.remark), []).append(r.model)
+    assert got == {
+        ("vin", 1, "selected", None): [4], ("vin2", 1, "selected", None): [2], ("name", 2, "confirm", None): [1, 2, 3], ("found", 2, "selected", "found"): [2], ("unsure", 2, "confirm", "found"): [1],
+        ("early", 2, "confirm", "too_early"): [1, 2, 3], ("apart", 2, "confirm", "none_compatible"): [1, 2, 3], ("bare", 2, "selected", "found"): [3], ("unread", 2, "confirm", "unreadable"): [1, 2, 3],
+        ("one", 2, "selected", None): [4], ("spaced", 3, "selected", None): [5], ("like", 4, "confirm", None): [4, 5],
+    }
