@@ -11,6 +11,12 @@ from quarry.registry import query
 from quarry.sources.tables import load
 
 
+def padded(key: str, digits: int):
+    """A key with zeros before it up to so many digits; longer keys stay whole, where lpad would cut them."""
+    text = F.col(key).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
+
+
 def _list(words: list[str]) -> str:
     return "[" + ",".join("'" + w + "'" for w in sorted(set(words))) + "]"
 
@@ -97,7 +103,7 @@ def f8_letter_serial(spark, d):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey END AS n FROM part")
 def f9_tail_serial(spark, d):
-    s = F.when(F.col("p_partkey") % 9 == 0, F.lit("08-x1")).otherwise(F.concat(F.lit("08-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")))
+    s = F.when(F.col("p_partkey") % 9 == 0, F.lit("08-x1")).otherwise(F.concat(F.lit("08-"), padded("p_partkey", 6)))
     return load(spark, d, "part").select("p_partkey", S.tail_key(s).alias("n"))
 
 
@@ -120,7 +126,7 @@ def f10_split_serial(spark, d):
 @query("SELECT p_partkey, 'WVT' AS prefix, unnest([10000 + p_partkey, 50000 + p_size])::BIGINT AS n FROM part")
 def f11_catalog_starts(spark, d):
     s = F.concat(F.lit("WVT"), (F.col("p_partkey") + 10000).cast("string"), F.lit(" / "), (F.col("p_size") + 50000).cast("string"))
-    return load(spark, d, "part").select("p_partkey", F.inline(S.catalog_starts(s)))
+    return load(spark, d, "part").select("p_partkey", F.inline(S.catalog_starts(s, 18)))  # keys of any length: WVT100000 is no 1 before five digits
 
 
 @query(f"SELECT p_partkey, regexp_full_match(s, '[0-9]+') AS digits, length(s) >= 15 AS whole FROM (SELECT p_partkey, upper(regexp_replace(CASE WHEN p_size < 10 THEN p_partkey::VARCHAR ELSE {SERIAL} || 'zz' END, '[\\s\\-_.]', '', 'g')) AS s FROM part)")
