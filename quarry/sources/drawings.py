@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.shared import settle
+from quarry.operators.shared import settle_by
 from quarry.sources import nodes as N
 from quarry.sources.portals import NOTE, NOTE_MARK, SERIAL, VALID_SINCE, VALID_UNTIL
 
@@ -58,8 +58,8 @@ def group_drawings(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     links = N.chosen(nodes, N.is_tag("a") & N.has_class(GROUP_LINK) & F.map_contains_key("attrs", "href"), "a", href=N.attr("href"))
     links = links.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
     links = links.select("page_id", "a", F.substring_index(absolute(F.col("base"), F.col("href")), "#", 1).alias("url"))
-    links = N.first(links, ["page_id", "url"], "a")
-    links = N.nearest(nodes, N.texts(nodes, links, "a", "label"), "a", N.is_tag("tr"), "tr")
+    links = settle_by(N.first(links, ["page_id", "url"], "a"), "page_id")
+    links = settle_by(N.nearest(nodes, N.texts(nodes, links, "a", "label"), "a", N.is_tag("tr"), "tr"), "page_id")
     cells = N.first(N.under(nodes, N.is_tag("td"), links.select("page_id", "tr").distinct(), "tr", "td"), ["page_id", "tr"], "td", last=True)
     titles = N.texts(nodes, cells, "td", "title").select("page_id", "tr", "title")
     named = F.coalesce(F.nullif(F.regexp_extract(file_of(F.col("url")), ANY_ID, 1), F.lit("")), F.col("label"))
@@ -69,11 +69,11 @@ def group_drawings(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def drawing_blocks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, block (the place of the drawing's element), drawing, text."""
-    tables = N.texts(nodes, N.chosen(nodes, N.is_tag("table"), "block"), "block").where(F.upper("text").contains(BLOCK_MARK))
+    tables = settle_by(N.texts(nodes, N.chosen(nodes, N.is_tag("table"), "block"), "block").where(F.upper("text").contains(BLOCK_MARK)), "page_id")
     marked = N.outermost(nodes, tables, "block")
     bodies = N.first(N.chosen(nodes, N.is_tag("body", N.PAGE), "block", body=F.col("tag")).withColumn("order", F.struct(F.col("body") != "body", "block")), ["page_id"], "order", "block").drop("order")
     whole = N.texts(nodes, bodies.join(marked.select("page_id").distinct(), "page_id", "left_anti"), "block")
-    blocks = marked.select("page_id", "block", "text").union(whole.select("page_id", "block", "text"))
+    blocks = settle_by(marked.select("page_id", "block", "text").union(whole.select("page_id", "block", "text")), "page_id")
     # an element that says nothing but a number has a text that is one, so only the elements around such texts are read whole
     numbers = nodes.where(N.is_tag(N.TEXT) & F.col("text").rlike(rf"^\s*{DRAWING_ID}\s*$")).select("page_id", F.explode("path").alias("at")).distinct()
     maybe = N.under(nodes, N.is_tag("h2", "h3", "p", "td"), blocks.select("page_id", "block"), "block", "at").join(numbers, ["page_id", "at"], "left_semi")
@@ -87,15 +87,18 @@ def drawing_blocks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def drawing_rows(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     """page_id, block, place, cells (texts), link (to a code, or null) of every row of a table of parts."""
-    tables = N.under(nodes, N.is_tag("table"), blocks.select("page_id", "block"), "block", "tab")
+    # steps that are used twice are settled: in buckets nothing is dealt again, so there is no shuffle that Spark would keep for the second use
+    tables = settle_by(N.under(nodes, N.is_tag("table"), blocks.select("page_id", "block"), "block", "tab"), "page_id")
     heads = N.texts(nodes, N.under(nodes, N.is_tag("th"), tables, "tab", "th"), "th", "said")
     heads = heads.groupBy("page_id", "tab").agg(F.upper(F.array_join(F.collect_list("said"), " ")).alias("said"))
     headed = heads.where(F.col("said").contains("POS") & (F.col("said").contains("MATRIC") | F.col("said").contains("DESCRIZIONE"))).select("page_id", "tab")
-    links = nodes.where(N.is_tag("a") & N.attr("href").rlike(CODE)).select("page_id", F.col("enter").alias("a"), N.attr("href").alias("link"))
+    links = settle_by(nodes.where(N.is_tag("a") & N.attr("href").rlike(CODE)).select("page_id", F.col("enter").alias("a"), N.attr("href").alias("link")), "page_id")
     around = N.nearest(nodes, links, "a", N.is_tag("table"), "tab").where("tab is not null").select("page_id", "tab")
     listed = tables.join(headed.union(around).distinct(), ["page_id", "tab"], "left_semi")
-    trs = N.nearest(nodes, N.under(nodes, N.is_tag("tr"), listed, "tab", "tr"), "tr", N.is_tag("table"), "own").where("own = tab").drop("own")
-    cells = N.nearest(nodes, N.under(nodes, N.is_tag("td"), trs, "tr", "td"), "td", N.is_tag("tr"), "own").where("own = tr").drop("own")
+    trs = settle_by(N.under(nodes, N.is_tag("tr"), listed, "tab", "tr"), "page_id")
+    trs = N.nearest(nodes, trs, "tr", N.is_tag("table"), "own").where("own = tab").drop("own")
+    cells = settle_by(N.under(nodes, N.is_tag("td"), trs, "tr", "td"), "page_id")
+    cells = settle_by(N.nearest(nodes, cells, "td", N.is_tag("tr"), "own").where("own = tr").drop("own"), "page_id")
     cells = N.texts(nodes, cells, "td", "said").groupBy("page_id", "block", "tr").agg(F.transform(F.array_sort(F.collect_list(F.struct("td", "said"))), lambda x: x["said"]).alias("cells"))
     linked = N.nearest(nodes, links, "a", N.is_tag("tr"), "tr").where("tr is not null")
     return cells.join(N.first(linked, ["page_id", "tr"], "a", "link").drop("a"), ["page_id", "tr"], "left").withColumnRenamed("tr", "place")
@@ -154,7 +157,7 @@ def headers_of(nodes: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFra
     """page_id, block, grp, number, machine, models, title, date, image of each drawing."""
     key = ["page_id", "block"]
     at = blocks.select(*key)
-    said = N.texts(nodes, N.under(nodes, N.is_tag("h2", "h3", "p"), at, "block", "at", tag=F.col("tag")), "at", "said").where("said <> ''")
+    said = settle_by(N.texts(nodes, N.under(nodes, N.is_tag("h2", "h3", "p"), at, "block", "at", tag=F.col("tag")), "at", "said").where("said <> ''"), "page_id")
     heading = (F.col("tag") != "p") & ~F.col("said").rlike(f"^{DRAWING_ID}$")
     machines = N.first(said.where(heading), key, "at", "said").select(*key, F.col("said").alias("machine"))
     lists = N.first(said.where((F.col("tag") == "p") & F.col("said").rlike(MODELS) & F.col("said").contains("/")), key, "at", "said").select(*key, F.col("at").alias("models_at"), F.col("said").alias("models"))
@@ -179,11 +182,11 @@ class NewDrawings:
     """The drawings of these pages: `parts`, `notes`, `validity` and `headers` share one node table and one table of rows, settled."""
 
     def __init__(self, pages: DataFrame):
-        self.pages = pages
-        self.nodes = settle(N.page_nodes(pages))
-        blocks = settle(drawing_blocks(self.nodes, pages))
-        self.rows = settle(drawing_rows(self.nodes, blocks))
-        self.blocks = settle(blocks.join(self.rows.where(is_part()).select("page_id", "block").distinct(), ["page_id", "block"], "left_semi"))
+        self.pages = settle_by(pages, "page_id")
+        self.nodes = N.settled_nodes(self.pages)
+        blocks = settle_by(drawing_blocks(self.nodes, self.pages), "page_id")
+        self.rows = settle_by(drawing_rows(self.nodes, blocks), "page_id")
+        self.blocks = settle_by(blocks.join(self.rows.where(is_part()).select("page_id", "block").distinct(), ["page_id", "block"], "left_semi"), "page_id")
 
     def _named(self, of: DataFrame) -> DataFrame:
         return self.blocks.select("page_id", "block", "drawing").join(of, ["page_id", "block"])

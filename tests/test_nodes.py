@@ -89,3 +89,17 @@ def test_absolute(spark, link, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(D.absolute(F.lit("http://h/a/b?c/d"), F.lit(link))).first()[0] == want
+
+
+def test_settled_nodes_stay_where_their_page_is(spark):
+    """Selections over settled nodes move none of them, and many pages go out in one batch."""
+    pages = spark.createDataFrame([(i, "", f"<div class='a'><p>one {i}</p><p>two</p></div>") for i in range(300)] + [(300, "", None)], PAGES)
+    nodes = N.settled_nodes(pages)
+    assert rows_of(nodes, "page_id", "enter", "text") == rows_of(N.page_nodes(pages), "page_id", "enter", "text")
+    found = N.first(N.texts(nodes, N.under(nodes, N.is_tag("p"), N.chosen(nodes, N.has_class("a"), "div"), "div", "p"), "p", "said"), ["page_id", "div"], "p", "said")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(found, "said") == sorted(((f"one {i}",) for i in range(300)), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
