@@ -58,3 +58,8 @@ def test_near_texts_of_all_lengths(spark):
     # 20 choices of three places: 1000 x 1000 pairs meet about 20 / 4096 of the time, where one segment of one place let 1 / 16 meet, twice
     cuts = J.choices_of(hexes("a"), "a", "_sa", 3).join(J.choices_of(hexes("b"), "b", "_sb", 3), ["_len", "_of", "_k"])
     assert J.near_pairs(hexes("a"), "a", hexes("b"), "b", 3).count() <= cuts.count() < 10_000
+
+
+def test_open_intervals_are_dealt_over_all_tasks(spark, tables, tmp_path):
+    tables(spark, "p12_open_interval", part="SELECT range AS p_partkey, (range % 50)::INT AS p_size FROM range(200)", customer="SELECT range AS c_custkey FROM range(401)")
+    assert registry.QUERIES["p12_open_interval"](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
