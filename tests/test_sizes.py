@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import registry
+from quarry.operators import answers
 from quarry.operators import joins as J
 
 
@@ -81,3 +82,17 @@ def test_machines_do_not_pass_through_the_driver(spark, tables, tmp_path):
         low = [s for _, s in starts.values() if n is not None and s <= n]  # all prefixes are within three places
         hits = sorted(m for m in starts if low and starts[m][1] == max(low)) or sorted(starts)
         assert sorted(r.model for r in rows[c]) == hits[:12] and {r.candidates for r in rows[c]} == {len(hits)}
+
+
+def test_codes_by_type_shuffle_rows_before_queries_meet_them(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    hits = df([(1, 7, 0.5), (1, 7, 0.5), (2, 7, 0.25), (3, 8, 0.1), (4, 7, 0.4)], "query long, type int, score double")
+    asked = df([(1, None, "m1"), (1, None, "m2"), (2, "s1", None), (4, "s2", "M3")], "query long, series string, model string")
+    parts = df([(10, "gear", 7), (11, "bolt", 8), (12, "pin", None)], "code long, description string, type int")
+    rows = df([(1, 10, 5, 1), (2, 10, 6, 1), (3, 10, 6, 1), (4, 10, 6, 2), (5, 11, 5, 1), (6, 12, 5, 1), (7, 10, 6, 3)], "row long, code long, drawing long, position int")
+    drawings = df([(5, "S1", "a"), (6, "S2", "b")], "drawing long, series string, title string")
+    row_models = df([(1, "M2"), (2, "M1"), (3, "M3"), (4, "M9"), (7, None)], "row long, model string")
+    found = answers.codes_by_type(hits, asked, parts, rows, drawings, row_models)
+    got = sorted((r.query, r.series, r.position) for r in found.collect())
+    assert got == [(1, "S1", 1), (1, "S2", 1), (2, "S1", 1), (4, "S2", 1)]
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
