@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import machines as M
+from quarry.operators.shared import dealt
 from quarry.registry import query
 from quarry.sources import documents as D
 from quarry.sources import grids as G
@@ -72,7 +73,7 @@ def s13_page_total(spark, d):
 
 @query("SELECT l_orderkey AS grid, l_linenumber AS row, c AS col, 'q' || (c - c % (1 + l_linenumber % 3)) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), range(0, 6) AS t(c)")
 def s14_fill_merged(spark, d):
-    keys = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).distinct()
+    keys = dealt(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")), "grid", "row").distinct()
     cells = keys.select("grid", "row", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("col"))
     return D.fill_merged(cells.withColumn("text", F.when(F.col("col") % (1 + F.col("row") % 3) == 0, F.concat(F.lit("q"), F.col("col").cast("string"))))).select("grid", "row", "col", "text")
 

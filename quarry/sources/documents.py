@@ -90,9 +90,13 @@ def codes_on_drawing(words: DataFrame, codes: str = CODE) -> DataFrame:
 
 def ocr_rows(anchors: DataFrame, words: DataFrame, reach: float = 20.0) -> DataFrame:
     """For each anchor (page, position, y) its words (page, word, wx, wy, x1, y1, confidence) in a band, in order of x, with mean confidence and box."""
-    pairs = J.band_join(anchors, words, ["page"], "y", "wy", reach)
+    # positions of the same heights have the same words: these are gathered once for all of them
+    placed = anchors.groupBy("page", "position").agg(F.array_sort(F.collect_list("y")).alias("_ys"))
+    heights = placed.select("page", "_ys").distinct().select("page", "_ys", F.explode("_ys").alias("y"))
+    pairs = J.band_join(heights, words, ["page"], "y", "wy", reach)
     said = F.array_sort(F.collect_list(F.struct("wx", "word")))
-    return pairs.groupBy("page", "position").agg(F.array_join(F.transform(said, lambda s: s["word"]), " ").alias("description"), F.avg("confidence").alias("confidence"), F.min("wx").alias("x0"), F.min("wy").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    lines = pairs.groupBy("page", "_ys").agg(F.array_join(F.transform(said, lambda s: s["word"]), " ").alias("description"), F.avg("confidence").alias("confidence"), F.min("wx").alias("x0"), F.min("wy").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return placed.join(lines, ["page", "_ys"]).drop("_ys")
 
 
 # What a drawing's page says besides its title.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry import registry
 from quarry.operators import answers
 from quarry.operators import joins as J
+from quarry.sources import documents
 
 
 @pytest.fixture
@@ -96,3 +97,16 @@ def test_codes_by_type_shuffle_rows_before_queries_meet_them(spark):
     got = sorted((r.query, r.series, r.position) for r in found.collect())
     assert got == [(1, "S1", 1), (1, "S2", 1), (2, "S1", 1), (4, "S2", 1)]
     assert found._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+LINES = "SELECT range % 50 AS l_orderkey, range % 37 AS l_partkey, range % 5 AS l_suppkey, (range % 7)::INT AS l_linenumber, CASE range % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' END AS l_returnflag FROM range(300)"
+
+
+@pytest.mark.parametrize("name", ["u1_difference"])
+def test_few_bytes_of_many_rows_are_dealt_over_all_tasks(spark, tables, tmp_path, name):
+    tables(spark, name, lineitem=LINES)
+    assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
