@@ -124,3 +124,11 @@ def test_copies_of_one_value_meet_their_band_once(spark, tables):
     assert {(r.a % 2, r.b) for r in found.collect()} == {(0, 0), (1, 2)} and found.count() == 400
     assert "Aggregate [k" in plan_of(found) and plan_of(found).count("Aggregate [k") >= 3
     tables(spark, "j10_band_nearest", part="SELECT range AS p_partkey, 'Brand#' || range % 30 AS p_brand, (range % 50)::INT AS p_size FROM range(600)", supplier="SELECT range AS s_suppkey, (range % 90 * 1.5)::DOUBLE AS s_acctbal FROM range(300)")
+
+
+def test_words_are_gathered_once_for_positions_of_one_height(spark):
+    anchors = spark.createDataFrame([(1, "a", 10.0), (1, "b", 10.0), (1, "c", 10.0), (1, "c", 60.0), (1, "d", 200.0), (1, "e", None)], "page long, position string, y double")
+    words = spark.createDataFrame([(1, "w", 3.0, 12.0), (1, "v", 1.0, 5.0), (1, "u", 2.0, 65.0)], "page long, word string, wx double, wy double")
+    found = documents.ocr_rows(anchors, words.select("*", F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"), F.lit(0.5).alias("confidence")))
+    assert {r.position: r.description for r in found.collect()} == {"a": "v w", "b": "v w", "c": "v u w"}
+    assert "_ys" in plan_of(found)
