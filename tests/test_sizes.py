@@ -106,7 +106,7 @@ def plan_of(df):
 LINES = "SELECT range % 50 AS l_orderkey, range % 37 AS l_partkey, range % 5 AS l_suppkey, (range % 7)::INT AS l_linenumber, CASE range % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' END AS l_returnflag FROM range(300)"
 
 
-@pytest.mark.parametrize("name", ["u1_difference"])
+@pytest.mark.parametrize("name", ["u1_difference", "s14_fill_merged"])
 def test_few_bytes_of_many_rows_are_dealt_over_all_tasks(spark, tables, tmp_path, name):
     tables(spark, name, lineitem=LINES)
     assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
