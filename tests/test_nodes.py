@@ -1,6 +1,7 @@
 """The node table, and drawings in the new format, against literal rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.sources import drawings as D
 from quarry.sources import nodes as N
@@ -103,3 +104,34 @@ def test_settled_nodes_stay_where_their_page_is(spark):
         assert rows_of(found, "said") == sorted(((f"one {i}",) for i in range(300)), key=repr)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plain_pages_are_read_as_html_parser_reads_them():
+    """The one pattern for plain markup gives HTMLParser's nodes, or leaves the page to it."""
+    import itertools
+
+    pieces = ["<p>", "</p>", "<td class='a b'>", "<table id=x>", "</table>", "a &amp; b", " ", "&nbsp", "<!-- c -->", "<!--->", "<br/>", "<a href='?l=1&amp;c=2'>", "<A HREF=\"u\" disabled>", "<script>1 & 2</script>", "<script>a<b</script>", "<title>q &lt;", "</title>", "<", "<x-y>", "<td\x0bclass=x>", "<textarea>"]
+    read = 0
+    for cut in itertools.product(pieces, repeat=3):
+        html = "".join(cut)
+        slow, fast = N._Nodes(), N._Nodes()
+        slow.feed(html)
+        slow.close()
+        if fast.read(html):
+            read += 1
+            assert fast.nodes == slow.nodes, html
+    assert read > 1000
+
+
+def test_page_arrays_need_no_shuffle_and_no_table(spark):
+    """Selections over a page's array deal, sort and settle nothing; long pages and null pages among them."""
+    from quarry.sources import catalog_pages as C
+
+    rows = "".join(f"<tr><td>{i}<td>d{i}<td>t <b>{i}</b><td>g</tr>" for i in range(3000))
+    page = f"<section class='result_list'><table><tr><th>no</table><table><tr><th>Gruppo</tr>{rows}</table></section>"
+    pages = spark.createDataFrame([(1, "", page), (2, "", None), (3, "", ""), (4, "", "<p>x")], PAGES)
+    arrays = N.page_arrays(pages, "url")
+    assert rows_of(arrays.select("page_id", F.size("nodes").alias("n")), "page_id", "n") == [(1, len(N.read_page(page))), (4, 3)]
+    found = C.drawing_results(arrays)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(found, "drawing", "title") == sorted(((f"d{i}", f"t {i}") for i in range(3000)), key=repr)
