@@ -1,16 +1,19 @@
-"""Drawings in the new format, from the node table of their pages (page_id, url, html).
+"""Drawings in the new format, from the nodes of their pages (page_id, url, html), an array a page.
 
 A page may hold several drawings. A drawing is an outermost table that says GR TAV, or else the whole body; its number is the first of: a heading,
 paragraph or cell that is nothing but a number, the page's first named anchor, the page's remark, the file's name. Without a number,
 or without rows, there is no drawing. Inside it, tables of parts are those whose heading cells say so or that link to a code; each of their rows
 belongs to the innermost table around it and has the cells that are directly its own.
 
+All of a page is said by columns of its row: what is inside an element is a slice of the array, the innermost element around one is found on its path.
 Rows without a part are read in order as notes and validity: a validity row may carry its serial number, or the next row of a serial number
 carries it; a note without text of its own takes the next row that says nothing else. Windows are over one drawing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,53 +70,66 @@ def group_drawings(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("a").alias("place"), named.alias("drawing"), "label", F.coalesce("title", F.lit("")).alias("title"), "url")
 
 
-def drawing_blocks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_id, block (the place of the drawing's element), drawing, text."""
-    tables = settle_by(N.texts(nodes, N.chosen(nodes, N.is_tag("table"), "block"), "block").where(F.upper("text").contains(BLOCK_MARK)), "page_id")
-    marked = N.outermost(nodes, tables, "block")
-    bodies = N.first(N.chosen(nodes, N.is_tag("body", N.PAGE), "block", body=F.col("tag")).withColumn("order", F.struct(F.col("body") != "body", "block")), ["page_id"], "order", "block").drop("order")
-    whole = N.texts(nodes, bodies.join(marked.select("page_id").distinct(), "page_id", "left_anti"), "block")
-    blocks = settle_by(marked.select("page_id", "block", "text").union(whole.select("page_id", "block", "text")), "page_id")
-    # an element that says nothing but a number has a text that is one, so only the elements around such texts are read whole
-    numbers = nodes.where(N.is_tag(N.TEXT) & F.col("text").rlike(rf"^\s*{DRAWING_ID}\s*$")).select("page_id", F.explode("path").alias("at")).distinct()
-    maybe = N.under(nodes, N.is_tag("h2", "h3", "p", "td"), blocks.select("page_id", "block"), "block", "at").join(numbers, ["page_id", "at"], "left_semi")
-    own = N.first(N.texts(nodes, maybe, "at", "said").where(F.col("said").rlike(f"^{DRAWING_ID}$")), ["page_id", "block"], "at", "said").drop("at")
-    anchors = N.first(N.chosen(nodes, N.is_tag("a") & F.map_contains_key("attrs", "name"), "at", anchor=N.attr("name")), ["page_id"], "at", "anchor").drop("at")
-    remarks = pages.select("page_id", F.regexp_extract("html", REMARK_ID, 1).alias("remark"), F.regexp_extract(file_of(F.col("url")), ANY_ID, 1).alias("file"))
-    found = blocks.join(own, ["page_id", "block"], "left").join(anchors, "page_id", "left").join(remarks, "page_id", "left")
-    drawing = F.coalesce("said", F.when(F.col("anchor").rlike(f"^{DRAWING_ID}$"), F.col("anchor")), F.nullif("remark", F.lit("")), F.nullif("file", F.lit("")))
-    return found.select("page_id", "block", drawing.alias("drawing"), "text").where("drawing is not null")
-
-
-def drawing_rows(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """page_id, block, place, cells (texts), link (to a code, or null) of every row of a table of parts."""
-    # steps that are used twice are settled: in buckets nothing is dealt again, so there is no shuffle that Spark would keep for the second use
-    tables = settle_by(N.under(nodes, N.is_tag("table"), blocks.select("page_id", "block"), "block", "tab"), "page_id")
-    heads = N.texts(nodes, N.under(nodes, N.is_tag("th"), tables, "tab", "th"), "th", "said")
-    heads = heads.groupBy("page_id", "tab").agg(F.upper(F.array_join(F.collect_list("said"), " ")).alias("said"))
-    headed = heads.where(F.col("said").contains("POS") & (F.col("said").contains("MATRIC") | F.col("said").contains("DESCRIZIONE"))).select("page_id", "tab")
-    links = settle_by(nodes.where(N.is_tag("a") & N.attr("href").rlike(CODE)).select("page_id", F.col("enter").alias("a"), N.attr("href").alias("link")), "page_id")
-    around = N.nearest(nodes, links, "a", N.is_tag("table"), "tab").where("tab is not null").select("page_id", "tab")
-    listed = tables.join(headed.union(around).distinct(), ["page_id", "tab"], "left_semi")
-    trs = settle_by(N.under(nodes, N.is_tag("tr"), listed, "tab", "tr"), "page_id")
-    trs = N.nearest(nodes, trs, "tr", N.is_tag("table"), "own").where("own = tab").drop("own")
-    cells = settle_by(N.under(nodes, N.is_tag("td"), trs, "tr", "td"), "page_id")
-    cells = settle_by(N.nearest(nodes, cells, "td", N.is_tag("tr"), "own").where("own = tr").drop("own"), "page_id")
-    cells = N.texts(nodes, cells, "td", "said").groupBy("page_id", "block", "tr").agg(F.transform(F.array_sort(F.collect_list(F.struct("td", "said"))), lambda x: x["said"]).alias("cells"))
-    linked = N.nearest(nodes, links, "a", N.is_tag("tr"), "tr").where("tr is not null")
-    return cells.join(N.first(linked, ["page_id", "tr"], "a", "link").drop("a"), ["page_id", "tr"], "left").withColumnRenamed("tr", "place")
-
-
-def is_part() -> Column:
-    return F.col("link").isNotNull() & (F.size("cells") >= 3)
+KEY = ["page_id", "block", "drawing"]
+
+
+def innermost(x: Column, tag: str) -> Column:
+    """The place of the innermost element of this tag around x, or null."""
+    return F.try_element_at(F.filter(x["path"], lambda at: N.is_tag(tag, of=F.get("nodes", at))), F.lit(-1))
+
+
+def blocks_of_page() -> Column:
+    """enter, leave, text of each drawing's element. What a table says is said by the tables around it, so the outermost one has none around it."""
+    element = lambda x: F.struct(x["enter"].alias("enter"), x["leave"].alias("leave"), N.text_of(x).alias("text"))
+    tables = F.transform(N.of_page(lambda x: N.is_tag("table", of=x) & ~N.within("table", of=x)), element)
+    body = F.coalesce(N.head(N.of_page(lambda x: N.is_tag("body", of=x))), N.head(F.col("nodes")))
+    marked = F.filter(tables, lambda x: F.upper(x["text"]).contains(BLOCK_MARK))
+    return N.let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(N.let(body, element))))
+
+
+def own_number(block: Column) -> Column:
+    """What the first element says that says nothing but a number: one around a text that is one."""
+    numbers = N.inside(block, lambda n: N.is_tag(N.TEXT, of=n) & n["text"].rlike(rf"^\s*{DRAWING_ID}\s*$"))
+    around = lambda n: F.filter(F.transform(n["path"], lambda at: F.get("nodes", at)), lambda x: N.is_tag("h2", "h3", "p", "td", of=x) & (x["enter"] > block["enter"]))
+    said = F.flatten(F.transform(numbers, lambda n: F.transform(around(n), lambda x: F.struct(x["enter"].alias("at"), N.text_of(x).alias("said")))))
+    return F.array_min(F.filter(said, lambda x: x["said"].rlike(f"^{DRAWING_ID}$")))["said"]
+
+
+def drawing_of(block: Column) -> Column:
+    anchor = N.let(N.head(N.of_page(lambda x: N.is_tag("a", of=x) & N.has_attr("name", of=x))), lambda a: F.when(N.attr("name", of=a).rlike(f"^{DRAWING_ID}$"), N.attr("name", of=a)))
+    return F.coalesce(own_number(block), anchor, F.nullif("remark", F.lit("")), F.nullif("file", F.lit("")))
+
+
+def rows_of_block(block: Column) -> Column:
+    """place, cells (texts), link (to a code, or null) of every row of a block's tables of parts."""
+    to_code = lambda a: N.is_tag("a", of=a) & N.attr("href", of=a).rlike(CODE)
+
+    def headed(t: Column) -> Column:
+        said = F.upper(F.array_join(F.transform(N.inside(t, lambda n: N.is_tag("th", of=n)), lambda n: N.text_of(n)), " "))
+        return N.let(said, lambda h: h.contains("POS") & (h.contains("MATRIC") | h.contains("DESCRIZIONE")))
+
+    def row(r: Column) -> Column:
+        cells = F.transform(N.inside(r, lambda n: N.is_tag("td", of=n) & (innermost(n, "tr") == r["enter"])), lambda n: N.text_of(n))
+        link = N.let(N.head(N.inside(r, lambda n: to_code(n) & (innermost(n, "tr") == r["enter"]))), lambda a: F.when(a.isNotNull(), N.attr("href", of=a)))
+        return F.struct(r["enter"].alias("place"), cells.alias("cells"), link.alias("link"))
+
+    listed = lambda t: headed(t) | F.exists(N.inside(t, to_code), lambda a: F.coalesce(innermost(a, "table") == t["enter"], F.lit(False)))
+    tables = F.filter(N.inside(block, lambda n: N.is_tag("table", of=n)), listed)
+    rows = F.flatten(F.transform(tables, lambda t: F.transform(N.inside(t, lambda n: N.is_tag("tr", of=n) & (innermost(n, "table") == t["enter"])), row)))
+    return F.filter(rows, lambda r: F.size(r["cells"]) > 0)
+
+
+def is_part(of: Column | None = None) -> Column:
+    link, cells = (F.col("link"), F.col("cells")) if of is None else (of["link"], of["cells"])
+    return link.isNotNull() & (F.size(cells) >= 3)
 
 
 def parts_of(rows: DataFrame) -> DataFrame:
-    """page_id, block, place, position, code, description (without note marks), quantity, notes (numbers, in order)."""
+    """page_id, block, drawing, place, position, code, description (without note marks), quantity, notes (numbers, in order)."""
     cell = lambda k: F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(cell(2), NOTE_MARK, ""), r"^[ -]+|[ -]+$", "")
     return rows.where(is_part()).select(
-        "page_id", "block", "place", F.when(cell(0).rlike(POSITION), cell(0)).otherwise("").alias("position"), F.trim(F.regexp_extract("link", CODE, 1)).alias("code"),
+        *KEY, "place", F.when(cell(0).rlike(POSITION), cell(0)).otherwise("").alias("position"), F.trim(F.regexp_extract("link", CODE, 1)).alias("code"),
         F.regexp_replace(bare, r"\s+", " ").alias("description"), cell(3).alias("quantity"), F.regexp_extract_all(cell(2), F.lit(NOTE_MARK), F.lit(1)).alias("notes"),
     )
 
@@ -121,15 +137,15 @@ def parts_of(rows: DataFrame) -> DataFrame:
 def _lines(rows: DataFrame) -> DataFrame:
     """Rows without a part, with what they say: a state of validity goes on until a serial number has been read."""
     line = F.array_join(F.filter("cells", lambda x: x != ""), " ")
-    own = rows.where(~F.coalesce(is_part(), F.lit(False))).select("page_id", "block", "place", F.trim(line).alias("line")).where("line <> ''")
+    own = rows.where(~F.coalesce(is_part(), F.lit(False))).select(*KEY, "place", F.trim(line).alias("line")).where("line <> ''")
     said = F.col("line")
     kind = F.when(said.rlike(VALID_UNTIL), "until").when(said.rlike(VALID_SINCE), "since").when(said.rlike(NOTE), "note").otherwise("text")
     serial = F.nullif(F.regexp_extract("line", SERIAL, 1), F.lit(""))
     own = own.withColumn("kind", kind).withColumn("serial", serial)
     turn = F.col("kind").isin("until", "since")
-    so_far = Window.partitionBy("page_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("turn", F.sum(turn.cast("int")).over(so_far)).withColumn("note_no", F.sum((F.col("kind") == "note").cast("int")).over(so_far))
-    in_turn = Window.partitionBy("page_id", "block", "turn").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    in_turn = Window.partitionBy(*KEY, "turn").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("state", F.first(F.when(turn, F.col("kind"))).over(in_turn)).withColumn("carried", F.first(F.col("serial")).over(in_turn).isNotNull())
     plain = (F.col("kind") == "text") & F.col("serial").isNotNull()
     nth = F.sum(plain.cast("int")).over(in_turn)
@@ -137,68 +153,74 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def validity_of(rows: DataFrame) -> DataFrame:
-    """page_id, block, valid_from, valid_to (the last of each, or ''), validity_text."""
+    """page_id, block, drawing, valid_from, valid_to (the last of each, or ''), validity_text."""
     used = _lines(rows).where("used")
     last = lambda state: F.coalesce(F.max_by("serial", F.when((F.col("state") == state) & F.col("serial").isNotNull(), F.col("place"))), F.lit(""))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), " ")
-    return used.groupBy("page_id", "block").agg(last("since").alias("valid_from"), last("until").alias("valid_to"), said.alias("validity_text"))
+    return used.groupBy(*KEY).agg(last("since").alias("valid_from"), last("until").alias("valid_to"), said.alias("validity_text"))
 
 
 def notes_of(rows: DataFrame) -> DataFrame:
-    """page_id, block, note, text; the last note of a number counts."""
+    """page_id, block, drawing, note, text; the last note of a number counts."""
     lines = _lines(rows).where((F.col("note_no") > 0) & ~F.col("used"))
     is_note = F.col("kind") == "note"
     own, follows = F.max(F.when(is_note, F.trim(F.regexp_extract("line", NOTE, 2)))), F.min_by("line", F.when(~is_note, F.col("place")))
-    each = lines.groupBy("page_id", "block", "note_no").agg(F.max(F.when(is_note, F.regexp_extract("line", NOTE, 1))).alias("note"), F.coalesce(F.nullif(own, F.lit("")), follows, F.lit("")).alias("text"))
-    return each.groupBy("page_id", "block", "note").agg(F.max_by("text", "note_no").alias("text"))
-
-
-def headers_of(nodes: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """page_id, block, grp, number, machine, models, title, date, image of each drawing."""
-    key = ["page_id", "block"]
-    at = blocks.select(*key)
-    said = settle_by(N.texts(nodes, N.under(nodes, N.is_tag("h2", "h3", "p"), at, "block", "at", tag=F.col("tag")), "at", "said").where("said <> ''"), "page_id")
-    heading = (F.col("tag") != "p") & ~F.col("said").rlike(f"^{DRAWING_ID}$")
-    machines = N.first(said.where(heading), key, "at", "said").select(*key, F.col("said").alias("machine"))
-    lists = N.first(said.where((F.col("tag") == "p") & F.col("said").rlike(MODELS) & F.col("said").contains("/")), key, "at", "said").select(*key, F.col("at").alias("models_at"), F.col("said").alias("models"))
-    capital = (F.col("said") == F.upper("said")) & (F.col("said") != F.lower("said")) & (F.length("said") > 3)
-    loud = said.where((F.col("tag") == "p") & capital).join(machines, key, "left").join(lists, key, "left")
-    loud = loud.where((F.col("said") != F.coalesce("machine", F.lit(""))) & ~F.coalesce(F.col("at") == F.col("models_at"), F.lit(False)))
-    titles = N.first(loud, key, "at", "said").select(*key, F.col("said").alias("title"))
-    images = N.under(nodes, N.is_tag("img"), at, "block", "at", src=N.attr("src"), marked=N.has_class(IMAGE)).withColumn("order", F.struct(~F.col("marked"), "at"))
-    images = N.first(images, key, "order", "src").drop("order")
-    found = blocks.join(machines, key, "left").join(lists.drop("models_at"), key, "left").join(titles, key, "left").join(images, key, "left").join(pages.select("page_id", "url", one_blank(F.regexp_extract("html", TITLE_CELL, 1)).alias("cell")), "page_id", "left")
-    none = F.lit("")
-    url = F.coalesce("url", none)
-    image = F.when(F.col("src").isNull(), none).when(url != "", absolute(url, F.col("src"))).otherwise(F.col("src"))
-    number = F.when(F.col("drawing").contains("_"), F.regexp_replace("drawing", "^[^_]*_", "")).otherwise(none)
-    return found.select(
-        *key, "drawing", F.substring_index("drawing", "_", 1).alias("grp"), number.alias("number"), F.coalesce("machine", none).alias("machine"), F.coalesce("models", none).alias("models"),
-        F.coalesce("title", "cell", none).alias("title"), F.regexp_extract("text", DATE, 1).alias("date"), image.alias("image"),
-    )
+    each = lines.groupBy(*KEY, "note_no").agg(F.max(F.when(is_note, F.regexp_extract("line", NOTE, 1))).alias("note"), F.coalesce(F.nullif(own, F.lit("")), follows, F.lit("")).alias("text"))
+    return each.groupBy(*KEY, "note").agg(F.max_by("text", "note_no").alias("text"))
+
+
+def headers_of_block(block: Column) -> Column:
+    """machine, models, title, src of a block's drawing; null where it has none."""
+    said = F.transform(N.inside(block, lambda n: N.is_tag("h2", "h3", "p", of=n)), lambda n: F.struct(n["enter"].alias("at"), n["tag"].alias("tag"), N.text_of(n).alias("said")))
+    images = N.inside(block, lambda n: N.is_tag("img", of=n))
+    image = N.let(images, lambda found: F.coalesce(N.head(F.filter(found, lambda n: N.has_class(IMAGE, of=n))), N.head(found)))
+    src = N.let(image, lambda n: F.when(n.isNotNull(), N.attr("src", of=n)))
+    machine = lambda m: N.head(F.filter(m, lambda x: (x["tag"] != "p") & ~x["said"].rlike(f"^{DRAWING_ID}$")))["said"]
+    models = lambda m: N.head(F.filter(m, lambda x: (x["tag"] == "p") & x["said"].rlike(MODELS) & x["said"].contains("/")))
+    loud = lambda x: (x["tag"] == "p") & (x["said"] == F.upper(x["said"])) & (x["said"] != F.lower(x["said"])) & (F.length(x["said"]) > 3)
+    other = lambda x, f: (x["said"] != F.coalesce(f["machine"], F.lit(""))) & ~F.coalesce(x["at"] == f["models"]["at"], F.lit(False))
+
+    def found(m: Column) -> Column:
+        first = F.struct(machine(m).alias("machine"), models(m).alias("models"))
+        return N.let(first, lambda f: F.struct(f["machine"].alias("machine"), f["models"]["said"].alias("models"), N.head(F.filter(m, lambda x: loud(x) & other(x, f)))["said"].alias("title"), src.alias("src")))
+
+    return N.let(F.filter(said, lambda x: x["said"] != ""), found)
 
 
 class NewDrawings:
-    """The drawings of these pages: `parts`, `notes`, `validity` and `headers` share one node table and one table of rows, settled."""
+    """The drawings of these pages: each of `parts`, `notes`, `validity` and `headers` reads a page once and moves none of it."""
 
     def __init__(self, pages: DataFrame):
-        self.pages = settle_by(pages, "page_id")
-        self.nodes = N.settled_nodes(self.pages)
-        blocks = settle_by(drawing_blocks(self.nodes, self.pages), "page_id")
-        self.rows = settle_by(drawing_rows(self.nodes, blocks), "page_id")
-        self.blocks = settle_by(blocks.join(self.rows.where(is_part()).select("page_id", "block").distinct(), ["page_id", "block"], "left_semi"), "page_id")
+        own = {"remark": F.regexp_extract("html", REMARK_ID, 1), "file": F.regexp_extract(file_of(F.col("url")), ANY_ID, 1), "cell": one_blank(F.regexp_extract("html", TITLE_CELL, 1))}
+        self.pages = N.page_arrays(pages.withColumns(own), "url", *own, paths=True)
+
+    def blocks(self, **more: Callable) -> DataFrame:
+        """page_id, block (the place of the drawing's element), drawing, text, rows, url, cell, and columns made from a block's element; only blocks of
+        a number and with parts."""
+        block = lambda x: F.struct(x["enter"].alias("block"), drawing_of(x).alias("drawing"), x["text"].alias("text"), rows_of_block(x).alias("rows"), *[f(x).alias(k) for k, f in more.items()])
+        found = self.pages.select("page_id", "url", "cell", F.explode(F.transform(blocks_of_page(), block)).alias("_one")).select("page_id", "url", "cell", "_one.*")
+        return found.where(F.col("drawing").isNotNull() & F.exists("rows", lambda r: is_part(of=r)))
 
-    def _named(self, of: DataFrame) -> DataFrame:
-        return self.blocks.select("page_id", "block", "drawing").join(of, ["page_id", "block"])
+    def _rows(self) -> DataFrame:
+        return self.blocks().select(*KEY, F.inline("rows"))
 
     def parts(self) -> DataFrame:
-        return self._named(parts_of(self.rows))
+        return parts_of(self._rows())
 
     def notes(self) -> DataFrame:
-        return self._named(notes_of(self.rows))
+        return notes_of(self._rows())
 
     def validity(self) -> DataFrame:
-        return self._named(validity_of(self.rows))
+        return validity_of(self._rows())
 
     def headers(self) -> DataFrame:
-        return headers_of(self.nodes, self.pages, self.blocks)
+        """page_id, block, drawing, grp, number, machine, models, title, date, image of each drawing."""
+        found = self.blocks(said=headers_of_block).select(*KEY, "text", "url", "cell", "said.*")
+        none = F.lit("")
+        url = F.coalesce("url", none)
+        image = F.when(F.col("src").isNull(), none).when(url != "", absolute(url, F.col("src"))).otherwise(F.col("src"))
+        number = F.when(F.col("drawing").contains("_"), F.regexp_replace("drawing", "^[^_]*_", "")).otherwise(none)
+        return found.select(
+            *KEY, F.substring_index("drawing", "_", 1).alias("grp"), number.alias("number"), F.coalesce("machine", none).alias("machine"), F.coalesce("models", none).alias("models"),
+            F.coalesce("title", "cell", none).alias("title"), F.regexp_extract("text", DATE, 1).alias("date"), image.alias("image"),
+        )

@@ -135,3 +135,13 @@ def test_page_arrays_need_no_shuffle_and_no_table(spark):
     found = C.drawing_results(arrays)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert rows_of(found, "drawing", "title") == sorted(((f"d{i}", f"t {i}") for i in range(3000)), key=repr)
+
+
+def test_new_drawings_move_no_page(spark):
+    """Parts are read page by page without a shuffle; notes deal rows once."""
+    pages = spark.createDataFrame([(i, "http://h/30_01_A.html", PAGE) for i in range(3)] + [(3, "", None)], PAGES)
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = D.NewDrawings(pages)
+    assert "Exchange" not in planned(found.parts()) and "Exchange" not in planned(found.headers())
+    assert planned(found.notes()).count("Exchange") == 1
+    assert found.parts().count() == 12 and found.notes().count() == 6
