@@ -5,7 +5,7 @@
 2. The lexicon is compiled into a minimal acyclic automaton with shared suffixes. Each arc carries the number of words that sort before
    what it leads to, so the sum along a path is the word's rank, and the rank finds the word's token ids in one flat array: the outputs.
 3. The arrays are one bounded file, which Spark ships once to each executor; its Python workers memory-map it and share the pages.
-4. Each batch looks its distinct words up, all words at once, one byte a step. Words that the automaton does not hold are merged
+4. Each batch looks the words up that its task has not met, all words at once, one byte a step. Words that the automaton does not hold are merged
    exactly, all at once too: in each round every word merges the occurrences of its lowest-ranked pair, left to right.
 5. Decoding goes from ids back to bytes by the vocabulary's byte strings, then to text with replacement of invalid sequences.
 
@@ -42,6 +42,8 @@ PIECE = 1 << 20
 #: Distinct chunks, and characters read, after which a task hands on the pretokens counted so far: they bound its memory, not the result.
 CHUNKS = 75_000
 CHARACTERS = 1 << 25
+#: Distinct chunks whose ids an encoding task keeps from piece to piece: they bound its memory, not the result.
+KEPT = 1 << 17
 #: White space that cuts joined chunks: it is a pretoken of its own before a blank or any other character.
 MARK = "\u2028"
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -308,15 +310,17 @@ def count_words(docs: DataFrame, path: str, most: int) -> DataFrame:
         vocab, whole, firsts = vocabulary(path), Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            found: Counter = Counter()
+            found: dict[str, int] = {}
             for chunks, lead in ((whole, " "), (firsts, "")):
-                plain = [w for w in chunks if w and w.strip() == w and MARK not in w and not any(a in w for a in vocab.added)]
+                joined = "\n".join(chunks)
+                special = [a for a in vocab.added if a in joined]
+                plain = [w for w in chunks if w and w.strip() == w and MARK not in w and not (special and any(a in w for a in special))]
                 tokens, sizes = vocab.split_all([lead + w for w in plain])
                 for w, n in zip(tokens, np.repeat(np.fromiter(map(chunks.__getitem__, plain), np.int64, len(plain)), sizes).tolist(), strict=True):
-                    found[w] += n
+                    found[w] = found.get(w, 0) + n
                 for w in chunks.keys() - set(plain):
                     for x in vocab.words(lead + w):
-                        found[x] += chunks[w]
+                        found[x] = found.get(x, 0) + chunks[w]
                 chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
@@ -384,32 +388,48 @@ def encode_words(vocab: Vocabulary, lexicon: Lexicon, words: list[str]) -> tuple
     return out, n
 
 
-def encode(vocab: Vocabulary, lexicon: Lexicon, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
+class Chunks:
+    """The chunks of text that a task has read, and their ids: each is made once for all its pieces, until there are more than KEPT of them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.firsts: dict[str, int] = {}  # chunks that begin a text, and those after a blank, by their place below
+        self.others: dict[str, int] = {}
+        self.odd: set[str] = set()
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.lines: list[str] = []
+
+
+def encode(vocab: Vocabulary, lexicon: Lexicon, column: pa.Array, kept: Chunks | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
     """Runs [i, j) of texts with their ids end to end, tokens per text, and each text's ids as decimals joined by commas."""
+    kept = kept or Chunks()
     for i, j, batch in _pieces(column):
         # A blank between two characters that are not white space is always the start of a pretoken, so texts are cut there and each
         # distinct chunk is split into pretokens once. Texts with other white space next to a blank are split as a whole.
         special = [a for a in vocab.added if any(a in t for t in batch if t)]
         split = [t.split(" ") if t else [] for t in batch]
-        firsts = dict.fromkeys(x[0] for x in split if x)
-        for k, w in enumerate(firsts):
-            firsts[w] = k
-        index = dict.fromkeys(chain.from_iterable(split))
-        for k, w in enumerate(index, len(firsts)):
-            index[w] = k
-        odd = {w for w in index if not w or w.strip() != w or MARK in w}
+        n_kept = len(kept.lines)
+        firsts = [w for w in dict.fromkeys(x[0] for x in split if x) if w not in kept.firsts]
+        others = list(set().union(*split).difference(kept.others))
+        kept.firsts.update(zip(firsts, range(n_kept, n_kept + len(firsts)), strict=True))
+        kept.others.update(zip(others, range(n_kept + len(firsts), n_kept + len(firsts) + len(others)), strict=True))
+        odd, index, begins = kept.odd, kept.others, kept.firsts
+        odd.update(w for w in others if not w or w.strip() != w or MARK in w)
         if special:
-            odd |= {w for w in index if any(a in w for a in special)}
-        tokens, sizes = vocab.split_all([w if w not in odd else "-" for w in firsts] + [" " + w if w not in odd else "-" for w in index])
+            odd.update(w for w in others if any(a in w for a in special))
+        tokens, sizes = vocab.split_all([w if w not in odd else "-" for w in firsts] + [" " + w if w not in odd else "-" for w in others])
+        n_chunks = n_kept + len(sizes)
         codes: list[list[int]] = []
         whole: list[list[str]] = []
         for x, text in zip(split, batch, strict=True):
             if x and odd and not odd.isdisjoint(x):
-                codes.append([len(sizes) + len(whole)])
+                codes.append([n_chunks + len(whole)])
                 whole.append(vocab.words(text))
             elif x:
                 code = list(map(index.__getitem__, x))
-                code[0] = firsts[x[0]]
+                code[0] = begins[x[0]]
                 codes.append(code)
             else:
                 codes.append([])
@@ -422,16 +442,22 @@ def encode(vocab: Vocabulary, lexicon: Lexicon, column: pa.Array) -> Iterator[tu
         flat, n = encode_words(vocab, lexicon, list(words))
         at = token_offsets(n)
         order = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-        flat = flat[gather(at[:-1][order], n[order])]  # ids of the distinct chunks
+        flat = flat[gather(at[:-1][order], n[order])]  # ids of the new chunks
         at = token_offsets(n[order])[token_offsets(sizes)]
         said = list(map(str, flat.tolist()))
         bounds = at.tolist()
-        by_chunk = [",".join(said[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        lines = [",".join(map(by_chunk.__getitem__, c)) for c in codes]
+        kept.lines += [",".join(said[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        lines = [",".join(map(kept.lines.__getitem__, c)) for c in codes]
+        flat, at = np.concatenate([kept.flat, flat]), np.concatenate([kept.at, kept.at[-1] + at[1:]])
         per_text = np.fromiter(map(len, codes), np.int64, len(codes))
         order = np.fromiter(chain.from_iterable(codes), np.int64, int(per_text.sum()))
         many = np.diff(at)[order]
         yield i, j, flat[gather(at[:-1][order], many)], np.diff(token_offsets(many)[token_offsets(per_text)]), lines
+        if n_chunks > KEPT:
+            kept.clear()
+        else:  # texts that were split as a whole are not kept
+            kept.flat, kept.at = flat[: at[n_chunks]], at[: n_chunks + 1]
+            del kept.lines[n_chunks:]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
@@ -440,9 +466,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXI
     packed = Packed(docs.sparkSession, build_lexicon(docs, path, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon = vocabulary(path), packed.lexicon()
+        vocab, lexicon, kept = vocabulary(path), packed.lexicon(), Chunks()
         for batch in batches:
-            for i, j, ids, per_text, lines in encode(vocab, lexicon, batch.column("text")):
+            for i, j, ids, per_text, lines in encode(vocab, lexicon, batch.column("text"), kept):
                 raw, n = vocab.decode(ids)
                 ends = token_offsets(n)[token_offsets(per_text)].tolist()
                 whole = raw.tobytes()
@@ -458,9 +484,9 @@ def token_documents(docs: DataFrame, path: str | None = None, words: int = LEXIC
     packed = Packed(docs.sparkSession, build_lexicon(docs, path, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon = vocabulary(path), packed.lexicon()
+        vocab, lexicon, kept = vocabulary(path), packed.lexicon(), Chunks()
         for batch in batches:
-            for i, j, ids, per_text, _ in encode(vocab, lexicon, batch.column("text")):
+            for i, j, ids, per_text, _ in encode(vocab, lexicon, batch.column("text"), kept):
                 raw, n = vocab.decode(ids)
                 at = token_offsets(per_text)
                 ends, whole = token_offsets(n)[at].tolist(), raw.tobytes()

@@ -609,3 +609,31 @@ def test_mixing_at_the_full_rate_meets_its_targets_with_a_hot_source(spark):
 
 def test_mixing_of_an_empty_table(empty):
     assert rows_of(mixing.mix_sources(empty)) == []
+
+
+def test_bpe_keeps_chunks_from_piece_to_piece(monkeypatch):
+    """Chunks are encoded once for all pieces of a task, and anew once there are too many; ids are the library's either way."""
+    import pyarrow as pa
+    import tokenizers
+
+    from quarry.llm import bpe
+
+    path = bpe.default_vocabulary()
+    vocab, library = bpe.vocabulary(path), tokenizers.Tokenizer.from_file(path)
+    lexicon = bpe.Lexicon(bpe.compile_lexicon([], bpe.np.zeros(0, bpe.np.int32), bpe.np.zeros(0, bpe.np.int64)))
+    made = []
+    split_all = vocab.split_all
+    monkeypatch.setattr(vocab, "split_all", lambda chunks: made.extend(chunks) or split_all(chunks))
+    texts = ["one two one", "two  odd\n one", "", None, "one two three", "three one", "x" + bpe.MARK + "y two", "two", next(iter(vocab.added), "a") + " one"]
+    monkeypatch.setattr(bpe, "PIECE", 8)
+    for most, again in ((1 << 17, False), (1, True)):
+        monkeypatch.setattr(bpe, "KEPT", most)
+        made.clear()
+        found, kept = [], bpe.Chunks()
+        for batch in (texts, texts[::-1]):
+            for i, j, ids, many, lines in bpe.encode(vocab, lexicon, pa.array(batch, pa.string()), kept):
+                ends = [0, *many.cumsum().tolist()]
+                found += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+                assert lines == [",".join(map(str, x)) for x in found[-(j - i) :]]
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts + texts[::-1]]
+        assert (made.count(" two") > 1) == again
