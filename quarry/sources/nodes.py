@@ -48,128 +48,260 @@ ENDS = {
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-NONE: list = []  # the path, marks, classes and attributes that a node has not; never written to
-# Plain markup, which most pages are, is cut by one pattern; a page with anything else goes to HTMLParser as a whole.
+# Plain markup, which most pages are, is cut at its brackets, each kind of tag judged once by this pattern; a page with anything else goes to HTMLParser as a whole.
 ATTRIBUTE = r"""[ \t\n\r\f]+([a-zA-Z][\w:-]*)(?:=(?:'([^'&]*)'|"([^"&]*)"|([^\s"'=<>`&/]+)))?"""
 PLAIN = re.compile(
-    r"""([^<]+)|</([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*>|<(?!(?:script|style|title|textarea|xmp|iframe|noembed|noframes|noscript|plaintext)\b)([a-zA-Z][a-zA-Z0-9]*)((?:%s)*)[ \t\n\r\f]*>"""
-    r"""|<(script|title)>([^<]*)</\5>|<!--([^<>-]*(?:-[^<>-]+)*)-->""" % re.sub(r"\((?!\?)", "(?:", ATTRIBUTE),
+    r"""/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*|(?!(?:script|style|title|textarea|xmp|iframe|noembed|noframes|noscript|plaintext)\b)([a-zA-Z][a-zA-Z0-9]*)((?:%s)*)[ \t\n\r\f]*"""
+    r"""|(script|title)|!--([^<>-]*(?:-[^<>-]+)*)--""" % re.sub(r"\((?!\?)", "(?:", ATTRIBUTE),
     re.IGNORECASE | re.ASCII,
 )
 ATTRIBUTES = re.compile(ATTRIBUTE, re.ASCII).findall
+ENDED, STARTED, WHOLE, REMARK, ODD = range(5)  # what a piece of markup is: an end, a start, a start whose element has text only, a comment, or not plain
 
 
 class _Nodes(HTMLParser):
-    """The nodes of one page as lists [enter, leave, path, around, tag, classes, attrs, text]; siblings share their path and marks."""
+    """The nodes of pages, page after page, as columns, which hold no object a node: lists that nodes share (paths, marks, classes, attributes) are
+    written once, and a node has their number. What a tag closes and opens depends on the open elements alone: it is found once for each of their states."""
 
-    def __init__(self):
+    def __init__(self, paths: bool = True):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
-        self.open: list[tuple[int, str]] = []  # place and tag of the open elements
-        self.paths: list[list[int]] = [[]]
-        self.marks: list[list[str]] = [[]]
-        self.handle_starttag(PAGE, [])
+        self.has_paths = paths
+        self.clear()
+        self.begin()
+
+    def clear(self) -> None:
+        """No page, and no list but the empty one, which is number 0."""
+        self.said, self.leave, self.around, self.text, self.path = [], [], [], [], []  # of every node: (tag, classes, attrs), and so on
+        self.enter: list[int] = []
+        self.lists: dict[str, list] = {k: [()] for k in ("path", "around", "classes", "attrs")}
+        self.numbers: dict[str, dict] = {k: {(): 0} for k in ("around", "classes", "attrs")}
+        self.marks: dict[tuple, int] = {}  # numbers of an element's own marks
+        self.tags: dict[str, tuple] = {}  # kind and content of a piece of markup
+        self.states: list[tuple] = []  # tags of the open elements, and the marks inside each
+        self.places: dict[tuple, int] = {}
+        self.moves: dict[tuple, tuple] = {}  # by state and own marks: open elements left, marks around, state after it, whether it stays open
+        self.ends: dict[tuple, tuple | None] = {}  # by state and tag: open elements left, state after it
+        self.outside = self.state_of((), ())
+
+    def begin(self) -> None:
+        self.base = len(self.said)  # places count from the page's first node
+        self.open: list[int] = []  # places of the open elements
+        self.paths: list[int] = [0]
+        self.state = self.outside
+        self.start(self.start_of(PAGE, []))
+
+    def add(self, html: str) -> None:
+        """The nodes of one more page."""
+        self.begin()
+        if not self.read(html):
+            for column in (self.said, self.leave, self.around, self.text, self.path, self.enter):
+                del column[self.base :]
+            self.begin()
+            self.reset()
+            self.feed(html)
+            self.close()
+        self.close_from(0)
 
     def updatepos(self, i, j):
         return j  # lines and columns of the page are not asked for
 
     def read(self, html: str) -> bool:
         """Reads a page of plain markup; False, and then nothing of it counts, if it is not."""
-        at = 0
-        for found in PLAIN.finditer(html):
-            if found.start() != at:
+        pieces = iter(html.split("<"))
+        text = next(pieces)
+        if text:
+            self.handle_data(unescape(text) if "&" in text else text)
+        for piece in pieces:
+            mark, closed, text = piece.partition(">")
+            found = self.tags.get(mark)
+            if found is None:
+                found = self.tags[mark] = self.judge(mark)
+            kind, content = found
+            if not closed or kind == ODD:
                 return False
-            at, kind = found.end(), found.lastindex
-            if kind == 1:
-                self.handle_data(unescape(found[1]) if "&" in found[1] else found[1])
-            elif kind == 2:
-                self.handle_endtag(found[2].lower())
-            elif kind == 4:
-                self.handle_starttag(found[3].lower(), [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTES(found[4])] if found[4] else NONE)
-            elif kind == 6:
-                tag = found[5].lower()
-                self.handle_starttag(tag, NONE)
-                if found[6]:
-                    self.handle_data(unescape(found[6]) if tag == "title" else found[6])
-                self.handle_endtag(tag)
+            if kind == STARTED:
+                self.start(content)
+            elif kind == ENDED:
+                self.handle_endtag(content)
+            elif kind == REMARK:
+                self.handle_comment(content)
             else:
-                self.handle_comment(found[7])
-        return at == len(html)
-
-    def close_from(self, depth: int) -> None:
-        for at, _ in self.open[depth:]:
-            self.nodes[at][1] = len(self.nodes) - 1
-        del self.open[depth:], self.paths[depth + 1 :], self.marks[depth + 1 :]
-
-    def close_among(self, ended: set, within: set) -> None:
-        """Closes the outermost open element of `ended` that is inside the innermost of `within`."""
-        found = None
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][1]
-            if tag in within:
+                mark, closed, after = next(pieces, "").partition(">")
+                if not closed or mark.lower() != "/" + content[0][0]:
+                    return False
+                self.start(content)
+                self.handle_data(unescape(text) if content[0][0] == "title" else text)
+                self.handle_endtag(content[0][0])
+                text = after
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return True
+
+    def judge(self, mark: str) -> tuple:
+        found = PLAIN.fullmatch(mark)
+        if not found:
+            return ODD, None
+        if found[1]:
+            return ENDED, found[1].lower()
+        if found[2]:
+            return STARTED, self.start_of(found[2].lower(), [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTES(found[3])] if found[3] else [])
+        return (WHOLE, self.start_of(found[4].lower(), [])) if found[4] else (REMARK, found[5])
+
+    def number(self, kind: str, own: tuple) -> int:
+        """The number of a list of marks, classes or attributes."""
+        at = self.numbers[kind].get(own)
+        if at is None:
+            at = self.numbers[kind][own] = len(self.lists[kind])
+            self.lists[kind].append(own)
+        return at
+
+    def start_of(self, tag: str, attrs: list) -> tuple:
+        """What a start tag says: (tag, classes, attributes), its own marks, and their number."""
+        named = {k: v or "" for k, v in dict(attrs).items()}
+        classes = tuple(named.get("class", "").split())
+        marks = (tag, *("." + c for c in classes), *(["#" + named["id"]] if named.get("id") else []))
+        return (tag, self.number("classes", classes), self.number("attrs", tuple(named.items()))), marks, self.marks.setdefault(marks, len(self.marks))
+
+    def state_of(self, tags: tuple, inner: tuple) -> int:
+        at = self.places.get((tags, inner))
+        if at is None:
+            at = self.places[tags, inner] = len(self.states)
+            self.states.append((tags, inner))
+        return at
+
+    def move(self, tag: str, marks: tuple) -> tuple:
+        tags, inner = self.states[self.state]
+        depth = len(tags)
+        if tag in ENDS:
+            depth = self.left_of(*ENDS[tag])
+        elif tag in BLOCKS:
+            depth = self.left_of({"p"}, {"td", "th", "li", "table", "div", "section", "article"})
+        tags, inner = tags[:depth], inner[:depth]
+        around = inner[-1] if inner else 0
+        if tag in EMPTY:
+            return depth, around, self.state_of(tags, inner), False
+        outer = self.lists["around"][around]
+        inside = self.number("around", (*outer, *(m for m in marks if m not in outer)))
+        return depth, around, self.state_of((*tags, tag), (*inner, inside)), True
+
+    def left_of(self, ended: set, within: set) -> int:
+        """How many elements stay open if the outermost of `ended` inside the innermost of `within` is closed."""
+        tags = self.states[self.state][0]
+        found = len(tags)
+        for i in range(len(tags) - 1, -1, -1):
+            if tags[i] in within:
                 break
-            if tag in ended:
+            if tags[i] in ended:
                 found = i
-        if found is not None:
-            self.close_from(found)
+        return found
+
+    def close_from(self, depth: int) -> None:
+        last = len(self.said) - self.base - 1
+        for at in self.open[depth:]:
+            self.leave[self.base + at] = last
+        del self.open[depth:], self.paths[depth + 1 :]
+
+    def node(self, said: tuple, around: int, text: str | None) -> int:
+        """Appends a node that has nothing inside yet; its place."""
+        at = len(self.said) - self.base
+        self.said.append(said)
+        self.enter.append(at)
+        self.leave.append(at)
+        self.around.append(around)
+        self.text.append(text)
+        if self.has_paths:
+            self.path.append(self.paths[-1])
+        return at
+
+    def start(self, start: tuple) -> None:
+        said, marks, own = start
+        key = (self.state, own)
+        move = self.moves.get(key)
+        if move is None:
+            move = self.moves[key] = self.move(said[0], marks)
+        depth, around, self.state, stays = move
+        if len(self.open) > depth:
+            self.close_from(depth)
+        at = self.node(said, around, None)
+        if stays:
+            self.open.append(at)
+            if self.has_paths:
+                self.lists["path"].append((*self.lists["path"][self.paths[-1]], at))
+                self.paths.append(len(self.lists["path"]) - 1)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS:
-            self.close_among(*ENDS[tag])
-        elif tag in BLOCKS:
-            self.close_among({"p"}, {"td", "th", "li", "table", "div", "section", "article"})
-        at, own, named, classes = len(self.nodes), NONE, {}, NONE
-        if attrs:
-            own = [(k, v or "") for k, v in dict(attrs).items()]
-            named = dict(own)
-            classes = named.get("class", "").split()
-        self.nodes.append([at, at, self.paths[-1], self.marks[-1], tag, classes, own, None])
-        if tag not in EMPTY:
-            self.open.append((at, tag))
-            self.paths.append([*self.paths[-1], at])
-            marks = [tag, *("." + c for c in classes), *(["#" + named["id"]] if named.get("id") else [])]
-            fresh = [m for m in marks if m not in self.marks[-1]]
-            self.marks.append([*self.marks[-1], *fresh] if fresh else self.marks[-1])
+        self.start(self.start_of(tag, attrs))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        key = (self.state, tag)
+        if key not in self.ends:
+            self.ends[key] = self.end_of(tag)
+        if self.ends[key]:
+            depth, self.state = self.ends[key]
+            self.close_from(depth)
+
+    def end_of(self, tag: str) -> tuple | None:
+        tags, inner = self.states[self.state]
         limit = tag in ("td", "th", "tr", "p", "li")  # these end inside their own table only
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][1] == tag:
-                self.close_from(i)
-                return
-            if limit and self.open[i][1] == "table":
-                return
-
-    def _leaf(self, tag: str, text: str) -> None:
-        self.nodes.append([len(self.nodes), len(self.nodes), self.paths[-1], NONE, tag, NONE, NONE, text])
+        for i in range(len(tags) - 1, -1, -1):
+            if tags[i] == tag:
+                return i, self.state_of(tags[:i], inner[:i])
+            if limit and tags[i] == "table":
+                return None
+        return None
 
     def handle_data(self, data):
         if data and not data.isspace():
-            self._leaf(RAW if self.open and self.open[-1][1] in UNSEEN else TEXT, data)
+            tags = self.states[self.state][0]
+            self.node(RAW_LEAF if tags and tags[-1] in UNSEEN else TEXT_LEAF, 0, data)
 
     def handle_comment(self, data):
-        self._leaf(COMMENT, data)
-
-
-def read_page(html: str) -> list[list]:
-    """The nodes of one page."""
-    nodes = _Nodes()
-    if not nodes.read(html):
-        nodes = _Nodes()
-        nodes.feed(html)
-        nodes.close()
-    nodes.close_from(0)
-    return nodes.nodes
+        self.node(COMMENT_LEAF, 0, data)
+
+    @property
+    def nodes(self) -> list[tuple]:
+        """The nodes as tuples (enter, leave, path, around, tag, classes, attrs, text)."""
+        path = [self.lists["path"][i] for i in self.path] if self.has_paths else [None] * len(self.said)
+        return [
+            (enter, leave, own, self.lists["around"][around], tag, self.lists["classes"][classes], self.lists["attrs"][attrs], text)
+            for enter, leave, own, around, (tag, classes, attrs), text in zip(self.enter, self.leave, path, self.around, self.said, self.text, strict=True)
+        ]
+
+    def taken(self) -> list[pa.Array]:
+        """The columns as Arrow has them; the pages so far go."""
+        tag, classes, attrs = zip(*self.said, strict=True) if self.said else ((), (), ())
+        columns = {"enter": self.enter, "leave": self.leave, "path": self.path, "around": self.around, "tag": tag, "classes": classes, "attrs": attrs, "text": self.text}
+        arrays = [self.array(f, columns[f.name]) for f in FIELDS]
+        self.clear()
+        return arrays
+
+    def array(self, f: pa.Field, column: list) -> pa.Array:
+        if f.name == "path" and not self.has_paths:
+            return pa.nulls(len(self.said), f.type)
+        if f.name in self.lists:
+            return pa.array(self.lists[f.name], f.type).take(pa.array(column, pa.int32()))
+        return pa.array(column, f.type)
+
+
+TEXT_LEAF, RAW_LEAF, COMMENT_LEAF = (TEXT, 0, 0), (RAW, 0, 0), (COMMENT, 0, 0)
+FIELDS = pa.schema([("enter", pa.int32()), ("leave", pa.int32()), ("path", pa.list_(pa.int32())), ("around", pa.list_(pa.string())), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
-FIELDS = pa.schema([("enter", pa.int32()), ("leave", pa.int32()), ("path", pa.list_(pa.int32())), ("around", pa.list_(pa.string())), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+def page_reader(paths: bool = True) -> _Nodes:
+    """A reader that has no page yet."""
+    reader = _Nodes(paths)
+    reader.clear()
+    return reader
 
 
-def node_columns(nodes: list[list], paths: bool = True) -> list[pa.Array]:
-    return [pa.array(c, f.type) if paths or f.name != "path" else pa.nulls(len(c), f.type) for c, f in zip(list(zip(*nodes, strict=True)) or [()] * len(FIELDS), FIELDS, strict=True)]
+def read_page(html: str) -> list[tuple]:
+    """The nodes of one page."""
+    reader = page_reader()
+    reader.add(html)
+    return reader.nodes
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -177,18 +309,17 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     arrow = pa.schema([("page_id", pa.int64()), *FIELDS])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, nodes = [], []  # of the pages since the last batch went out: a batch a page would cost more than reading it
+        owners, reader = [], page_reader()  # of the pages since the last batch went out: a batch a page would cost more than reading it
         for batch in batches:
             for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if html:
-                    found = read_page(html)
-                    owners += [page] * len(found)
-                    nodes += found
-                    if len(nodes) >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *node_columns(nodes)], schema=arrow)
-                        owners, nodes = [], []
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *node_columns(nodes)], schema=arrow)
+                    reader.add(html)
+                    owners += [page] * (len(reader.said) - len(owners))
+                    if len(owners) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *reader.taken()], schema=arrow)
+                        owners = []
+        if owners:
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *reader.taken()], schema=arrow)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(rows, SCHEMA)
 
@@ -200,17 +331,18 @@ def page_arrays(pages: DataFrame, *keep: str, paths: bool = False) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + [f"nodes array<struct<{NODE.replace(' ', ':').replace(',:', ', ')}>>"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = page_reader(paths)
         for batch in batches:
-            n, at, ends, nodes = batch.num_rows, 0, [0], []
+            n, at, ends = batch.num_rows, 0, [0]
             others = [batch.column(i) for i in range(batch.num_columns - 1)]
             names = [*batch.schema.names[:-1], "nodes"]
             for i in range(n):
-                nodes += read_page(batch.column("html")[i].as_py())
-                ends.append(len(nodes))
-                if len(nodes) >= BATCH or i + 1 == n:
-                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(node_columns(nodes, paths), fields=list(FIELDS)))
+                reader.add(batch.column("html")[i].as_py())
+                ends.append(len(reader.said))
+                if ends[-1] >= BATCH or i + 1 == n:
+                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(reader.taken(), fields=list(FIELDS)))
                     yield pa.RecordBatch.from_arrays([*(c.slice(at, i + 1 - at) for c in others), listed], names=names)
-                    at, ends, nodes = i + 1, [0], []
+                    at, ends = i + 1, [0]
 
     return own.mapInArrow(rows, schema)
 

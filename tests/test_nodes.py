@@ -145,3 +145,14 @@ def test_new_drawings_move_no_page(spark):
     assert "Exchange" not in planned(found.parts()) and "Exchange" not in planned(found.headers())
     assert planned(found.notes()).count("Exchange") == 1
     assert found.parts().count() == 12 and found.notes().count() == 6
+
+
+def test_equal_rows_are_judged_once():
+    """What tags close and open is found once for each state of the open elements, and the lists that nodes share are written once."""
+    rows = "".join(f"<tr><td class='a b'>{i}<td><a class=c>x</a></tr>" for i in range(3000))
+    reader = N.page_reader()
+    reader.add(f"<table id=t>{rows}</table>")
+    reader.add(f"<table id=t>{rows}</table>")
+    assert len(reader.moves) < 20 and len(reader.lists["around"]) < 10 and len(reader.lists["classes"]) == 3
+    arrays = reader.taken()
+    assert len(arrays[0]) == 2 * (2 + 6 * 3000) and arrays[3][6].as_py() == ["#page", "table", "#t", "tr", "td"] and reader.nodes == []
