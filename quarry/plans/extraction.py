@@ -135,7 +135,7 @@ GRID_LINES = "FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderke
 
 def order_grids(spark, d):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("grid"), place.alias("n"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"))
+    lines = dealt(load(spark, d, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("grid"), place.alias("n"), "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"))
     lines = lines.join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     n, code, none = F.col("n"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"), F.lit(None).cast("string")
     cells = lambda *c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c])

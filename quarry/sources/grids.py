@@ -3,14 +3,21 @@
 A grid's header is its first row with a number column and a code column; each number column begins a table of its own, which goes on to the next
 one, so that tables side by side come apart. A second half without a header is found by its codes. Quantities stand in one column, in columns
 headed by models, in lists beside the models, or in brackets for the models in brackets at the description's end. Windows are over one grid.
+
+Every function takes cells, or rows of cells (`grid_rows`). `grid_parts` settles rows once, in buckets of grids: what follows reads a row's cells as an
+array, and moves none of them between tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.shared import dealt, settle_by
+
 # Codes, models and headings as the catalogs print them.
 CODE = r"^(\d{7}|\d{5} \d{3} \d{3}[A-Z]?)$"
 MODEL = r"^[A-Za-z]{1,6}\s*\d{2,3}$"
@@ -37,20 +44,34 @@ def listed_models(c: Column) -> Column:
     return F.when(F.forall(items, lambda x: x.rlike(form)), F.aggregate(items, start, add)["models"]).otherwise(F.array().cast("array<string>"))
 
 
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """grid, row, cells (col, own) in order of their columns; own is the cell's text as `tidy` has it, null where the cell is covered."""
+    if "cells" in cells.columns:
+        return cells
+    return dealt(cells, "grid").groupBy("grid", "row").agg(F.array_sort(F.collect_list(F.struct("col", tidy(F.col("text")).alias("own")))).alias("cells"))
+
+
+def each(rows: DataFrame, where: Callable, *keep: str) -> DataFrame:
+    """grid, row, the columns <keep>, and col and own of the cells that `where` selects."""
+    return rows.select("grid", "row", *keep, F.inline(F.filter("cells", where)))
+
+
 def grid_tables(cells: DataFrame) -> DataFrame:
     """grid, tab, header, start (first row of data), first, end (columns), code, desc, qty, model (columns or null)."""
-    low = F.lower(tidy(F.coalesce("text", F.lit(""))))
+    rows = grid_rows(cells)
+    low = F.lower("own")
     kind = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for k, p in HEADINGS.items()])
     line = Window.partitionBy("grid", "row").orderBy("col")
-    marks = cells.select("grid", "row", "col", kind.alias("kind")).where("kind is not null").withColumn("tab", F.sum((F.col("kind") == "item").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    headed = each(rows, lambda c: F.lower(c["own"]).rlike("|".join(HEADINGS.values())))
+    marks = headed.select("grid", "row", "col", kind.alias("kind")).withColumn("tab", F.sum((F.col("kind") == "item").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     column = lambda k: F.max(F.when(F.col("kind") == k, F.col("col")))
     found = marks.where("tab > 0").groupBy("grid", "row", "tab").agg(column("item").alias("first"), *[column(k).alias(k) for k in ("code", "desc", "qty", "model")])
-    width = cells.groupBy("grid").agg((F.max("col") + 1).alias("width"))
+    width = rows.groupBy("grid").agg((F.max(F.element_at("cells", -1)["col"]) + 1).alias("width"))
     found = found.withColumn("end", F.lead("first").over(Window.partitionBy("grid", "row").orderBy("tab"))).where("code is not null")
     header = found.groupBy("grid").agg(F.min("row").alias("header"))
     found = found.join(header, "grid").where("row = header").join(width, "grid").withColumn("end", F.coalesce("end", "width"))
     maybe = found.where("qty is null and desc is not null and desc + 3 < width").select("grid", "tab", "header", "width", (F.col("desc") + 1).alias("half"))
-    coded = cells.where(tidy(F.col("text")).rlike(CODE)).select("grid", "row", F.col("col").alias("at"))
+    coded = each(rows, lambda c: c["own"].rlike(CODE)).select("grid", "row", F.col("col").alias("at"))
     halves = maybe.join(coded, "grid").where("at = half + 1").groupBy("grid", "tab", "header", "width", "half").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("start")).where("n >= 2")
     none = F.lit(None).cast("long")
     long = lambda c: c.cast("long")
@@ -68,38 +89,40 @@ def grid_tables(cells: DataFrame) -> DataFrame:
 def grid_titles(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """grid, title: the first row above the header with one text only that is no model."""
     heads = tables.groupBy("grid").agg(F.min("header").alias("header"))
-    above = cells.withColumn("text", tidy(F.col("text"))).where("text <> ''").join(heads, "grid").where("row < header")
-    alone = above.groupBy("grid", "row").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("title")).where((F.col("n") == 1) & ~F.col("title").rlike(MODEL))
+    said = F.filter("cells", lambda c: c["own"] != "")
+    above = grid_rows(cells).select("grid", "row", said.alias("said")).where("size(said) = 1").join(heads, "grid").where("row < header")
+    alone = above.select("grid", "row", F.col("said")[0]["own"].alias("title")).where(~F.col("title").rlike(MODEL))
     return alone.groupBy("grid").agg(F.min_by("title", "row").alias("title"))
 
 
 def model_columns(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """grid, tab, col, models of the quantity columns that rows above the header name, in tables with more than one of them."""
-    above = cells.withColumn("text", tidy(F.col("text"))).where("text <> ''").join(tables.where("qty is not null").select(*TABLE, "header", "qty", "end"), "grid").where("row < header and col >= qty and col < end")
-    named = above.groupBy(*TABLE, "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]).alias("names"))
+    above = grid_rows(cells).join(tables.where("qty is not null").select(*TABLE, "header", "qty", "end"), "grid").where("row < header")
+    above = each(above, lambda c: (c["own"] != "") & (c["col"] >= F.col("qty")) & (c["col"] < F.col("end")), "tab")
+    named = above.groupBy(*TABLE, "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "own"))), lambda x: x["own"]).alias("names"))
     models = F.when(F.forall("names", lambda x: x.rlike(MODEL)), F.col("names")).otherwise(F.array(F.array_join("names", " ")))
     return named.select(*TABLE, "col", models.alias("models"), F.count(F.lit(1)).over(Window.partitionBy(*TABLE)).alias("n")).where("n > 1").drop("n")
 
 
 def grid_parts(cells: DataFrame, series: str = "") -> DataFrame:
     """grid, tab, row, position, code, description, quantity, note, models (model -> quantity). `series` goes before bare numbers in bracketed lists."""
-    tables = grid_tables(cells)
-    filled = cells.withColumn("own", tidy(F.col("text")))
-    here = filled.join(tables, "grid").where("row >= start and col < end and col >= least(first, coalesce(desc, 0L))")
+    rows = settle_by(grid_rows(cells), "grid", is_dealt=True)
+    tables = settle_by(grid_tables(rows), "grid")
+    here = rows.join(tables, "grid").where("row >= start").withColumn("cells", F.filter("cells", lambda c: (c["col"] < F.col("end")) & (c["col"] >= F.least("first", F.coalesce("desc", F.lit(0)))))).where("size(cells) > 0")
     until = F.least(F.coalesce("qty", "end"), F.coalesce("model", "end"), "end")
-    described = (F.col("col") >= F.coalesce("desc", F.lit(0))) & (F.col("col") < until) & (F.col("col") != F.col("code")) & (F.coalesce("own", F.lit("")) != "")
-    at = lambda k: F.max(F.when(F.col("col") == F.col(k), F.nullif("own", F.lit(""))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(described, F.struct("col", "own")))), lambda x: x["own"]), " ")
-    lines = here.groupBy(*TABLE, "row").agg(at("first").alias("item"), at("code").alias("said_code"), text.alias("said"), at("qty").alias("amount"), at("model").alias("listed"))
+    described = lambda c: (c["col"] >= F.coalesce("desc", F.lit(0))) & (c["col"] < until) & (c["col"] != F.col("code")) & (c["own"] != "")
+    at = lambda k: F.try_element_at(F.filter("cells", lambda c: (c["col"] == F.col(k)) & (c["own"] != "")), F.lit(-1))["own"]
+    text = F.array_join(F.transform(F.filter("cells", described), lambda c: c["own"]), " ")
+    lines = here.select(*TABLE, "row", at("first").alias("item"), at("code").alias("said_code"), text.alias("said"), at("qty").alias("amount"), at("model").alias("listed"))
     coded = F.coalesce(F.col("said_code").rlike(CODE), F.lit(False))
     so_far = Window.partitionBy(*TABLE).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("coded", coded).withColumn("part", F.sum(F.col("coded").cast("int")).over(so_far)).where("part > 0")
     lines = lines.withColumn("position", F.last(F.when(F.col("coded") & F.col("item").rlike(POSITION), F.col("item")), ignorenulls=True).over(so_far))
 
     # quantities under models: a covered cell has the quantity of the cell that covers it
-    columns = model_columns(cells, tables)
+    columns = model_columns(rows, tables)
     by_model = columns.select(*TABLE).distinct()
-    wide = here.join(by_model, TABLE, "left_semi").where("col >= qty").withColumn("value", F.last("own", ignorenulls=True).over(Window.partitionBy(*TABLE, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)))
+    wide = each(here.join(by_model, TABLE, "left_semi"), lambda c: c["col"] >= F.col("qty"), "tab").withColumn("value", F.last("own", ignorenulls=True).over(Window.partitionBy(*TABLE, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)))
     wide = wide.where("value <> ''").join(columns, [*TABLE, "col"], "left")
     number = F.col("value").rlike(r"^\d+$")
     said = F.array_sort(F.collect_list(F.when(number & F.col("models").isNotNull(), F.struct("col", "models", "value"))))
