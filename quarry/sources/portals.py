@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 # Fixed values of the old drawing format: a line ends with its drawing in a comment, a part is a position and a link with a code.
 LINE_END = r"<br\s*/?>\s*<!--\s*(\d+)\s*-->"
-LINE = rf"(?is).*?{LINE_END}"
+LINE = rf"(?is)\G.*?{LINE_END}"  # each begins where the last one ended: what follows the last line is looked through once, not from each of its characters
 PART = rf"""(?i)(\d+)\s+<a[^>]*CODICE=([^"&]+)[^>]*>[^<]+</a>\s*(.*?)\s*{LINE_END}"""
 NOTE_MARK = r"\((\d+)\)"
 NOTE = r"^\s*\((\d+)\)\s*(.*)$"
@@ -69,14 +69,19 @@ def old_lines(pages: DataFrame) -> DataFrame:
     return raw.select("page_id", "place", drawing.alias("drawing"), "raw", cleaned(F.regexp_replace("raw", rf"(?is){LINE_END}$", "")).alias("line"))
 
 
+def is_part() -> Column:
+    """Whether a raw line is a part; few lines that are none name a code."""
+    return F.upper("raw").contains("CODICE=") & F.col("raw").rlike(PART)
+
+
 def old_parts(pages: DataFrame) -> DataFrame:
     """page_id, place, drawing, position, code, description (without note marks), notes (numbers, in order)."""
     group = lambda k: F.regexp_extract("raw", PART, k)
-    rest = cleaned(group(3))
-    description = F.trim(F.regexp_replace(F.regexp_replace(rest, NOTE_MARK, ""), r"\s+", " "))
-    notes = F.regexp_extract_all(rest, F.lit(NOTE_MARK), F.lit(1))
-    lines = old_lines(pages).where(F.col("raw").rlike(PART))
-    return lines.select("page_id", "place", "drawing", group(1).alias("position"), F.trim(group(2)).alias("code"), description.alias("description"), notes.alias("notes"))
+    description = F.trim(F.regexp_replace(F.regexp_replace("rest", NOTE_MARK, ""), r"\s+", " "))
+    notes = F.regexp_extract_all("rest", F.lit(NOTE_MARK), F.lit(1))
+    lines = old_lines(pages).where(is_part())
+    lines = lines.select("page_id", "place", "drawing", group(1).alias("position"), F.trim(group(2)).alias("code"), cleaned(group(3)).alias("rest"))
+    return lines.select("page_id", "place", "drawing", "position", "code", description.alias("description"), notes.alias("notes"))
 
 
 def _states(pages: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def _states(pages: DataFrame) -> DataFrame:
     """
     drawing = Window.partitionBy("page_id", "drawing")
     so_far = drawing.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = old_lines(pages).withColumn("has_parts", F.max(F.col("raw").rlike(PART)).over(drawing))
+    own = old_lines(pages).withColumn("has_parts", F.max(is_part()).over(drawing))
     own = own.where(F.col("has_parts") & (F.col("line") != "") & ~F.col("raw").contains("CODICE="))
     line = F.col("line")
     kind = F.when(line.rlike(VALID_UNTIL), "until").when(line.rlike(VALID_SINCE), "since").when(line.rlike(NOTE), "note").when(line.rlike(SERIAL), "serial").otherwise("text")
@@ -119,14 +124,13 @@ def old_notes(pages: DataFrame) -> DataFrame:
 def old_headers(pages: DataFrame) -> DataFrame:
     """page_id, drawing, machine, models, title, date, image from the tables whose last row names a drawing of the page."""
     tables = pages.select("page_id", F.posexplode(found(F.col("html"), r"(?is)<table\b.*?</table>")).alias("tab", "html"))
-    cells = row_cells(F.element_at(table_rows(F.col("html")), -1))
-    rows = tables.where(F.size(table_rows(F.col("html"))) >= 2).select("page_id", "tab", "html", cells.alias("cells")).where("size(cells) >= 3")
-    head = plain(F.col("cells")[2])
-    part = lambda k: F.regexp_extract(head, HEADER, k)
-    first = text_lines(F.col("cells")[0])
-    rest = F.slice(first, 3, F.greatest(F.size(first) - 2, F.lit(0)))
-    named = rows.where(head.rlike(HEADER)).select(
-        "page_id", "tab", F.concat(part(1), part(2)).alias("drawing"), F.array_join(F.slice(first, 1, 2), " ").alias("machine"), F.array_join(rest, " ").alias("models"),
+    last_of = tables.select("page_id", "tab", "html", table_rows(F.col("html")).alias("rows")).where("size(rows) >= 2")
+    rows = last_of.select("page_id", "tab", "html", row_cells(F.element_at("rows", -1)).alias("cells")).where("size(cells) >= 3")
+    rows = rows.select("page_id", "tab", "html", "cells", plain(F.col("cells")[2]).alias("head")).where(F.col("head").rlike(HEADER)).withColumn("first", text_lines(F.col("cells")[0]))
+    part = lambda k: F.regexp_extract("head", HEADER, k)
+    rest = F.slice("first", 3, F.greatest(F.size("first") - 2, F.lit(0)))
+    named = rows.select(
+        "page_id", "tab", F.concat(part(1), part(2)).alias("drawing"), F.array_join(F.slice("first", 1, 2), " ").alias("machine"), F.array_join(rest, " ").alias("models"),
         plain(F.col("cells")[1]).alias("title"), part(3).alias("date"), F.regexp_extract("html", r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)""", 1).alias("image"),
     )
     fields = ["machine", "models", "title", "date", "image"]

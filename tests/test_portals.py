@@ -45,3 +45,14 @@ def test_sources_that_do_not_open_are_left_out(spark):
     assert set(open_sources({"y": missing})[1]) == {"y"}
     with pytest.raises(ValueError):
         federated({"y": missing})
+
+
+def test_what_follows_the_last_line_is_read_once(spark):
+    """A long page without line ends behind its lines: before, each of its characters began a search to its end."""
+    import time
+
+    html = '1 <a href="x?CODICE=7&l=1">7</a> bolt (2)<br><!-- 201 -->\n(2) note<br><!-- 201 -->' + "x" * 400_000
+    began = time.time()
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [tuple(r) for r in P.old_parts(pages).select("drawing", "position", "code", "description", "notes").collect()] == [("201", "1", "7", "bolt", ["2"])]
+    assert time.time() - began < 30
