@@ -17,9 +17,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from html import unescape
+from html import parser, unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +50,14 @@ BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 
 
 # Plain markup, which most pages are, is cut at its brackets, each kind of tag judged once by this pattern; a page with anything else goes to HTMLParser as a whole.
-ATTRIBUTE = r"""[ \t\n\r\f]+([a-zA-Z][\w:-]*)(?:=(?:'([^'&]*)'|"([^"&]*)"|([^\s"'=<>`&/]+)))?"""
+ATTRIBUTE = r"""[ \t\n\r\f]+([a-zA-Z][\w:-]*)(?:=(?:'([^']*)'|"([^"]*)"|([^\s"'=<>`&/]+)))?"""
 PLAIN = re.compile(
     r"""/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*|(?!(?:script|style|title|textarea|xmp|iframe|noembed|noframes|noscript|plaintext)\b)([a-zA-Z][a-zA-Z0-9]*)((?:%s)*)[ \t\n\r\f]*"""
     r"""|(script|title)|!--([^<>-]*(?:-[^<>-]+)*)--""" % re.sub(r"\((?!\?)", "(?:", ATTRIBUTE),
     re.IGNORECASE | re.ASCII,
 )
 ATTRIBUTES = re.compile(ATTRIBUTE, re.ASCII).findall
+SLOT = "\0"  # stands for a quoted value in the shape of a piece of markup, which is judged once for all values
 ENDED, STARTED, WHOLE, REMARK, ODD = range(5)  # what a piece of markup is: an end, a start, a start whose element has text only, a comment, or not plain
 
 
@@ -71,82 +73,163 @@ class _Nodes(HTMLParser):
 
     def clear(self) -> None:
         """No page, and no list but the empty one, which is number 0."""
-        self.said, self.leave, self.around, self.text, self.path = [], [], [], [], []  # of every node: (tag, classes, attrs), and so on
-        self.enter: list[int] = []
+        self.said, self.path = [], []  # of every node: the number of its (tag, classes, attrs), and of its path
+        self.around, self.text = [], []  # of every element, and of every other node
+        self.shut, self.last = [], []  # of every closed element: its number among the nodes, and the last place inside it
+        self.first: list[int] = []  # numbers of the pages' first nodes
+        self.kinds: list[tuple] = list(LEAVES)
         self.lists: dict[str, list] = {k: [()] for k in ("path", "around", "classes", "attrs")}
         self.numbers: dict[str, dict] = {k: {(): 0} for k in ("around", "classes", "attrs")}
         self.marks: dict[tuple, int] = {}  # numbers of an element's own marks
         self.tags: dict[str, tuple] = {}  # kind and content of a piece of markup
+        self.shapes: dict[str, tuple | None] = {}  # what is the same for all values of a shape
         self.states: list[tuple] = []  # tags of the open elements, and the marks inside each
         self.places: dict[tuple, int] = {}
         self.moves: dict[tuple, tuple] = {}  # by state and own marks: open elements left, marks around, state after it, whether it stays open
         self.ends: dict[tuple, tuple | None] = {}  # by state and tag: open elements left, state after it
         self.outside = self.state_of((), ())
+        self.page_kind = self.start_of(PAGE, [])
 
     def begin(self) -> None:
         self.base = len(self.said)  # places count from the page's first node
-        self.open: list[int] = []  # places of the open elements
+        self.first.append(self.base)
+        self.open: list[int] = []  # numbers of the open elements
         self.paths: list[int] = [0]
         self.state = self.outside
-        self.start(self.start_of(PAGE, []))
+        self.start(self.page_kind)
 
     def add(self, html: str) -> None:
         """The nodes of one more page."""
+        columns = (self.said, self.path, self.around, self.text, self.shut, self.last, self.first)
+        before = [len(c) for c in columns]
         self.begin()
         if not self.read(html):
-            for column in (self.said, self.leave, self.around, self.text, self.path, self.enter):
-                del column[self.base :]
+            for column, size in zip(columns, before, strict=True):
+                del column[size:]
             self.begin()
             self.reset()
             self.feed(html)
             self.close()
         self.close_from(0)
 
+    def page(self, html: str) -> tuple[list[int], list[int], list[str]]:
+        """The nodes of one page, until the next is asked for: the number of each one's kind, the last place inside it, and the texts of those that are no
+        elements. What is known of kinds of tags goes on from page to page."""
+        if max(len(self.kinds), len(self.tags), len(self.states)) > BATCH:
+            self.clear()
+        for column in (self.said, self.path, self.around, self.text, self.shut, self.last, self.first):
+            column.clear()
+        self.add(html)
+        leave = list(range(len(self.said)))
+        for at, last in zip(self.shut, self.last, strict=True):
+            leave[at] = last
+        return self.said, leave, self.text
+
     def updatepos(self, i, j):
         return j  # lines and columns of the page are not asked for
 
     def read(self, html: str) -> bool:
-        """Reads a page of plain markup; False, and then nothing of it counts, if it is not."""
+        """Reads a page of plain markup; False, and then nothing of it counts, if it is not. Starts, ends and texts are taken here as `start`,
+        `handle_endtag` and `handle_data` take them, without their calls."""
+        said, around, opened, shut, last, path = self.said, self.around, self.open, self.shut, self.last, self.path
+        tags, moves, ends, base, has_paths = self.tags, self.moves, self.ends, self.base, self.has_paths
         pieces = iter(html.split("<"))
         text = next(pieces)
         if text:
             self.handle_data(unescape(text) if "&" in text else text)
         for piece in pieces:
             mark, closed, text = piece.partition(">")
-            found = self.tags.get(mark)
+            found = tags.get(mark)
             if found is None:
-                found = self.tags[mark] = self.judge(mark)
+                found = tags[mark] = self.judge(mark)
             kind, content = found
             if not closed or kind == ODD:
                 return False
             if kind == STARTED:
-                self.start(content)
+                own, marks, number = content
+                move = moves.get((self.state, number))
+                if move is None:
+                    move = moves[self.state, number] = self.move(marks)
+                depth, outer, self.state, stays = move
+                at = len(said)
+                if len(opened) > depth:
+                    self.close_from(depth)
+                said.append(own)
+                around.append(outer)
+                if has_paths:
+                    path.append(self.paths[-1])
+                if stays:
+                    opened.append(at)
+                    if has_paths:
+                        self.open_path(at - base)
             elif kind == ENDED:
-                self.handle_endtag(content)
+                key = (self.state, content)
+                end = ends.get(key, ends)
+                if end is ends:
+                    end = ends[key] = self.end_of(content)
+                if end:
+                    depth, self.state = end
+                    if len(opened) == depth + 1:
+                        shut.append(opened.pop())
+                        last.append(len(said) - base - 1)
+                        if has_paths:
+                            del self.paths[depth + 1 :]
+                    else:
+                        self.close_from(depth)
             elif kind == REMARK:
                 self.handle_comment(content)
             else:
                 mark, closed, after = next(pieces, "").partition(">")
-                if not closed or mark.lower() != "/" + content[0][0]:
+                tag = content[1][0]
+                if not closed or mark.lower() != "/" + tag:
                     return False
                 self.start(content)
-                self.handle_data(unescape(text) if content[0][0] == "title" else text)
-                self.handle_endtag(content[0][0])
+                self.handle_data(unescape(text) if tag == "title" else text)
+                self.handle_endtag(tag)
                 text = after
-            if text:
+            if text and not text.isspace():
                 self.handle_data(unescape(text) if "&" in text else text)
         return True
 
     def judge(self, mark: str) -> tuple:
+        single, double = "'" in mark, '"' in mark
+        if single != double and SLOT not in mark:
+            quote = "'" if single else '"'
+            cut = mark.split(quote)
+            shape = (quote + SLOT + quote).join(cut[::2])
+            if shape not in self.shapes:
+                self.shapes[shape] = self.shape_of(shape)
+            if len(cut) % 2 and self.shapes[shape]:
+                tag, names, values, classes, marks, own = self.shapes[shape]
+                given = iter(cut[1::2])
+                attrs = tuple(zip(names, [value_of(next(given)) if v == SLOT else v for v in values], strict=True))
+                self.lists["attrs"].append(attrs)
+                return STARTED, (self.kind_of(tag, classes, len(self.lists["attrs"]) - 1), marks, own)
         found = PLAIN.fullmatch(mark)
         if not found:
             return ODD, None
         if found[1]:
             return ENDED, found[1].lower()
         if found[2]:
-            return STARTED, self.start_of(found[2].lower(), [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTES(found[3])] if found[3] else [])
+            return STARTED, self.start_of(found[2].lower(), attributes_of(found[3]))
         return (WHOLE, self.start_of(found[4].lower(), [])) if found[4] else (REMARK, found[5])
 
+    def shape_of(self, shape: str) -> tuple | None:
+        """What start tags of a shape say but for their values; None if these say marks, or if the shape is none of a plain start tag."""
+        found = PLAIN.fullmatch(shape)
+        if not found or not found[2]:
+            return None
+        tag, attrs = found[2].lower(), attributes_of(found[3])
+        named = dict(attrs)
+        if len(named) < len(attrs) or SLOT in (named.get("class"), named.get("id")):
+            return None
+        kind, marks, own = self.start_of(tag, attrs)
+        return tag, tuple(named), [v or "" for v in named.values()], self.kinds[kind][1], marks, own
+
+    def kind_of(self, tag: str, classes: int, attrs: int) -> int:
+        self.kinds.append((tag, classes, attrs))
+        return len(self.kinds) - 1
+
     def number(self, kind: str, own: tuple) -> int:
         """The number of a list of marks, classes or attributes."""
         at = self.numbers[kind].get(own)
@@ -156,11 +239,11 @@ class _Nodes(HTMLParser):
         return at
 
     def start_of(self, tag: str, attrs: list) -> tuple:
-        """What a start tag says: (tag, classes, attributes), its own marks, and their number."""
+        """What a start tag says: the number of its (tag, classes, attributes), its own marks, and their number."""
         named = {k: v or "" for k, v in dict(attrs).items()}
         classes = tuple(named.get("class", "").split())
         marks = (tag, *("." + c for c in classes), *(["#" + named["id"]] if named.get("id") else []))
-        return (tag, self.number("classes", classes), self.number("attrs", tuple(named.items()))), marks, self.marks.setdefault(marks, len(self.marks))
+        return self.kind_of(tag, self.number("classes", classes), self.number("attrs", tuple(named.items()))), marks, self.marks.setdefault(marks, len(self.marks))
 
     def state_of(self, tags: tuple, inner: tuple) -> int:
         at = self.places.get((tags, inner))
@@ -169,8 +252,8 @@ class _Nodes(HTMLParser):
             self.states.append((tags, inner))
         return at
 
-    def move(self, tag: str, marks: tuple) -> tuple:
-        tags, inner = self.states[self.state]
+    def move(self, marks: tuple) -> tuple:
+        tag, (tags, inner) = marks[0], self.states[self.state]
         depth = len(tags)
         if tag in ENDS:
             depth = self.left_of(*ENDS[tag])
@@ -196,38 +279,36 @@ class _Nodes(HTMLParser):
         return found
 
     def close_from(self, depth: int) -> None:
-        last = len(self.said) - self.base - 1
-        for at in self.open[depth:]:
-            self.leave[self.base + at] = last
+        self.shut += self.open[depth:]
+        self.last += [len(self.said) - self.base - 1] * (len(self.open) - depth)
         del self.open[depth:], self.paths[depth + 1 :]
 
-    def node(self, said: tuple, around: int, text: str | None) -> int:
-        """Appends a node that has nothing inside yet; its place."""
-        at = len(self.said) - self.base
+    def open_path(self, at: int) -> None:
+        self.lists["path"].append((*self.lists["path"][self.paths[-1]], at))
+        self.paths.append(len(self.lists["path"]) - 1)
+
+    def node(self, said: int) -> None:
+        """Appends a node that has nothing inside yet."""
         self.said.append(said)
-        self.enter.append(at)
-        self.leave.append(at)
-        self.around.append(around)
-        self.text.append(text)
         if self.has_paths:
             self.path.append(self.paths[-1])
-        return at
 
     def start(self, start: tuple) -> None:
         said, marks, own = start
         key = (self.state, own)
         move = self.moves.get(key)
         if move is None:
-            move = self.moves[key] = self.move(said[0], marks)
+            move = self.moves[key] = self.move(marks)
         depth, around, self.state, stays = move
         if len(self.open) > depth:
             self.close_from(depth)
-        at = self.node(said, around, None)
+        at = len(self.said)
+        self.node(said)
+        self.around.append(around)
         if stays:
             self.open.append(at)
             if self.has_paths:
-                self.lists["path"].append((*self.lists["path"][self.paths[-1]], at))
-                self.paths.append(len(self.lists["path"]) - 1)
+                self.open_path(at - self.base)
 
     def handle_starttag(self, tag, attrs):
         self.start(self.start_of(tag, attrs))
@@ -256,37 +337,63 @@ class _Nodes(HTMLParser):
     def handle_data(self, data):
         if data and not data.isspace():
             tags = self.states[self.state][0]
-            self.node(RAW_LEAF if tags and tags[-1] in UNSEEN else TEXT_LEAF, 0, data)
+            self.node(RAW_LEAF if tags and tags[-1] in UNSEEN else TEXT_LEAF)
+            self.text.append(data)
 
     def handle_comment(self, data):
-        self.node(COMMENT_LEAF, 0, data)
+        self.node(COMMENT_LEAF)
+        self.text.append(data)
+
+    def numbered(self) -> tuple[np.ndarray, ...]:
+        """Of every node: enter, leave, the number of its kind, whether it is an element, and the number of its marks around."""
+        said = np.array(self.said, np.int32)
+        first = np.array(self.first, np.int64)
+        enter = np.arange(len(said)) - np.repeat(first, np.diff(np.append(first, len(said))))
+        leave = enter.copy()
+        leave[np.array(self.shut, np.int64)] = self.last
+        element = said >= len(LEAVES)
+        around = np.zeros(len(said), np.int32)
+        around[element] = self.around
+        return enter.astype(np.int32), leave.astype(np.int32), said, element, around
 
     @property
     def nodes(self) -> list[tuple]:
         """The nodes as tuples (enter, leave, path, around, tag, classes, attrs, text)."""
-        path = [self.lists["path"][i] for i in self.path] if self.has_paths else [None] * len(self.said)
+        if not self.said:
+            return []
+        enter, leave, said, element, around = (x.tolist() for x in self.numbered())
+        path, text = [self.lists["path"][i] for i in self.path] if self.has_paths else [None] * len(said), iter(self.text)
+        kinds = [self.kinds[k] for k in said]
         return [
-            (enter, leave, own, self.lists["around"][around], tag, self.lists["classes"][classes], self.lists["attrs"][attrs], text)
-            for enter, leave, own, around, (tag, classes, attrs), text in zip(self.enter, self.leave, path, self.around, self.said, self.text, strict=True)
+            (*x, own, self.lists["around"][a], tag, self.lists["classes"][classes], self.lists["attrs"][attrs], None if is_element else next(text))
+            for x, own, a, (tag, classes, attrs), is_element in zip(zip(enter, leave, strict=True), path, around, kinds, element, strict=True)
         ]
 
     def taken(self) -> list[pa.Array]:
         """The columns as Arrow has them; the pages so far go."""
-        tag, classes, attrs = zip(*self.said, strict=True) if self.said else ((), (), ())
-        columns = {"enter": self.enter, "leave": self.leave, "path": self.path, "around": self.around, "tag": tag, "classes": classes, "attrs": attrs, "text": self.text}
-        arrays = [self.array(f, columns[f.name]) for f in FIELDS]
+        enter, leave, said, element, around = self.numbered()
+        tag, classes, attrs = zip(*self.kinds, strict=True)
+        texts = pa.array(np.cumsum(~element) - 1, pa.int32(), mask=element)
+        numbers = {"path": self.path, "around": around, "classes": np.array(classes, np.int32)[said], "attrs": np.array(attrs, np.int32)[said]}
+        made = {"enter": pa.array(enter), "leave": pa.array(leave), "tag": pa.array(tag, pa.string()).take(pa.array(said)), "text": pa.array(self.text, pa.string()).take(texts)}
+        for name, at in numbers.items():
+            kind = FIELDS.field(name).type
+            made[name] = pa.array(self.lists[name], kind).take(pa.array(at, pa.int32())) if name != "path" or self.has_paths else pa.nulls(len(said), kind)
         self.clear()
-        return arrays
+        return [made[f.name] for f in FIELDS]
+
+
+def value_of(said: str) -> str:
+    return unescape_value(said) if "&" in said else said
 
-    def array(self, f: pa.Field, column: list) -> pa.Array:
-        if f.name == "path" and not self.has_paths:
-            return pa.nulls(len(self.said), f.type)
-        if f.name in self.lists:
-            return pa.array(self.lists[f.name], f.type).take(pa.array(column, pa.int32()))
-        return pa.array(column, f.type)
 
+def attributes_of(said: str) -> list[tuple[str, str]]:
+    return [(k.lower(), value_of(a or b or c)) for k, a, b, c in ATTRIBUTES(said)] if said else []
 
-TEXT_LEAF, RAW_LEAF, COMMENT_LEAF = (TEXT, 0, 0), (RAW, 0, 0), (COMMENT, 0, 0)
+
+unescape_value = getattr(parser, "_unescape_attrvalue", unescape)  # as HTMLParser reads values, which later versions do by a rule of their own
+LEAVES = ((TEXT, 0, 0), (RAW, 0, 0), (COMMENT, 0, 0))
+TEXT_LEAF, RAW_LEAF, COMMENT_LEAF = range(len(LEAVES))
 FIELDS = pa.schema([("enter", pa.int32()), ("leave", pa.int32()), ("path", pa.list_(pa.int32())), ("around", pa.list_(pa.string())), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
@@ -324,6 +431,10 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(rows, SCHEMA)
 
 
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def page_arrays(pages: DataFrame, *keep: str, paths: bool = False) -> DataFrame:
     """A row per page (page_id, html) with its `nodes`, in order, and the columns <keep>; no row for a null or empty page. Nodes have their path
     only where it is asked for."""
