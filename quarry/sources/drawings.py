@@ -1,21 +1,27 @@
-"""Drawings in the new format, from the nodes of their pages (page_id, url, html), an array a page.
+"""Drawings in the new format, from the nodes of their pages (page_id, url, html).
 
 A page may hold several drawings. A drawing is an outermost table that says GR TAV, or else the whole body; its number is the first of: a heading,
 paragraph or cell that is nothing but a number, the page's first named anchor, the page's remark, the file's name. Without a number,
 or without rows, there is no drawing. Inside it, tables of parts are those whose heading cells say so or that link to a code; each of their rows
 belongs to the innermost table around it and has the cells that are directly its own.
 
-All of a page is said by columns of its row: what is inside an element is a slice of the array, the innermost element around one is found on its path.
+A page is read, walked over once and let go where it is (`_Page`): what is inside an element is a run of places, the innermost row or table around one the last that is open.
 Rows without a part are read in order as notes and validity: a validity row may carry its serial number, or the next row of a serial number
 carries it; a note without text of its own takes the next row that says nothing else. Windows are over one drawing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from quarry.operators.shared import settle_by
@@ -73,55 +79,128 @@ def group_drawings(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 KEY = ["page_id", "block", "drawing"]
 
 
-def innermost(x: Column, tag: str) -> Column:
-    """The place of the innermost element of this tag around x, or null."""
-    return F.try_element_at(F.filter(x["path"], lambda at: N.is_tag(tag, of=F.get("nodes", at))), F.lit(-1))
-
-
-def blocks_of_page() -> Column:
-    """enter, leave, text of each drawing's element. What a table says is said by the tables around it, so the outermost one has none around it."""
-    element = lambda x: F.struct(x["enter"].alias("enter"), x["leave"].alias("leave"), N.text_of(x).alias("text"))
-    tables = F.transform(N.of_page(lambda x: N.is_tag("table", of=x) & ~N.within("table", of=x)), element)
-    body = F.coalesce(N.head(N.of_page(lambda x: N.is_tag("body", of=x))), N.head(F.col("nodes")))
-    marked = F.filter(tables, lambda x: F.upper(x["text"]).contains(BLOCK_MARK))
-    return N.let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(N.let(body, element))))
-
-
-def own_number(block: Column) -> Column:
-    """What the first element says that says nothing but a number: one around a text that is one."""
-    numbers = N.inside(block, lambda n: N.is_tag(N.TEXT, of=n) & n["text"].rlike(rf"^\s*{DRAWING_ID}\s*$"))
-    around = lambda n: F.filter(F.transform(n["path"], lambda at: F.get("nodes", at)), lambda x: N.is_tag("h2", "h3", "p", "td", of=x) & (x["enter"] > block["enter"]))
-    said = F.flatten(F.transform(numbers, lambda n: F.transform(around(n), lambda x: F.struct(x["enter"].alias("at"), N.text_of(x).alias("said")))))
-    return F.array_min(F.filter(said, lambda x: x["said"].rlike(f"^{DRAWING_ID}$")))["said"]
-
-
-def drawing_of(block: Column) -> Column:
-    anchor = N.let(N.head(N.of_page(lambda x: N.is_tag("a", of=x) & N.has_attr("name", of=x))), lambda a: F.when(N.attr("name", of=a).rlike(f"^{DRAWING_ID}$"), N.attr("name", of=a)))
-    return F.coalesce(own_number(block), anchor, F.nullif("remark", F.lit("")), F.nullif("file", F.lit("")))
-
-
-def rows_of_block(block: Column) -> Column:
-    """place, cells (texts), link (to a code, or null) of every row of a block's tables of parts."""
-    to_code = lambda a: N.is_tag("a", of=a) & N.attr("href", of=a).rlike(CODE)
-
-    def headed(t: Column) -> Column:
-        said = F.upper(F.array_join(F.transform(N.inside(t, lambda n: N.is_tag("th", of=n)), lambda n: N.text_of(n)), " "))
-        return N.let(said, lambda h: h.contains("POS") & (h.contains("MATRIC") | h.contains("DESCRIZIONE")))
-
-    def row(r: Column) -> Column:
-        cells = F.transform(N.inside(r, lambda n: N.is_tag("td", of=n) & (innermost(n, "tr") == r["enter"])), lambda n: N.text_of(n))
-        link = N.let(N.head(N.inside(r, lambda n: to_code(n) & (innermost(n, "tr") == r["enter"]))), lambda a: F.when(a.isNotNull(), N.attr("href", of=a)))
-        return F.struct(r["enter"].alias("place"), cells.alias("cells"), link.alias("link"))
-
-    listed = lambda t: headed(t) | F.exists(N.inside(t, to_code), lambda a: F.coalesce(innermost(a, "table") == t["enter"], F.lit(False)))
-    tables = F.filter(N.inside(block, lambda n: N.is_tag("table", of=n)), listed)
-    rows = F.flatten(F.transform(tables, lambda t: F.transform(N.inside(t, lambda n: N.is_tag("tr", of=n) & (innermost(n, "table") == t["enter"])), row)))
-    return F.filter(rows, lambda r: F.size(r["cells"]) > 0)
-
-
-def is_part(of: Column | None = None) -> Column:
-    link, cells = (F.col("link"), F.col("cells")) if of is None else (of["link"], of["cells"])
-    return link.isNotNull() & (F.size(cells) >= 3)
+ENDING = r"(?:\r\n|[\n\r\x85\u2028\u2029])?\Z"  # where the patterns' $ stands
+is_number = re.compile(DRAWING_ID + ENDING, re.ASCII).match
+is_number_alone = re.compile(rf"\s*{DRAWING_ID}\s*{ENDING}", re.ASCII).match
+is_code_link = re.compile(CODE, re.ASCII).search
+one_space = partial(re.compile("[ \t\n\x0b\f\r\xa0]+").sub, " ")
+TEXT, BODY, TABLE, ROW, CELL, HEADING_CELL, LINE, PICTURE, LINK = range(1, 10)
+ROLES = {N.TEXT: TEXT, "body": BODY, "table": TABLE, "tr": ROW, "td": CELL, "th": HEADING_CELL, "h2": LINE, "h3": LINE, "p": LINE, "img": PICTURE, "a": LINK}
+
+
+class _Page:
+    """What a page's drawings are made of, gathered in one walk over its nodes, with the innermost table and row around each."""
+
+    def __init__(self, reader, html: str):
+        self.reader = reader
+        self.said, self.leave, texts = reader.page(html)
+        kinds, leave, leaves = reader.kinds, self.leave, iter(texts)
+        self.places, self.texts = [], []  # of the texts that are not blank
+        self.body, self.name = None, None
+        self.tables, self.outer, self.headings, self.lines, self.pictures = [], [], [], [], []
+        self.rows, self.cells, self.links, self.coded = {}, {}, {}, set()  # rows of a table, cells and first link to a code of a row, tables of such links
+        self.numbers = []  # places of elements around each text that says nothing but a number
+        tables, rows, around = [], [], []
+        for at, kind in enumerate(self.said):
+            tag = kinds[kind][0]
+            role = ROLES.get(tag)
+            if role == TEXT or kind < len(N.LEAVES):
+                text = next(leaves)
+                if role == TEXT:
+                    plain = one_space(text).strip(" ")
+                    if plain:
+                        self.places.append(at)
+                        self.texts.append(plain)
+                    if is_number_alone(text):
+                        self.numbers.append((at, [x for x in around if leave[x] >= at]))
+                continue
+            if role is None:
+                continue
+            if role == TABLE:
+                while tables and leave[tables[-1]] < at:
+                    tables.pop()
+                if not tables:
+                    self.outer.append(at)
+                self.tables.append(at)
+                tables.append(at)
+            elif role == ROW:
+                while tables and leave[tables[-1]] < at:
+                    tables.pop()
+                rows.append(at)
+                if tables:
+                    self.rows.setdefault(tables[-1], []).append(at)
+            elif role == CELL or role == LINE:
+                while around and leave[around[-1]] < at:
+                    around.pop()
+                around.append(at)
+                if role == LINE:
+                    self.lines.append(at)
+                    continue
+                while rows and leave[rows[-1]] < at:
+                    rows.pop()
+                if rows:
+                    self.cells.setdefault(rows[-1], []).append(at)
+            elif role == LINK:
+                attrs = dict(reader.lists["attrs"][kinds[kind][2]])
+                if self.name is None:
+                    self.name = attrs.get("name")
+                if is_code_link(attrs.get("href", "")):
+                    while tables and leave[tables[-1]] < at:
+                        tables.pop()
+                    while rows and leave[rows[-1]] < at:
+                        rows.pop()
+                    if tables:
+                        self.coded.add(tables[-1])
+                    if rows:
+                        self.links.setdefault(rows[-1], attrs["href"])
+            elif role == HEADING_CELL:
+                self.headings.append(at)
+            elif role == PICTURE:
+                self.pictures.append(at)
+            elif self.body is None:
+                self.body = at
+
+    def inside(self, places: list[int], at: int) -> list[int]:
+        """Those of ascending places that are inside an element."""
+        return places[bisect_right(places, at) : bisect_right(places, self.leave[at])]
+
+    def text(self, at: int) -> str:
+        """The text inside an element: the texts in order, white space as one blank, without the blank ones."""
+        return " ".join(self.texts[bisect_right(self.places, at) : bisect_right(self.places, self.leave[at])])
+
+    def blocks(self) -> list[tuple[int, str]]:
+        """Place and text of each drawing's element. What a table says is said by the tables around it, so the outermost one has none around it."""
+        tables = [(at, self.text(at)) for at in self.outer]
+        body = self.body or 0
+        return [x for x in tables if BLOCK_MARK in x[1].upper()] or [(body, self.text(body))]
+
+    def number(self, block: int, remark: str | None, file: str | None) -> str | None:
+        """What the first element says that says nothing but a number, one around a text that is one; or what the page's anchor, remark or file says."""
+        around = {x for at, found in self.numbers if block < at <= self.leave[block] for x in found if x > block}
+        own = next((text for text in map(self.text, sorted(around)) if is_number(text)), None)
+        anchor = self.name if self.name is not None and is_number(self.name) else None
+        return next((x for x in (own, anchor) if x is not None), None) or remark or file or None
+
+    def listed(self, table: int) -> bool:
+        """Whether a table lists parts, as its heading cells say, or its own links to a code."""
+        said = " ".join(map(self.text, self.inside(self.headings, table))).upper()
+        return "POS" in said and ("MATRIC" in said or "DESCRIZIONE" in said) or table in self.coded
+
+    def parts(self, block: int) -> list[tuple[int, list[str], str | None]]:
+        """place, cells (texts), link (to a code, or None) of every row of a block's tables of parts."""
+        rows = [r for t in self.inside(self.tables, block) if self.listed(t) for r in self.rows.get(t, ())]
+        return [(r, [self.text(c) for c in self.cells[r]], self.links.get(r)) for r in rows if r in self.cells]
+
+    def headers(self, block: int) -> tuple[list[dict], str | None]:
+        """What headings and paragraphs of a block say, and the source of its image, None without one."""
+        said = [{"at": x, "tag": self.reader.kinds[self.said[x]][0], "said": text} for x in self.inside(self.lines, block) if (text := self.text(x))]
+        pictures = [self.reader.kinds[self.said[x]] for x in self.inside(self.pictures, block)]
+        pictures = [x for x in pictures if IMAGE in self.reader.lists["classes"][x[1]]] or pictures
+        return said, dict(self.reader.lists["attrs"][pictures[0][2]]).get("src", "") if pictures else None
+
+
+def is_part() -> Column:
+    return F.col("link").isNotNull() & (F.size("cells") >= 3)
 
 
 def parts_of(rows: DataFrame) -> DataFrame:
@@ -169,40 +248,53 @@ def notes_of(rows: DataFrame) -> DataFrame:
     return each.groupBy(*KEY, "note").agg(F.max_by("text", "note_no").alias("text"))
 
 
-def headers_of_block(block: Column) -> Column:
-    """machine, models, title, src of a block's drawing; null where it has none."""
-    said = F.transform(N.inside(block, lambda n: N.is_tag("h2", "h3", "p", of=n)), lambda n: F.struct(n["enter"].alias("at"), n["tag"].alias("tag"), N.text_of(n).alias("said")))
-    images = N.inside(block, lambda n: N.is_tag("img", of=n))
-    image = N.let(images, lambda found: F.coalesce(N.head(F.filter(found, lambda n: N.has_class(IMAGE, of=n))), N.head(found)))
-    src = N.let(image, lambda n: F.when(n.isNotNull(), N.attr("src", of=n)))
+def headers_of(said: Column) -> Column:
+    """machine, models, title of a block's drawing, of what its headings and paragraphs say; null where it has none."""
     machine = lambda m: N.head(F.filter(m, lambda x: (x["tag"] != "p") & ~x["said"].rlike(f"^{DRAWING_ID}$")))["said"]
     models = lambda m: N.head(F.filter(m, lambda x: (x["tag"] == "p") & x["said"].rlike(MODELS) & x["said"].contains("/")))
     loud = lambda x: (x["tag"] == "p") & (x["said"] == F.upper(x["said"])) & (x["said"] != F.lower(x["said"])) & (F.length(x["said"]) > 3)
     other = lambda x, f: (x["said"] != F.coalesce(f["machine"], F.lit(""))) & ~F.coalesce(x["at"] == f["models"]["at"], F.lit(False))
-
-    def found(m: Column) -> Column:
-        first = F.struct(machine(m).alias("machine"), models(m).alias("models"))
-        return N.let(first, lambda f: F.struct(f["machine"].alias("machine"), f["models"]["said"].alias("models"), N.head(F.filter(m, lambda x: loud(x) & other(x, f)))["said"].alias("title"), src.alias("src")))
-
-    return N.let(F.filter(said, lambda x: x["said"] != ""), found)
+    first = F.struct(machine(said).alias("machine"), models(said).alias("models"))
+    return N.let(first, lambda f: F.struct(f["machine"].alias("machine"), f["models"]["said"].alias("models"), N.head(F.filter(said, lambda x: loud(x) & other(x, f)))["said"].alias("title")))
 
 
 class NewDrawings:
-    """The drawings of these pages: each of `parts`, `notes`, `validity` and `headers` reads a page once and moves none of it."""
+    """The drawings of these pages: each of `parts`, `notes`, `validity` and `headers` reads a page once and moves none of it. What a page says is selected
+    where it is read, so that its nodes go nowhere."""
 
     def __init__(self, pages: DataFrame):
         own = {"remark": F.regexp_extract("html", REMARK_ID, 1), "file": F.regexp_extract(file_of(F.col("url")), ANY_ID, 1), "cell": one_blank(F.regexp_extract("html", TITLE_CELL, 1))}
-        self.pages = N.page_arrays(pages.withColumns(own), "url", *own, paths=True)
-
-    def blocks(self, **more: Callable) -> DataFrame:
-        """page_id, block (the place of the drawing's element), drawing, text, rows, url, cell, and columns made from a block's element; only blocks of
-        a number and with parts."""
-        block = lambda x: F.struct(x["enter"].alias("block"), drawing_of(x).alias("drawing"), x["text"].alias("text"), rows_of_block(x).alias("rows"), *[f(x).alias(k) for k, f in more.items()])
-        found = self.pages.select("page_id", "url", "cell", F.explode(F.transform(blocks_of_page(), block)).alias("_one")).select("page_id", "url", "cell", "_one.*")
-        return found.where(F.col("drawing").isNotNull() & F.exists("rows", lambda r: is_part(of=r)))
+        self.pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *[c.alias(k) for k, c in own.items()], "html").where("html <> ''")
+
+    def _read(self, said_of: Callable, schema: str, *keep: str) -> DataFrame:
+        """page_id, block (the place of the drawing's element), drawing, <keep>, and the rows that said_of(page, block, its text, its rows) gives; only blocks
+        of a number and with parts."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, found, read = N.page_reader(False), [], 0
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("page_id", "remark", "file", *keep)]
+                for (page_id, remark, file, *own), html in zip(zip(*columns, strict=True), batch.column("html"), strict=True):
+                    page = _Page(reader, html.as_py())
+                    read += len(page.said)
+                    for block, text in page.blocks():
+                        number = page.number(block, remark, file)
+                        parts = page.parts(block) if number is not None else []
+                        if any(link is not None and len(cells) >= 3 for _, cells, link in parts):
+                            found += [(page_id, block, number, *own, *x) for x in said_of(page, block, text, parts)]
+                    if found and read >= 8 * N.BATCH:
+                        yield N.batch_of(found, arrow)
+                        found, read = [], 0
+            if found:
+                yield N.batch_of(found, arrow)
+
+        kept = "".join(f", {c} string" for c in keep)
+        schema = f"page_id long, block int, drawing string{kept}, {schema}"
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+        return self.pages.mapInArrow(rows, schema)
 
     def _rows(self) -> DataFrame:
-        return self.blocks().select(*KEY, F.inline("rows"))
+        return self._read(lambda page, block, text, parts: parts, "place int, cells array<string>, link string")
 
     def parts(self) -> DataFrame:
         return parts_of(self._rows())
@@ -215,7 +307,8 @@ class NewDrawings:
 
     def headers(self) -> DataFrame:
         """page_id, block, drawing, grp, number, machine, models, title, date, image of each drawing."""
-        found = self.blocks(said=headers_of_block).select(*KEY, "text", "url", "cell", "said.*")
+        read = self._read(lambda page, block, text, parts: [(text, *page.headers(block))], "text string, said array<struct<at:int, tag:string, said:string>>, src string", "url", "cell")
+        found = read.withColumn("said", headers_of(F.col("said"))).select(*KEY, "text", "url", "cell", "said.*", "src")
         none = F.lit("")
         url = F.coalesce("url", none)
         image = F.when(F.col("src").isNull(), none).when(url != "", absolute(url, F.col("src"))).otherwise(F.col("src"))

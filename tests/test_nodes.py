@@ -156,3 +156,35 @@ def test_equal_rows_are_judged_once():
     assert len(reader.moves) < 20 and len(reader.lists["around"]) < 10 and len(reader.lists["classes"]) == 3
     arrays = reader.taken()
     assert len(arrays[0]) == 2 * (2 + 6 * 3000) and arrays[3][6].as_py() == ["#page", "table", "#t", "tr", "td"] and reader.nodes == []
+
+
+def test_values_with_references_are_read_as_html_parser_reads_them():
+    """An ampersand in a quoted value leaves its page plain, and equal shapes of markup are judged once for all values."""
+    import itertools
+
+    values = ["", "x.asp?l=1&amp;C=P", "a&b", "a&copy;b&copy=1&#65;&lt", "a=b", "x\0", "it"]
+    shapes = ["<a href='{}'>", '<a href="{}" name=n>', "<p class='{}' id=\"{}\">", "<td class='k' id=q title='{}' lang='{}'>", "<i a='{}' a='{}' b>", "<b\tA='{}'\n>", "<p a='{}'b='x'>", "<p a=it's b=it's>", "<p a=\"it's\" b='{}'>"]
+    read = 0
+    for shape, one, two in itertools.product(shapes, values, values):
+        html = shape.replace("{}", one, 1).replace("{}", two) * 2 + "x</p>y"
+        slow, fast = N._Nodes(), N._Nodes()
+        slow.feed(html)
+        slow.close()
+        if fast.read(html):
+            read += 1
+            assert fast.nodes == slow.nodes, html
+    assert read > 250
+    reader = N.page_reader()
+    reader.feed = None  # HTMLParser is not asked
+    for i in range(50):
+        reader.add(f"<table>{''.join(f"<tr><td><a href='x.asp?l={i}&amp;CODICE={j}&z'>P</a>" for j in range(50))}</table>")
+    assert len(reader.shapes) == 1 and reader.nodes[4][6] == (("href", "x.asp?l=0&CODICE=0&z"),)
+
+
+def test_nodes_of_new_drawings_stay_where_they_are_read(spark):
+    """What a page's drawings are made of is selected in the walk over it: no plan carries nodes, and many pages are read by one reader."""
+    pages = spark.createDataFrame([(i, "http://h/30_01_A.html", PAGE if i % 2 else f"<p x='&'>{i}") for i in range(300)], PAGES)
+    found = D.NewDrawings(pages)
+    for df, rows in ((found.parts(), 600), (found.notes(), 300), (found.validity(), 150), (found.headers(), 300)):
+        assert "nodes" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == rows
