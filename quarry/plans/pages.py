@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import arrow_interval
-from quarry.operators.shared import settle_by
 from quarry.plans.portals import LINES, SERIAL, lines_of_orders
 from quarry.registry import query
 from quarry.sources import catalog_pages as C
@@ -72,8 +71,8 @@ def s9_group_index(spark, d):
     n, k, _ = keys()
     file = F.when(k % 2 == 0, said("d20_", k % 1000, "_", k, "/20_", k % 1000)).otherwise(said("n", k))
     pages = lines_of_orders(spark, d, "<tr><td><a class='x grup' href='", file, ".html#a", n, "'>L", n, "</a><td>y<td>", F.col("p_name"), "</tr>", head="<table>", tail="</table><a href='z.html'>z</a>")
-    pages = settle_by(pages.withColumn("url", F.lit("http://h/g/grup20.html")), "page_id")
-    return D.group_drawings(N.settled_nodes(pages), pages).drop("place")
+    pages = pages.withColumn("url", F.lit("http://h/g/grup20.html"))
+    return D.group_drawings(N.page_arrays(pages, "url", paths=True), pages).drop("place")
 
 
 # ---- S11

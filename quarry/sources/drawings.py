@@ -24,7 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from quarry.operators.shared import settle_by
 from quarry.sources import nodes as N
 from quarry.sources.portals import NOTE, NOTE_MARK, SERIAL, VALID_SINCE, VALID_UNTIL
 
@@ -63,16 +62,16 @@ def absolute(base: Column, link: Column) -> Column:
 
 
 def group_drawings(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """page_id, place, drawing, label, title, url of a group's index: the links of its kind, each url once."""
-    links = N.chosen(nodes, N.is_tag("a") & N.has_class(GROUP_LINK) & F.map_contains_key("attrs", "href"), "a", href=N.attr("href"))
-    links = links.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    links = links.select("page_id", "a", F.substring_index(absolute(F.col("base"), F.col("href")), "#", 1).alias("url"))
-    links = settle_by(N.first(links, ["page_id", "url"], "a"), "page_id")
-    links = settle_by(N.nearest(nodes, N.texts(nodes, links, "a", "label"), "a", N.is_tag("tr"), "tr"), "page_id")
-    cells = N.first(N.under(nodes, N.is_tag("td"), links.select("page_id", "tr").distinct(), "tr", "td"), ["page_id", "tr"], "td", last=True)
-    titles = N.texts(nodes, cells, "td", "title").select("page_id", "tr", "title")
+    """page_id, place, drawing, label, title, url of a group's index: the links of its kind, each url once. Nodes must have their paths."""
+    links = N.of_page(lambda x: N.is_tag("a", of=x) & N.has_class(GROUP_LINK, of=x) & N.has_attr("href", of=x))
+    said = lambda x: F.struct(x["enter"].alias("a"), N.attr("href", of=x).alias("href"), N.text_of(x).alias("label"), N.innermost(x, "tr").alias("tr"))
+    title = lambda tr: N.text_of(F.try_element_at(N.inside(F.get("nodes", tr), lambda n: N.is_tag("td", of=n)), F.lit(-1)))
+    titles = lambda found: N.let(F.array_distinct(F.filter(F.transform(found, lambda x: x["tr"]), lambda tr: tr.isNotNull())), lambda trs: F.map_from_arrays(trs, F.transform(trs, title)))
+    titled = lambda found: N.let(titles(found), lambda t: F.transform(found, lambda x: x.withField("title", F.try_element_at(t, x["tr"]))))  # noqa: E731  a row's title is made once for all its links
+    found = N.with_url(nodes, pages).select("page_id", "url", F.inline(N.let(F.transform(links, said), titled)))
+    found = found.withColumn("url", F.substring_index(absolute(F.col("url"), F.col("href")), "#", 1))
     named = F.coalesce(F.nullif(F.regexp_extract(file_of(F.col("url")), ANY_ID, 1), F.lit("")), F.col("label"))
-    rows = links.join(titles, ["page_id", "tr"], "left")
+    rows = N.first(found, ["page_id", "url"], "a", "label", "title")
     return rows.select("page_id", F.col("a").alias("place"), named.alias("drawing"), "label", F.coalesce("title", F.lit("")).alias("title"), "url")
 
 

@@ -471,6 +471,12 @@ def let(c: Column, say: Callable) -> Column:
     return F.get(F.transform(F.array(c), say), F.lit(0))
 
 
+def with_url(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """`packed` nodes with their page's url, from `pages` where they do not have it."""
+    rows = packed(nodes)
+    return rows if "url" in rows.columns else rows.join(pages.select("page_id", "url"), "page_id")
+
+
 def of_page(where: Callable) -> Column:
     """The page's elements that `where` selects."""
     return F.filter("nodes", where)
@@ -481,6 +487,11 @@ def inside(x: Column, where: Callable) -> Column:
     return F.filter(F.slice("nodes", x["enter"] + 2, x["leave"] - x["enter"]), where)
 
 
+def innermost(x: Column, tag: str) -> Column:
+    """The place of the innermost element of this tag around x, or null."""
+    return F.try_element_at(F.filter(x["path"], lambda at: is_tag(tag, of=F.get("nodes", at))), F.lit(-1))
+
+
 def head(found: Column) -> Column:
     """The first of the elements found, or null."""
     return F.get(found, F.lit(0))
