@@ -188,3 +188,22 @@ def test_nodes_of_new_drawings_stay_where_they_are_read(spark):
     for df, rows in ((found.parts(), 600), (found.notes(), 300), (found.validity(), 150), (found.headers(), 300)):
         assert "nodes" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count() == rows
+
+
+def test_indexes_settle_no_node_table(spark):
+    """Both indexes are read from a page's array: one shuffle, of the rows found; links of one row, nested rows and links without a row among them."""
+    from quarry.sources import catalog_pages as C
+
+    group = "<table><tr><td><a class=grup href=1.html>1</a><td>t<table><tr><td><a class=grup href=2.html>2</a><td>in</table><tr><td><a class=grup href=3.html>3</a><a class=grup href=4.html>4</a><td>last</table><a class=grup href=5.html>5</a><a class=grup>6</a>"
+    cells = "".join(f"<td>{c}" for c in ("S", "P", "-", "B"))
+    index = f"<table><tr><td><a href='x'></a><a href='cat/a/index.html'>o</a>{cells}<tr><td><a href='cat/few/index.html'>o</a><tr><td><a href='cat/a/index.htm'>o</a>{cells}<tr><td><table><tr><td><a href='/cat/in/index.html'>o</a>{cells}</table></table><a href='cat/b/index.html'>"
+    pages = spark.createDataFrame([(1, "http://h/g/x.html", group), (2, "http://h/g/x.html", index), (3, "", None)], PAGES)
+    for nodes in (N.page_arrays(pages, "url", paths=True), N.page_nodes(pages)):
+        found = D.group_drawings(nodes, pages)
+        assert rows_of(found, "label", "title") == [("1", "in"), ("2", "in"), ("3", "last"), ("4", "last"), ("5", "")]
+        codes = C.catalog_index(nodes, pages)
+        assert rows_of(codes, "code", "url", "series") == [("a", "http://h/g/cat/a/index.html", "S"), ("in", "http://h/cat/in/index.html", "S")]
+    arrays = N.page_arrays(pages, "url", paths=True)
+    for df in (D.group_drawings(arrays, pages), C.catalog_index(arrays, pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "settled" not in plan
